@@ -11,7 +11,7 @@ from traceloom import vocab
 from traceloom.functions import hashing as hx
 from traceloom.functions import jsonx as jx
 from traceloom.functions import text as tx
-from traceloom.session import with_row_index
+from traceloom.session import with_position, with_row_index
 
 
 def _pick(rows: DataFrame, *names: str) -> list[str]:
@@ -624,26 +624,20 @@ def source_mix(
 ) -> DataFrame:
     """Up to ``share * total`` rows of every source, chosen by hash.
 
-    Quotas are the feature here. Instead of ordering a source in one window, rows are
-    numbered over (source, hash) and each source's first number is subtracted.
+    Quotas are the feature here; the position inside a source is found without one window
+    over a large source.
     """
     shares = shares or MIX
-    ordered = with_row_index(
+    placed = with_position(
         rows.filter(F.col(source).isin(*shares)).withColumn(
             "__h", hx.sha(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
         ),
-        source, "__h", key, name="__n",
+        [source], "__h", key, name="__n",
     )
-    starts = ordered.groupBy(source).agg(F.min("__n").alias("__start"))
     quota = F.create_map(
         *[F.lit(x) for name, part in shares.items() for x in (name, int(part * total))]
     )
-    # One row per source kind, of which the mix names four.
-    return (
-        ordered.join(F.broadcast(starts), source)
-        .filter(F.col("__n") - F.col("__start") < F.element_at(quota, F.col(source)))
-        .drop("__h", "__n", "__start")
-    )
+    return placed.filter(F.col("__n") < F.element_at(quota, F.col(source))).drop("__h", "__n")
 
 
 def item_lineage(items: DataFrame, traces: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from traceloom import vocab
 from traceloom.functions import hashing as hx
 from traceloom.functions import numeric as nx
 from traceloom.functions import text as tx
-from traceloom.session import durable, with_row_index
+from traceloom.session import durable, with_position
 
 VIOLATIONS = "array<struct<code:string,severity:string>>"
 HASHES = (
@@ -171,19 +171,13 @@ def independent_rows(outcomes: DataFrame, keys: tuple[str, ...] = ("capability_c
 
 
 def halves(rows: DataFrame, key: str = "capability_cell_id") -> DataFrame:
-    """Accepted share of the older and newer half per key, by (completed_at, outcome_id).
-
-    The position inside a key is found without one window over a hot key: rows are numbered
-    over the whole table in (key, order), and each key's first number is subtracted.
-    """
-    numbered = with_row_index(
+    """Accepted share of the older and newer half per key, by (completed_at, outcome_id)."""
+    numbered = with_position(
         rows.select(key, "completed_at", "outcome_id", "acceptable"),
-        key, "completed_at", "outcome_id", name="__n",
-    )
-    spans = numbered.groupBy(key).agg(
-        F.min("__n").alias("__start"), F.count(F.lit(1)).alias("__count")
+        [key], "completed_at", "outcome_id", name="__n",
     )
-    older = (F.col("__n") - F.col("__start")) < F.floor(F.col("__count") / 2)
+    spans = numbered.groupBy(key).agg(F.count(F.lit(1)).alias("__count"))
+    older = F.col("__n") < F.floor(F.col("__count") / 2)
     return (
         numbered.join(spans, key)
         .groupBy(key)

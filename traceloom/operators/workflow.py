@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from traceloom.functions import hashing as hx
 from traceloom.functions import numeric as nx
 from traceloom.functions import text as tx
-from traceloom.session import with_row_index
+from traceloom.session import with_position
 
 # Event types.
 EVENT_TYPES = (
@@ -323,20 +323,11 @@ def median_delta(runs: DataFrame) -> DataFrame:
 
 
 def append_indexed(stored: DataFrame, fresh: DataFrame, order: str) -> DataFrame:
-    """Give fresh events the next free index of their session, in order.
-
-    The position inside a session comes from a global numbering minus the session's first
-    number, so a session with many events is not pulled into one task.
-    """
-    numbered = with_row_index(fresh, "session_id", order, name="__n")
-    starts = numbered.groupBy("session_id").agg(F.min("__n").alias("__start"))
+    """Give fresh events the next free index of their session, in order."""
+    placed = with_position(fresh, ["session_id"], order, name="__n")
     used = stored.groupBy("session_id").agg(F.max("event_index").alias("__max"))
     return (
-        numbered.join(starts, "session_id")
-        .join(used, "session_id", "left")
-        .withColumn(
-            "event_index",
-            F.coalesce(F.col("__max"), F.lit(-1)) + 1 + F.col("__n") - F.col("__start"),
-        )
-        .drop("__n", "__start", "__max")
+        placed.join(used, "session_id", "left")
+        .withColumn("event_index", F.coalesce(F.col("__max"), F.lit(-1)) + 1 + F.col("__n"))
+        .drop("__n", "__max")
     )

@@ -73,3 +73,18 @@ def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_index")
         .withColumn(name, F.col("__offset") + local)
         .drop("__part", "__offset", "__pos")
     )
+
+
+def with_position(df: DataFrame, keys: list[str], *order: Column | str, name: str) -> DataFrame:
+    """Zero-based position of every row inside its key, also for keys of any size.
+
+    Rows are numbered over the whole table in (key, order), then each key's first number is
+    subtracted, so no key has to fit into one task.
+    """
+    numbered = with_row_index(df, *keys, *order, name="__all")
+    starts = numbered.groupBy(*keys).agg(F.min("__all").alias("__start"))
+    return (
+        numbered.join(starts, keys)
+        .withColumn(name, F.col("__all") - F.col("__start"))
+        .drop("__all", "__start")
+    )

@@ -89,7 +89,7 @@ def ingest(
     mark = F.when(
         F.col("decision") == "near_duplicate",
         F.concat(F.lit("near:"), F.col("match_id").cast("string"), F.lit(":"),
-                 F.format_number("match_score", "0.0000")),
+                 F.format_string("%.4f", "match_score")),
     ).when(F.col("decision") == "exact_duplicate", F.col("content_hash"))
     return classified.join(decided, "ordinal", "left").withColumns(
         {"status": status, "duplicate_mark": mark}
