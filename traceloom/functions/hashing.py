@@ -22,9 +22,9 @@ def json_hash(value: Column | str) -> Column:
     return sha(canonical_json(value))
 
 
-def row_hash(*columns: Column | str) -> Column:
-    """Hash of a row as canonical JSON."""
-    return sha(canonical_json(F.to_json(F.struct(*columns))))
+def row_hash(*columns: str) -> Column:
+    """Hash of named columns as JSON in name order; nested fields keep their schema order."""
+    return sha(F.to_json(F.struct(*sorted(columns))))
 
 
 def hash_ratio(value: Column | str) -> Column:

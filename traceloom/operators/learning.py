@@ -49,19 +49,25 @@ def exact_label(model: Column, effort: Column) -> Column:
 
 def resolve_option(candidates: Column, model: Column, effort: Column) -> Column:
     """The eligible option of a predicted model and effort, else null (an invalid pick)."""
-    return F.filter(
-        candidates, lambda o: (o["model_id"] == model) & (o["reasoning_effort"] == effort)
-    )[0]
+    return F.get(
+        F.filter(
+            candidates, lambda o: (o["model_id"] == model) & (o["reasoning_effort"] == effort)
+        ),
+        F.lit(0),
+    )
 
 
 def resolve_family(candidates: Column, families: dict[str, str], family: Column, effort: Column) -> Column:
     """First eligible option of a model family with the predicted effort."""
     member = F.create_map(*[F.lit(x) for pair in families.items() for x in pair])
-    return F.filter(
-        candidates,
-        lambda o: (F.try_element_at(member, o["model_id"]) == family)
-        & (o["reasoning_effort"] == effort),
-    )[0]
+    return F.get(
+        F.filter(
+            candidates,
+            lambda o: (F.try_element_at(member, o["model_id"]) == family)
+            & (o["reasoning_effort"] == effort),
+        ),
+        F.lit(0),
+    )
 
 
 def _stages(label: str, estimator, scale: bool) -> list:

@@ -380,7 +380,9 @@ def plan_trials(
     if not 0 < sample_rate <= 1:
         raise ValueError("sample_rate must be between 0 and 1")
     options = F.col("eligible_options")
-    teacher = F.filter(options, lambda o: o["option_id"] == F.col("chosen_option_id"))[0]
+    teacher = F.get(
+        F.filter(options, lambda o: o["option_id"] == F.col("chosen_option_id")), F.lit(0)
+    )
     cheaper = F.filter(
         options, lambda o: o["estimated_unit_cost"] < F.col("teacher_estimated_unit_cost")
     )

@@ -276,135 +276,150 @@ def normalize_policy(policy: DataFrame) -> DataFrame:
     )
 
 
-def subtask_models(subtasks: DataFrame, models: DataFrame) -> DataFrame:
-    """Every subtask with every enabled model and the reason against it, if any.
+def requirement_profiles(subtasks: DataFrame, models: DataFrame) -> DataFrame:
+    """Add ``cell`` and ``__window``: the smallest catalog context window that fits.
 
-    A catalog within ``PACKED_MODELS`` travels as one array on each subtask, so the subtasks
-    are never shuffled. A larger one is cut into packs of that size, and the packs become
-    the rows of the join; either way a subtask meets all models exactly once.
+    Whether a model may take a subtask depends on its capabilities, risk, cell and this
+    window only, so subtasks that agree on them share one judgement of the catalog.
     """
-    enabled = models.filter("enabled")
-    fields = F.struct(*enabled.columns)
-    pack = F.floor((F.row_number().over(_catalog_order()) - 1) / PACKED_MODELS)
-    packs = enabled.withColumn("__pack", pack).groupBy("catalog_hash", "__pack").agg(
-        F.collect_list(fields).alias("__models")
-    )
-    many = enabled.limit(PACKED_MODELS + 1).count() > PACKED_MODELS
-    side = packs if many else F.broadcast(packs)
-    joined = subtasks.join(side.drop("__pack"), "catalog_hash")
-    judged = F.transform(
-        "__models",
-        lambda m: F.struct(
-            m.alias("model"),
-            rejection_reason(
-                F.col("required_capabilities"), F.col("estimated_input_tokens"),
-                F.col("risk"), m,
-            ).alias("reason"),
-        ),
-    )
-    return joined.select(*subtasks.columns, F.explode(judged).alias("__j")).select(
-        *subtasks.columns, "__j.model", F.col("__j.reason").alias("reason")
+    windows = models.agg(F.array_sort(F.collect_set("context_window"))).scalar()
+    tokens = F.col("estimated_input_tokens")
+    fits = F.array_min(F.filter(windows, lambda w: w >= tokens))
+    return subtasks.withColumns(
+        {
+            "cell": route_cell(F.col("required_capabilities"), F.col("risk"), tokens),
+            "__window": F.coalesce(fits, F.lit((1 << 62))),
+        }
     )
 
 
-def _catalog_order():
-    from pyspark.sql import Window
+PROFILE = ("catalog_hash", "required_capabilities", "risk", "cell", "__window")
 
-    return Window.partitionBy("catalog_hash").orderBy("model_id")
 
+def judged_profiles(
+    profiles: DataFrame, models: DataFrame, policy: dict, boundary: DataFrame
+) -> DataFrame:
+    """Options and rejected models of every distinct requirement profile.
 
-def candidate_options(
-    subtasks: DataFrame, models: DataFrame, policy: dict, boundary: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """(options, rejected) of every subtask.
-
-    ``policy`` gives ``model_strength_order`` and ``trusted_boundary_required_for``;
-    ``boundary`` maps ``state_key`` (model@revision:cell) to ``state``. Options carry their
-    rank by cost, strength, effort and id.
+    A catalog lists the models a service offers. Up to ``PACKED_MODELS`` it is one array per
+    catalog, broadcast to the profiles; a larger one is shuffled in packs of that size.
     """
+    enabled = models.filter("enabled")
+    many = enabled.limit(PACKED_MODELS + 1).count() > PACKED_MODELS
+    place = F.pmod(F.xxhash64("model_id"), F.lit(64)) if many else F.lit(0)
+    packs = enabled.withColumn("__pack", place).groupBy("catalog_hash", "__pack").agg(
+        F.collect_list(F.struct(*enabled.columns)).alias("__models")
+    ).drop("__pack")
     strength = literal_map({m: i for i, m in enumerate(policy["model_strength_order"])})
     guarded = list(policy.get("trusted_boundary_required_for") or [])
-    pairs = subtask_models(subtasks, models).withColumns(
-        {
-            "model_id": F.col("model.model_id"),
-            "model_revision": F.col("model.revision"),
-            "cell": route_cell(
-                F.col("required_capabilities"), F.col("risk"), F.col("estimated_input_tokens")
+    pairs = (
+        profiles.select(*PROFILE).distinct()
+        .join(packs if many else F.broadcast(packs), "catalog_hash")
+        .select(*PROFILE, F.explode("__models").alias("model"))
+        .withColumn(
+            "reason",
+            rejection_reason(
+                F.col("required_capabilities"), F.col("__window"), F.col("risk"), F.col("model")
             ),
-        }
+        )
     )
     key = F.concat(
-        "model_id", F.lit("@"), F.coalesce("model_revision", F.lit("unversioned")), F.lit(":"),
-        "cell",
-    )
-    states = boundary.select(
-        F.col("state_key").alias("__key"), F.col("state").alias("__state")
+        "model.model_id", F.lit("@"), F.coalesce("model.revision", F.lit("unversioned")),
+        F.lit(":"), "cell",
     )
     known = (
-        pairs.withColumn("__key", key)
-        .join(states, "__key", "left")
-        .withColumn("boundary_state", F.coalesce("__state", F.lit("unmapped")))
-    )
-    blocked = F.col("risk").isin(*guarded) & (F.col("boundary_state") != "trusted")
-    known = known.withColumn(
-        "reason",
-        F.coalesce(
-            "reason",
-            F.when(
-                blocked if guarded else F.lit(False),
-                F.concat(F.lit("boundary state "), "boundary_state", F.lit(" is not trusted")),
+        pairs.withColumn("state_key", key)
+        .join(boundary.select("state_key", F.col("state").alias("__state")), "state_key", "left")
+        .withColumn("state", F.coalesce("__state", F.lit("unmapped")))
+    )
+    untrusted = F.concat(F.lit("boundary state "), "state", F.lit(" is not trusted"))
+    if guarded:
+        blocked = F.col("risk").isin(*guarded) & (F.col("state") != "trusted")
+        known = known.withColumn("reason", F.coalesce("reason", F.when(blocked, untrusted)))
+    option = F.struct(
+        F.element_at(strength, F.col("model.model_id")).alias("strength_rank"),
+        F.col("model.model_id").alias("model_id"),
+        F.col("model.revision").alias("model_revision"),
+        F.col("state").alias("boundary_state"),
+        F.col("model.input_price").alias("input_price"),
+        F.col("model.output_price").alias("output_price"),
+        F.transform(
+            "model.supported_reasoning_efforts",
+            lambda e: F.struct(
+                e.alias("reasoning_effort"), effort_level(e).alias("effort_level"),
+                option_id(F.col("catalog_hash"), F.col("model.model_id"), e).alias("option_id"),
             ),
-        ),
+        ).alias("efforts"),
     )
-    rejected = known.filter(F.col("reason").isNotNull()).select(
-        "task_id", "subtask_id", "model_id", "reason"
-    )
-    options = (
-        known.filter(F.col("reason").isNull())
-        .select(
-            *subtasks.columns, "cell", "model_id", "model_revision", "boundary_state",
-            F.element_at(strength, F.col("model_id")).alias("strength_rank"),
-            unit_cost(
-                F.col("model.input_price"), F.col("model.output_price"),
-                F.col("estimated_input_tokens"),
-            ).alias("estimated_unit_cost"),
-            F.explode("model.supported_reasoning_efforts").alias("reasoning_effort"),
-        )
-        .withColumns(
-            {
-                "option_id": option_id(
-                    F.col("catalog_hash"), F.col("model_id"), F.col("reasoning_effort")
+    open_ = F.col("reason").isNull()
+    refusal = F.struct(F.col("model.model_id").alias("model_id"), F.col("reason").alias("reason"))
+    return known.groupBy(*PROFILE).agg(
+        F.collect_list(F.when(open_, option)).alias("__options"),
+        F.array_sort(F.collect_list(F.when(~open_, refusal))).alias("rejected_models"),
+    )
+
+
+def candidate_sets(
+    subtasks: DataFrame, models: DataFrame, policy: dict, boundary: DataFrame
+) -> DataFrame:
+    """Every subtask with its ranked options and its rejected models.
+
+    ``policy`` gives ``model_strength_order`` and ``trusted_boundary_required_for``;
+    ``boundary`` maps ``state_key`` (model@revision:cell) to ``state``. Models are judged once
+    per distinct requirement profile; a subtask then only prices and sorts its list, which is
+    as long as the catalog, so no row of the subtask table is regrouped.
+    """
+    placed = requirement_profiles(subtasks, models)
+    judged = judged_profiles(placed, models, policy, boundary)
+    priced = F.flatten(
+        F.transform(
+            "__options",
+            lambda o: F.transform(
+                o["efforts"],
+                lambda e: F.struct(
+                    unit_cost(
+                        o["input_price"], o["output_price"], F.col("estimated_input_tokens")
+                    ).alias("estimated_unit_cost"),
+                    o["strength_rank"].alias("strength_rank"),
+                    e["effort_level"].alias("effort_level"),
+                    e["option_id"].alias("option_id"),
+                    o["model_id"].alias("model_id"),
+                    o["model_revision"].alias("model_revision"),
+                    e["reasoning_effort"].alias("reasoning_effort"),
+                    o["boundary_state"].alias("boundary_state"),
                 ),
-                "effort_level": effort_level(F.col("reasoning_effort")),
-            }
+            ),
         )
     )
-    return options, rejected
+    return (
+        placed.join(judged, list(PROFILE))
+        .withColumn("candidates", F.array_sort(priced))
+        .select(*subtasks.columns, "cell", "candidates", "rejected_models")
+    )
 
 
-OPTION_FIELDS = (
-    "option_id", "model_id", "model_revision", "reasoning_effort", "boundary_state",
-    "strength_rank", "estimated_unit_cost", "effort_level",
-)
+def options_of(sets: DataFrame) -> DataFrame:
+    """Long form: one row per task, subtask and option."""
+    return sets.select("task_id", "subtask_id", F.explode("candidates").alias("o")).select(
+        "task_id", "subtask_id", "o.*"
+    )
 
 
-def candidate_sets(options: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per subtask with its options in rank order; the list is as long as the catalog."""
-    ranked = F.array_sort(
-        F.collect_list(
-            F.struct(
-                "estimated_unit_cost", "strength_rank", "effort_level", "option_id", "model_id",
-                "model_revision", "reasoning_effort", "boundary_state",
-            )
-        )
+def rejections_of(sets: DataFrame) -> DataFrame:
+    return sets.select("task_id", "subtask_id", F.explode("rejected_models").alias("r")).select(
+        "task_id", "subtask_id", "r.*"
     )
-    return options.groupBy(*keys).agg(ranked.alias("candidates"))
 
 
-def subtasks_without_options(subtasks: DataFrame, options: DataFrame) -> DataFrame:
-    return subtasks.join(
-        options.select("task_id", "subtask_id"), ["task_id", "subtask_id"], "left_anti"
-    )
+def without_options(sets: DataFrame) -> DataFrame:
+    """Subtasks no model may take."""
+    return sets.filter(F.size("candidates") == 0).select("task_id", "subtask_id", "rejected_models")
+
+
+OPTION_FIELDS = (
+    "option_id", "model_id", "model_revision", "reasoning_effort", "boundary_state",
+    "strength_rank", "estimated_unit_cost", "effort_level",
+)
 
 
 def choice_code(position: Column) -> Column:
@@ -493,29 +508,31 @@ def ranking_prompt() -> Column:
     return F.concat_ws("\n", *head, F.array_join(lines, "\n"), F.lit("Return C## only."))
 
 
-def ranking_rows(
-    subtasks: DataFrame, options: DataFrame, assignments: DataFrame, policy: DataFrame
-) -> DataFrame:
+def ranking_rows(sets: DataFrame, assignments: DataFrame, policy: DataFrame) -> DataFrame:
     """One row per subtask: coded options, teacher's choice, furthest alternative, features.
 
-    ``problem`` marks a teacher choice that is not eligible and subtasks with one option.
+    ``sets`` comes from :func:`candidate_sets`. ``problem`` marks a teacher choice that is not
+    eligible and subtasks with fewer than two options.
     """
     keys = ["task_id", "subtask_id"]
-    sets = candidate_sets(options, keys).withColumn("candidates", coded(F.col("candidates")))
     teacher = assignments.select(
         *keys, F.col("model_id").alias("__model"), F.col("reasoning_effort").alias("__effort")
     )
     tiers = policy.select("risk_verification_tiers").scalar()
     rows = (
-        subtasks.join(sets, keys)
+        sets.filter(F.size("candidates") > 0)
+        .withColumn("candidates", coded(F.col("candidates")))
         .join(teacher, keys, "left")
         .withColumn(
             "chosen",
-            F.filter(
-                "candidates",
-                lambda o: (o["model_id"] == F.col("__model"))
-                & (o["reasoning_effort"] == F.col("__effort")),
-            )[0],
+            F.get(
+                F.filter(
+                    "candidates",
+                    lambda o: (o["model_id"] == F.col("__model"))
+                    & (o["reasoning_effort"] == F.col("__effort")),
+                ),
+                F.lit(0),
+            ),
         )
         .withColumns(
             {
@@ -532,7 +549,7 @@ def ranking_rows(
         F.when(F.size("candidates") < 2, "needs at least two eligible options"),
     )
     return rows.select(
-        *subtasks.columns,
+        *[name for name in sets.columns if name not in ("candidates", "rejected_models")],
         "candidates",
         F.col("chosen.option_id").alias("chosen_option_id"),
         F.col("chosen.choice_id").alias("chosen_choice_id"),
@@ -591,12 +608,11 @@ def compile_routes(
     joined = sets.withColumn("__have", F.lit(True)).join(
         rankings.withColumn("__ranked", F.lit(True)), keys, "full_outer"
     )
-    picked = F.filter(
-        "candidates", lambda o: o["option_id"] == F.col("ranked_option_ids")[0]
-    )[0]
+    first = F.get("ranked_option_ids", F.lit(0))
+    picked = F.get(F.filter("candidates", lambda o: o["option_id"] == first), F.lit(0))
     ids = F.array_sort(F.transform("candidates", lambda o: o["option_id"]))
     rows = joined.withColumns(
-        {"selected": picked, "fallback": fallback_option(F.col("candidates"), F.col("ranked_option_ids")[0])}
+        {"selected": picked, "fallback": fallback_option(F.col("candidates"), first)}
     )
     problem = F.coalesce(
         F.when(F.col("__ranked").isNull(), "ranking is missing"),
@@ -721,7 +737,14 @@ def route_hashes(assignments: DataFrame, routes: DataFrame) -> DataFrame:
             "assignments"
         )
     )
-    return listed.join(routes, "task_id").select(
+    ordered = F.transform(
+        "assignments",
+        lambda a: F.struct(
+            a["model_id"].alias("model_id"), a["reasoning_effort"].alias("reasoning_effort"),
+            a["subtask_id"].alias("subtask_id"),
+        ),
+    )
+    return listed.withColumn("assignments", ordered).join(routes, "task_id").select(
         "task_id",
         hx.row_hash("assignments", "fallback_model_id", "requires_verification").alias(
             "route_hash"
@@ -944,16 +967,16 @@ def ranked_outcomes(references: DataFrame, predictions: DataFrame) -> DataFrame:
     joined = references.join(predictions, "id")
 
     def pick(option):
-        return F.filter("candidates", lambda o: o["option_id"] == option)[0]
+        return F.get(F.filter("candidates", lambda o: o["option_id"] == option), F.lit(0))
 
     rows = joined.withColumns(
-        {"__got": pick(F.col("ranked_option_ids")[0]), "__want": pick(F.col("chosen_option_id"))}
+        {"__got": pick(F.get("ranked_option_ids", F.lit(0))), "__want": pick(F.col("chosen_option_id"))}
     )
     return rows.select(
         "id",
         F.col("confidence").alias("conf"),
         F.coalesce("score_margin", F.lit(0.0)).alias("score_margin"),
-        (F.col("ranked_option_ids")[0] == F.col("chosen_option_id")).alias("passed"),
+        (F.get("ranked_option_ids", F.lit(0)) == F.col("chosen_option_id")).alias("passed"),
         (F.col("__got.model_id") == F.col("__want.model_id")).alias("model_ok"),
         (F.col("__got.reasoning_effort") == F.col("__want.reasoning_effort")).alias("effort_ok"),
     )
@@ -1202,7 +1225,7 @@ def workflow_routes(tasks: DataFrame, workflows: DataFrame, top_k: int = 3) -> D
         ).alias("top")
     )
     joined = tasks.select("task_id", "risk_level").join(ranked, "task_id", "left")
-    best = -F.col("top")[0]["order"]
+    best = -F.try_element_at("top", F.lit(1))["order"]
     second = -F.try_element_at("top", F.lit(2))["order"]
     total = F.aggregate("top", F.lit(0.0), lambda acc, t: acc - t["order"])
     found = F.coalesce(F.size("top"), F.lit(0)) > 0

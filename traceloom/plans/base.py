@@ -498,8 +498,8 @@ def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array(*[F.lit(f"{c}:{r}:{s}") for c in ("code", "search", "general")
                       for r in vocab.RISKS for s in ("small", "medium")])
     revision = F.when(F.col("n_nationkey") % 5 == 0, "r1").otherwise("unversioned")
-    return rows.select(
-        F.concat("n_name", F.lit("@"), revision, F.lit(":"), F.explode(cells)).alias("state_key"),
+    return rows.withColumn("cell", F.explode(cells)).select(
+        F.concat("n_name", F.lit("@"), revision, F.lit(":"), "cell").alias("state_key"),
         F.when(F.col("n_nationkey") % 2 == 0, "trusted").otherwise("conditional").alias("state"),
     )
 

@@ -1 +1,719 @@
-"""Queries."""
+"""Queries over catalogs, subtasks, options, routes and their evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from traceloom.functions import hashing as hx
+from traceloom.functions import numeric as nx
+from traceloom.operators import routing as rt
+from traceloom.plans import base
+from traceloom.plans.base import CATALOG, POLICY, query, table, with_sql
+
+
+def policy_row(spark, sf_dir):
+    """The policy as one row; its strength order lists the nations of the catalog."""
+    order = table(spark, sf_dir, "nation").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))),
+                    lambda x: x["n_name"]).alias("model_strength_order"))
+    tiers = F.create_map(*[F.lit(x) for p in POLICY["risk_verification_tiers"].items() for x in p])
+    return order.select(
+        F.lit("policy").alias("policy_id"), F.lit("v1").alias("policy_version"),
+        "model_strength_order", tiers.alias("risk_verification_tiers"),
+        F.array(F.lit("high"), F.lit("critical")).alias("semantic_verifier_risk_tiers"),
+        F.lit(0.65).alias("semantic_verifier_confidence_threshold"),
+        F.array(F.lit("critical")).alias("trusted_boundary_required_for"))
+
+
+@query(
+    "val_11_catalog",
+    with_sql("""SELECT model_id, array_to_string(list_sort(capabilities), ',') AS capabilities,
+  array_to_string(efforts, ',') AS efforts, availability, NULL AS problem FROM m""", "m"),
+)
+def _(spark, sf_dir):
+    rows = rt.normalize_models(base.models(spark, sf_dir))
+    return rows.select(
+        "model_id", F.array_join("capabilities", ",").alias("capabilities"),
+        F.array_join("supported_reasoning_efforts", ",").alias("efforts"), "availability", "problem")
+
+
+@query("val_11_catalog_hash", with_sql("SELECT count(*) AS model_count, TRUE AS order_free FROM m", "m"))
+def _(spark, sf_dir):
+    rows = rt.normalize_models(base.models(spark, sf_dir))
+    one = rt.catalog_hash(rows)
+    other = rt.catalog_hash(rows.orderBy(F.col("model_id").desc()).repartition(3))
+    return one.join(other.select("catalog_hash", F.lit(True).alias("order_free")), "catalog_hash").select(
+        "model_count", "order_free")
+
+
+def task_documents(spark, sf_dir, cyclic=False):
+    """Orders as tasks whose lines form a chain; optionally some lines close a cycle."""
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.concat_ws("-", F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("sid"),
+        "l_quantity")
+    packed = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("sid", "l_quantity"))).alias("s"))
+    ids = F.transform("s", lambda x: x["sid"])
+
+    def depends(x, i):
+        before = F.when(i > 0, F.array(ids[i - 1]))
+        if cyclic:
+            closing = (F.col("l_orderkey") % 10 == 0) & (i == 0) & (F.size("s") > 1)
+            before = F.when(closing, F.array(F.element_at(ids, -1))).otherwise(before)
+        return F.coalesce(before, F.array().cast("array<string>"))
+
+    subtasks = F.transform(
+        "s",
+        lambda x, i: F.struct(
+            x["sid"].alias("subtask_id"), F.concat(F.lit("do "), x["sid"]).alias("objective"),
+            depends(x, i).alias("depends_on"),
+            F.array().cast("array<string>").alias("required_capabilities"),
+            F.lit(None).cast("string").alias("risk"),
+            F.when(F.col("l_orderkey") % 50 == 0, -1).otherwise(x["l_quantity"]).cast("long").alias(
+                "estimated_input_tokens")))
+    return packed.select(
+        F.concat(F.lit("order-"), "l_orderkey").alias("task_id"),
+        F.lit(None).cast("string").alias("task_group"), F.lit("t").alias("task"),
+        subtasks.alias("subtasks"))
+
+
+@query(
+    "val_12_subtasks",
+    """SELECT 'order-' || l_orderkey AS task_id, sha256('order-' || l_orderkey) AS task_group,
+  count(*) AS subtasks, count(*) - 1 AS edges, 'medium' AS risk,
+  CASE WHEN l_orderkey % 50 = 0 THEN count(*) ELSE 0 END AS problems FROM lineitem GROUP BY l_orderkey""",
+)
+def _(spark, sf_dir):
+    rows = rt.normalize_subtasks(task_documents(spark, sf_dir))
+    return rows.groupBy("task_id", "task_group").agg(
+        F.count(F.lit(1)).alias("subtasks"), F.sum(F.size("depends_on")).alias("edges"),
+        F.first("risk").alias("risk"), F.count("problem").alias("problems"))
+
+
+@query(
+    "val_13_cycles",
+    """SELECT 'order-' || l_orderkey AS task_id, count(*) AS n FROM lineitem
+WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey HAVING count(*) > 1""",
+)
+def _(spark, sf_dir):
+    rows = rt.normalize_subtasks(task_documents(spark, sf_dir, cyclic=True))
+    return rt.cyclic_subtasks(rows).groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CHECK = """chk AS (SELECT b.task_id, b.subtask_id, m.model_id, CASE
+    WHEN m.model_id IS NULL THEN 'model is unavailable'
+    WHEN NOT list_contains(m.efforts, b.effort) THEN 'effort is not supported'
+    WHEN b.capability IS NOT NULL AND NOT list_contains(m.capabilities, b.capability)
+      THEN 'lacks capabilities: ' || b.capability
+    WHEN b.estimated_input_tokens > m.context_window THEN 'context window is too small'
+    WHEN len(m.risk_tiers) > 0 AND NOT list_contains(m.risk_tiers, b.risk)
+      THEN 'not enabled for risk ' || b.risk END AS problem
+  FROM b LEFT JOIN m ON m.model_id = b.nation AND m.enabled)"""
+
+
+@query(
+    "val_14_assignments",
+    with_sql("", "m", "b").rstrip() + f""", {_CHECK}
+SELECT task_id, subtask_id, problem FROM chk""",
+)
+def _(spark, sf_dir):
+    return rt.check_assignments(
+        base.assignments(spark, sf_dir), base.subtasks(spark, sf_dir), base.sound_models(spark, sf_dir)
+    ).select("task_id", "subtask_id", "problem")
+
+
+@query(
+    "val_15_route_hashes",
+    with_sql("""SELECT task_id, sha256('{"assignments":[' || string_agg('{"model_id":"' || nation
+  || '","reasoning_effort":"' || effort || '","subtask_id":"' || subtask_id || '"}', ','
+  ORDER BY subtask_id) || '],"requires_verification":true}') AS route_hash FROM b GROUP BY task_id""",
+             "b"),
+)
+def _(spark, sf_dir):
+    routes = base.subtasks(spark, sf_dir).select("task_id").distinct().select(
+        "task_id", F.lit(None).cast("string").alias("fallback_model_id"),
+        F.lit(True).alias("requires_verification"))
+    return rt.route_hashes(base.assignments(spark, sf_dir), routes)
+
+
+def sets(spark, sf_dir):
+    return rt.candidate_sets(
+        base.subtasks(spark, sf_dir), base.sound_models(spark, sf_dir), POLICY,
+        base.boundary(spark, sf_dir))
+
+
+@query(
+    "join_12_13_candidate_options",
+    with_sql("""SELECT task_id, count(*) AS options, count(DISTINCT model_id) AS models,
+  count(*) FILTER (boundary_state = 'trusted') AS trusted,
+  round(min(estimated_unit_cost), 10) AS cheapest, min(option_id) AS first_id FROM opt GROUP BY task_id""",
+             "m", "b", "opt"),
+)
+def _(spark, sf_dir):
+    rows = rt.options_of(sets(spark, sf_dir))
+    return rows.groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("options"), F.count_distinct("model_id").alias("models"),
+        F.count_if(F.col("boundary_state") == "trusted").alias("trusted"),
+        F.round(F.min("estimated_unit_cost"), 10).alias("cheapest"), F.min("option_id").alias("first_id"))
+
+
+@query(
+    "join_12_rejected_models",
+    with_sql("""SELECT model_id, reason, count(*) AS n FROM c1 WHERE reason IS NOT NULL GROUP BY 1, 2""",
+             "m", "b", "opt"),
+)
+def _(spark, sf_dir):
+    rejected = rt.rejections_of(sets(spark, sf_dir))
+    kind = (
+        F.when(F.col("reason").startswith("lacks"), "capability")
+        .when(F.col("reason").startswith("context"), "context")
+        .when(F.col("reason").startswith("not enabled"), "risk").otherwise("boundary"))
+    return rejected.groupBy("model_id", kind.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SETS = """ro AS (SELECT *, row_number() OVER (PARTITION BY task_id, subtask_id
+    ORDER BY estimated_unit_cost, strength_rank, effort_level, option_id) - 1 AS i,
+    count(*) OVER (PARTITION BY task_id, subtask_id) AS n FROM opt)"""
+
+
+@query(
+    "top_03_option_order",
+    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}
+SELECT task_id, subtask_id, option_id AS best, n AS options FROM ro WHERE i = 0""",
+)
+def _(spark, sf_dir):
+    return sets(spark, sf_dir).filter(F.size("candidates") > 0).select(
+        "task_id", "subtask_id", F.col("candidates")[0]["option_id"].alias("best"),
+        F.size("candidates").alias("options"))
+
+
+def ranking(spark, sf_dir):
+    return rt.ranking_rows(
+        sets(spark, sf_dir), base.assignments(spark, sf_dir), policy_row(spark, sf_dir))
+
+
+_CHOSEN = """ch AS (SELECT * FROM ro WHERE model_id = nation AND option_effort = effort),
+rj AS (SELECT ro.task_id, ro.subtask_id, ro.option_id, row_number() OVER (PARTITION BY ro.task_id,
+    ro.subtask_id ORDER BY abs(ro.strength_rank - ch.strength_rank) DESC,
+    abs(ro.effort_level - ch.effort_level) DESC, ro.option_id DESC) AS r
+  FROM ro JOIN ch USING (task_id, subtask_id) WHERE ro.option_id <> ch.option_id)"""
+
+
+@query(
+    "ds_09_join_14_ranking_rows",
+    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}, {_CHOSEN}
+SELECT s.task_id, s.subtask_id, ch.option_id AS chosen_option_id,
+  CASE WHEN ch.i < 100 THEN 'C' || lpad(CAST(ch.i AS VARCHAR), 2, '0') ELSE 'C' || ch.i END
+    AS chosen_choice_id, rj.option_id AS rejected_option_id, s.n AS eligible_option_count,
+  CASE WHEN ch.option_id IS NULL THEN 'teacher route selects an ineligible option'
+    WHEN s.n < 2 THEN 'needs at least two eligible options' END AS problem
+FROM (SELECT DISTINCT task_id, subtask_id, n FROM ro) s LEFT JOIN ch USING (task_id, subtask_id)
+LEFT JOIN rj ON rj.task_id = s.task_id AND rj.subtask_id = s.subtask_id AND rj.r = 1""",
+)
+def _(spark, sf_dir):
+    return ranking(spark, sf_dir).select(
+        "task_id", "subtask_id", "chosen_option_id", "chosen_choice_id", "rejected_option_id",
+        "eligible_option_count", "problem")
+
+
+@query(
+    "row_16_features",
+    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}
+SELECT task_id, subtask_id, any_value(CASE risk WHEN 'low' THEN 'none' WHEN 'medium' THEN 'standard'
+    WHEN 'high' THEN 'strong' ELSE 'independent' END) AS verification_floor,
+  string_agg(DISTINCT boundary_state, ',' ORDER BY boundary_state) AS boundary_states,
+  any_value(contains(lower(task || ' ' || objective), 'security')) AS security,
+  any_value(contains(lower(task || ' ' || objective), 'migration')) AS migration
+FROM ro GROUP BY task_id, subtask_id""",
+)
+def _(spark, sf_dir):
+    return ranking(spark, sf_dir).select(
+        "task_id", "subtask_id", "verification_floor",
+        F.array_join("boundary_states", ",").alias("boundary_states"), "signals.security",
+        "signals.migration")
+
+
+@query(
+    "row_17_ranking_prompts",
+    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}
+SELECT task_id, subtask_id, 'obj=' || any_value(objective) AS line2, 'risk='
+  || upper(substr(any_value(risk), 1, 1)) || ' tok=' || any_value(estimated_input_tokens) || ' cap='
+  || coalesce(any_value(capability), 'general') || ' dep=-' AS line3, count(*) + 5 AS lines
+FROM ro GROUP BY task_id, subtask_id""",
+)
+def _(spark, sf_dir):
+    lines = F.split("prompt", "\n")
+    return ranking(spark, sf_dir).select(
+        "task_id", "subtask_id", lines[1].alias("line2"), lines[2].alias("line3"),
+        F.size(lines).alias("lines"))
+
+
+@query(
+    "row_13_unit_cost",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_suppkey % 9 = 0 THEN 1e12::DOUBLE
+  ELSE round((q * 1.5::DOUBLE + greatest(64, least(4096, q // 8)) * (l_suppkey % 7)) / 1e6::DOUBLE, 10)
+  END AS cost FROM (SELECT *, CAST(l_quantity * 900 AS BIGINT) AS q FROM lineitem)""",
+)
+def _(spark, sf_dir):
+    tokens = (F.col("l_quantity") * 900).cast("long")
+    priced = F.col("l_suppkey") % 9 != 0
+    cost = rt.unit_cost(F.when(priced, F.lit(1.5)), F.when(priced, (F.col("l_suppkey") % 7).cast("double")), tokens)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(cost, 10).alias("cost"))
+
+
+@query(
+    "row_15_option_ids",
+    """SELECT l_suppkey, l_linenumber, 'opt_' || substr(sha256('c:m' || l_suppkey || ':e' || l_linenumber), 1, 12)
+  AS option_id FROM (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem)""",
+)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber").distinct()
+    return rows.select(
+        "l_suppkey", "l_linenumber",
+        rt.option_id(F.lit("c"), F.concat(F.lit("m"), "l_suppkey"), F.concat(F.lit("e"), "l_linenumber"))
+        .alias("option_id"))
+
+
+@query(
+    "row_14_route_cells",
+    with_sql("""SELECT coalesce(capability, 'general') || ':' || risk || ':' || CASE
+  WHEN estimated_input_tokens <= 8000 THEN 'small' WHEN estimated_input_tokens <= 32000 THEN 'medium'
+  ELSE 'large' END AS cell, count(*) AS n FROM b GROUP BY 1""", "b"),
+)
+def _(spark, sf_dir):
+    cell = rt.route_cell(F.col("required_capabilities"), F.col("risk"), F.col("estimated_input_tokens"))
+    return base.subtasks(spark, sf_dir).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "set_04_array_algebra",
+    with_sql("""SELECT model_id, capability, count(*) AS missing FROM m, (SELECT capability FROM b
+  WHERE capability IS NOT NULL) x WHERE NOT list_contains(capabilities, capability) GROUP BY 1, 2""",
+             "m", "b"),
+)
+def _(spark, sf_dir):
+    needs = base.subtasks(spark, sf_dir).groupBy("required_capabilities").agg(F.count(F.lit(1)).alias("n"))
+    needs = needs.withColumn("catalog_hash", F.lit(CATALOG))
+    pairs = base.sound_models(spark, sf_dir).join(needs, "catalog_hash")
+    missing = F.explode(rt.missing_capabilities(F.col("required_capabilities"), F.col("capabilities")))
+    return pairs.select("model_id", missing.alias("capability"), "n").groupBy("model_id", "capability").agg(
+        F.sum("n").alias("missing"))
+
+
+@query("val_33_policy", "SELECT count(*) AS models, TRUE AS sound FROM nation")
+def _(spark, sf_dir):
+    row = rt.normalize_policy(policy_row(spark, sf_dir))
+    return row.select(F.size("model_strength_order").alias("models"), F.col("problem").isNull().alias("sound"))
+
+
+def compiled(spark, sf_dir):
+    rows = sets(spark, sf_dir).filter(F.size("candidates") > 0).select(
+        "task_id", "subtask_id", "risk", _tier().alias("minimum_tier"), "candidates")
+    ids = F.transform("candidates", lambda o: o["option_id"])
+    rankings = rows.select(
+        "task_id", "subtask_id", F.reverse(ids).alias("ranked_option_ids"),
+        F.when(F.size("candidates") % 2 == 0, 0.9).otherwise(0.5).alias("confidence"),
+        F.lit("standard").alias("requested_tier"))
+    return rt.compile_routes(rows, rankings, POLICY)
+
+
+def _tier():
+    from traceloom.operators.normalize import literal_map
+
+    return F.try_element_at(literal_map(POLICY["risk_verification_tiers"]), F.col("risk"))
+
+
+_ROUTES = """sel AS (SELECT * FROM ro WHERE i = n - 1),
+fb AS (SELECT ro.task_id, ro.subtask_id, ro.option_id, row_number() OVER (PARTITION BY ro.task_id,
+    ro.subtask_id ORDER BY ro.strength_rank DESC, ro.effort_level DESC, ro.estimated_unit_cost,
+    ro.option_id DESC) AS r FROM ro JOIN sel USING (task_id, subtask_id)
+  WHERE ro.option_id <> sel.option_id)"""
+
+
+@query(
+    "top_04_compile_routes",
+    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}, {_ROUTES}
+SELECT sel.task_id, sel.subtask_id, sel.option_id, fb.option_id AS fallback_option_id,
+  CASE sel.risk WHEN 'high' THEN 'strong' WHEN 'critical' THEN 'independent' ELSE 'standard' END
+    AS verification_tier,
+  concat_ws(',', CASE WHEN sel.boundary_state <> 'trusted' THEN 'boundary-' || sel.boundary_state END,
+    CASE WHEN sel.n % 2 <> 0 THEN 'low-confidence' END,
+    CASE WHEN sel.risk IN ('high', 'critical') THEN 'risk-' || sel.risk END) AS triggers
+FROM sel LEFT JOIN fb ON fb.task_id = sel.task_id AND fb.subtask_id = sel.subtask_id AND fb.r = 1""",
+)
+def _(spark, sf_dir):
+    return compiled(spark, sf_dir).select(
+        "task_id", "subtask_id", "option_id", "fallback_option_id", "verification_tier",
+        F.array_join("verifier_triggers", ",").alias("triggers"))
+
+
+@query(
+    "val_34_route_violations",
+    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}, {_ROUTES}
+SELECT violation, count(*) AS n FROM (SELECT CASE WHEN sel.option_id IS NULL
+    THEN 'subtask is not covered' WHEN sel.n < 2 THEN 'fallback option is not eligible'
+    WHEN sel.risk = 'critical' THEN 'verification tier is below the minimum' END AS violation
+  FROM b LEFT JOIN sel USING (task_id, subtask_id)) WHERE violation IS NOT NULL GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    rows = rt.options_of(sets(spark, sf_dir))
+    routes = compiled(spark, sf_dir).withColumn(
+        "verification_tier",
+        F.when(F.col("verification_tier") == "independent", "strong").otherwise(F.col("verification_tier")))
+    found = rt.route_violations(
+        routes.select("task_id", "subtask_id", "option_id", "fallback_option_id", "verification_tier"),
+        rows, base.subtasks(spark, sf_dir), POLICY)
+    return found.groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- feedback and preferences
+
+
+def feedback_raw(spark, sf_dir):
+    """Order lines as observed outcomes of routes, some ids repeated."""
+    key = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("out-"), key, F.lit("-"), F.col("l_linenumber")).alias("outcome_id"),
+        F.concat(F.lit("g-"), key).alias("task_group"),
+        F.concat(F.lit("route-"), F.col("l_linenumber") % 4).alias("route_hash"),
+        (F.col("l_returnflag") != "R").alias("verified"), (1 - F.col("l_discount")).alias("quality"),
+        (F.col("l_extendedprice") / 100000).alias("cost_usd"),
+        (F.ln(F.col("l_quantity") + 1) * 1000).alias("latency_ms"),
+        (F.col("l_partkey") % 1000).cast("double").alias("reasoning_tokens"),
+        F.lit(5000.0).alias("total_tokens"))
+
+
+_FEED = """fr AS (SELECT DISTINCT 'out-' || l_orderkey || '-' || l_linenumber AS outcome_id,
+    'g-' || l_orderkey AS task_group, 'route-' || (l_linenumber % 4) AS route_hash,
+    l_returnflag <> 'R' AS verified, 1 - l_discount AS quality, l_extendedprice / 100000 AS cost_usd,
+    ln(l_quantity + 1) * 1000 AS latency_ms, CAST(l_partkey % 1000 AS DOUBLE) AS reasoning_tokens FROM lineitem),
+fu AS (SELECT *, round(0.55::DOUBLE * CASE WHEN verified THEN 1 ELSE 0 END + 0.35::DOUBLE * quality
+    - 0.04::DOUBLE * least(cost_usd, 1) - 0.03::DOUBLE * least(latency_ms / 60000, 1)
+    - 0.03::DOUBLE * least(reasoning_tokens / 100000, 1), 8) AS utility FROM fr),
+fc AS (SELECT outcome_id FROM fu GROUP BY 1 HAVING count(*) > 1),
+fb AS (SELECT * FROM fu WHERE outcome_id NOT IN (SELECT outcome_id FROM fc))"""
+
+
+@query("val_18_feedback", f"WITH {_FEED} SELECT outcome_id, round(utility, 7) AS utility FROM fb")
+def _(spark, sf_dir):
+    rows, _ = rt.normalize_feedback(feedback_raw(spark, sf_dir))
+    return rows.select("outcome_id", F.round("utility", 7).alias("utility"))
+
+
+@query("val_18_feedback_conflicts", f"WITH {_FEED} SELECT outcome_id FROM fc")
+def _(spark, sf_dir):
+    _, conflicts = rt.normalize_feedback(feedback_raw(spark, sf_dir))
+    return conflicts.select("outcome_id")
+
+
+@query(
+    "ds_08_outcome_preferences",
+    f"""WITH {_FEED},
+rts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_group, route_hash
+  ORDER BY outcome_id DESC) AS r FROM fb) WHERE r = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY task_group ORDER BY utility, outcome_id) AS lo,
+  row_number() OVER (PARTITION BY task_group ORDER BY utility DESC, outcome_id DESC) AS hi,
+  count(*) OVER (PARTITION BY task_group) AS n FROM rts)
+SELECT a.task_group, a.outcome_id AS chosen_outcome_id, b.outcome_id AS rejected_outcome_id,
+  round(a.utility - b.utility, 7) AS utility_gap FROM rk a JOIN rk b ON a.task_group = b.task_group
+  AND a.hi = 1 AND b.lo = 1 WHERE a.n >= 2 AND a.verified AND a.utility - b.utility >= 0.05""",
+)
+def _(spark, sf_dir):
+    rows, _ = rt.normalize_feedback(feedback_raw(spark, sf_dir))
+    return rt.preferences_from_feedback(rows).select(
+        "task_group", "chosen_outcome_id", "rejected_outcome_id", F.round("utility_gap", 7).alias("utility_gap"))
+
+
+@query(
+    "join_17_task_resolution",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'g-' || o_custkey
+  WHEN o_orderkey % 3 = 1 AND c_custkey IS NOT NULL THEN 'g-' || o_custkey END AS resolved_group
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 10 <> 0""",
+)
+def _(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    base_rows = customers.select(
+        F.concat(F.lit("t-"), "c_custkey").alias("task_id"), F.concat(F.lit("g-"), "c_custkey").alias("task_group"))
+    twice = customers.filter("c_custkey % 10 = 0").select(
+        F.concat(F.lit("t-"), "c_custkey").alias("task_id"), F.concat(F.lit("other-"), "c_custkey").alias("task_group"))
+    key = F.col("o_orderkey") % 3
+    raw = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(key == 0, F.concat(F.lit("g-"), "o_custkey")).alias("task_group"),
+        F.when(key != 2, F.concat(F.lit("t-"), "o_custkey")).otherwise("?").alias("task_id"))
+    return rt.resolve_tasks(raw, base_rows.unionByName(twice)).select("o_orderkey", "resolved_group")
+
+
+@query(
+    "join_16_observed_outcomes",
+    f"""WITH {_FEED}, nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_group, route_hash
+  ORDER BY outcome_id DESC) AS r FROM fb) WHERE r = 1)
+SELECT round(avg(CASE WHEN nw.task_group IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS coverage,
+  round(avg(CASE WHEN nw.verified THEN 1.0 WHEN nw.task_group IS NOT NULL THEN 0.0 END), 9) AS verified_rate,
+  round(avg(nw.quality), 7) AS quality, round(avg(nw.latency_ms), 4) AS latency_ms
+FROM orders LEFT JOIN nw ON nw.task_group = 'g-' || o_orderkey AND nw.route_hash = 'route-1'""",
+)
+def _(spark, sf_dir):
+    rows, _ = rt.normalize_feedback(feedback_raw(spark, sf_dir))
+    refs = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("g-"), "o_orderkey").alias("task_group"), F.lit("route-1").alias("route_hash"))
+    out = rt.observational_metrics(refs, rows)
+    return out.select(
+        F.round("coverage", 9).alias("coverage"), F.round("verified_rate", 9).alias("verified_rate"),
+        F.round("quality", 7).alias("quality"), F.round("latency_ms", 4).alias("latency_ms"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+def predicted_assignments(spark, sf_dir):
+    """Predictions that repeat the reference except where the part key says otherwise."""
+    part = F.split("subtask_id", "-")[1].cast("long")
+    return base.assignments(spark, sf_dir).select(
+        F.col("task_id").alias("id"), "subtask_id",
+        F.when(part % 5 == 0, "NATION_0").otherwise(F.col("model_id")).alias("model_id"),
+        F.when(part % 4 == 0, "low").otherwise(F.col("reasoning_effort")).alias("reasoning_effort"))
+
+
+@query(
+    "agg_13_routing_evaluation",
+    with_sql("", "b").rstrip() + """,
+p AS (SELECT *, CAST(string_split(subtask_id, '-')[2] AS BIGINT) AS pk FROM b),
+x AS (SELECT *, CASE WHEN pk % 5 = 0 THEN 'NATION_0' ELSE nation END AS pm,
+  CASE WHEN pk % 4 = 0 THEN 'low' ELSE effort END AS pe,
+  bool_or(pk % 77 = 0) OVER (PARTITION BY task_id) AS bad FROM p),
+lv AS (SELECT *, CASE effort WHEN 'low' THEN 1.0 WHEN 'medium' THEN 2.0 ELSE 3.0 END AS wl,
+  CASE pe WHEN 'low' THEN 1.0 WHEN 'medium' THEN 2.0 ELSE 3.0 END AS gl FROM x),
+g AS (SELECT task_id, count(*) AS n, bool_or(bad) AS bad,
+  count(*) FILTER (NOT bad AND pm = nation AND pe = effort) AS c FROM lv GROUP BY 1)
+SELECT (SELECT count(*) FROM g) AS rows,
+  round((SELECT avg(CASE WHEN bad THEN 0.0 ELSE 1.0 END) FROM g), 9) AS valid_route_rate,
+  round((SELECT avg(CASE WHEN NOT bad AND c = n THEN 1.0 ELSE 0.0 END) FROM g), 9) AS exact_route_accuracy,
+  round(avg(CASE WHEN NOT bad AND pm = nation AND pe = effort THEN 1.0 ELSE 0.0 END), 9)
+    AS subtask_assignment_accuracy,
+  round(avg(CASE WHEN NOT bad AND pm = nation THEN 1.0 ELSE 0.0 END), 9) AS subtask_model_accuracy,
+  round(avg(gl) FILTER (NOT bad), 9) AS average_reasoning_effort_level,
+  round(avg(wl), 9) AS reference_average_reasoning_effort_level FROM lv""",
+)
+def _(spark, sf_dir):
+    truth = base.assignments(spark, sf_dir).withColumnRenamed("task_id", "id")
+    invalid = truth.filter(F.split("subtask_id", "-")[1].cast("long") % 77 == 0).select("id")
+    out = rt.routing_metrics(truth, predicted_assignments(spark, sf_dir), invalid)
+    names = ("valid_route_rate", "exact_route_accuracy", "subtask_assignment_accuracy",
+             "subtask_model_accuracy", "average_reasoning_effort_level",
+             "reference_average_reasoning_effort_level")
+    return out.select("rows", *[F.round(n, 9).alias(n) for n in names])
+
+
+@query(
+    "join_15_set_02_coverage",
+    """SELECT o_orderkey AS id, 'missing' AS side FROM orders WHERE o_orderkey NOT IN
+  (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT DISTINCT l_orderkey, 'extra' FROM lineitem WHERE l_orderkey NOT IN
+  (SELECT o_orderkey FROM orders)""",
+)
+def _(spark, sf_dir):
+    refs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    preds = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return rt.coverage(refs, preds)
+
+
+def ranking_predictions(spark, sf_dir):
+    """Ranking references and predictions that start from the cheapest option."""
+    rows = ranking(spark, sf_dir).filter("chosen_option_id is not null").withColumn(
+        "id", F.concat_ws("/", "task_id", "subtask_id"))
+    refs = rows.select("id", "candidates", "chosen_option_id", "prompt", "risk")
+    part = F.split("subtask_id", "-")[1].cast("long")
+    preds = rows.select(
+        "id", F.transform("candidates", lambda o: o["option_id"]).alias("ranked_option_ids"),
+        ((part % 101) / 100).alias("confidence"), ((part % 7) / 7).alias("score_margin"),
+        hx.sha("prompt").alias("prompt_sha256"))
+    return refs, preds
+
+
+@query(
+    "agg_14_ranking_evaluation",
+    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}, {_CHOSEN},
+z AS (SELECT ch.*, f.option_id = ch.option_id AS ok, f.model_id = ch.model_id AS mok,
+    (CAST(string_split(ch.subtask_id, '-')[2] AS BIGINT) % 101) / 100 AS conf
+  FROM ch JOIN ro f ON f.task_id = ch.task_id AND f.subtask_id = ch.subtask_id AND f.i = 0),
+bn AS (SELECT least(CAST(floor(conf * 10) AS INT), 9) AS bin, count(*) AS n, avg(conf) AS c,
+  avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS a FROM z GROUP BY 1)
+SELECT count(*) AS rows, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 9) AS option_accuracy,
+  round(avg(CASE WHEN mok THEN 1.0 ELSE 0.0 END), 9) AS model_accuracy,
+  round(avg(conf), 9) AS mean_confidence,
+  round(avg(pow(conf - CASE WHEN ok THEN 1 ELSE 0 END, 2)), 9) AS brier_score,
+  round((SELECT sum(n * abs(c - a)) / sum(n) FROM bn), 6) AS ece FROM z""",
+)
+def _(spark, sf_dir):
+    out = rt.ranking_metrics(*ranking_predictions(spark, sf_dir))
+    names = ("option_accuracy", "model_accuracy", "mean_confidence", "brier_score")
+    return out.select("rows", *[F.round(n, 9).alias(n) for n in names], F.round("ece", 6).alias("ece"))
+
+
+@query(
+    "row_18_rule_routes",
+    with_sql("""SELECT subtask_id, task_id, CASE WHEN risk IN ('critical', 'high') THEN 'top'
+  WHEN risk = 'medium' THEN 'mid' ELSE 'small' END AS model_id, CASE risk WHEN 'critical' THEN 'xhigh'
+  WHEN 'high' THEN 'high' WHEN 'medium' THEN 'medium' ELSE CASE WHEN capability = 'code' THEN 'medium'
+  ELSE 'low' END END AS effort, CASE WHEN risk IN ('critical', 'high') THEN 'mid' WHEN risk = 'medium'
+  THEN 'top' ELSE 'mid' END AS worse FROM b""", "b"),
+)
+def _(spark, sf_dir):
+    tiers = {"small": "small", "mid": "mid", "top": "top"}
+    rows = base.subtasks(spark, sf_dir).withColumn(
+        "r", rt.rule_route(F.col("risk"), F.col("required_capabilities"), tiers))
+    return rows.select(
+        "subtask_id", "task_id", "r.model_id", F.col("r.reasoning_effort").alias("effort"),
+        rt.worse_route(F.col("r.model_id"), F.col("risk"), tiers)["model_id"].alias("worse"))
+
+
+def prediction_outcomes(spark, sf_dir):
+    key = F.col("l_partkey")
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") <= 3, "low").when(F.col("l_linenumber") <= 5, "medium")
+        .otherwise("high").alias("risk"),
+        (key % 3 != 0).alias("correct"), (key % 4 != 0).alias("model_correct"),
+        (key % 5 != 0).alias("effort_correct"), (key % 11 != 0).alias("valid"),
+        ((key % 101) / 100).alias("confidence"))
+
+
+_PO = """po AS (SELECT l_linenumber <= 5 AS low, l_partkey % 3 <> 0 AS ok, l_partkey % 4 <> 0 AS mok,
+  l_partkey % 5 <> 0 AS eok, l_partkey % 11 <> 0 AS valid, (l_partkey % 101) / 100 AS conf FROM lineitem)"""
+
+
+@query(
+    "agg_16_selective_table",
+    f"""WITH {_PO} SELECT t AS threshold, count(*) FILTER (valid AND conf >= t) AS accepted,
+  count(*) AS eligible_low_medium, round(avg(CASE WHEN valid AND conf >= t THEN 1.0 ELSE 0.0 END), 9)
+  AS coverage, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) FILTER (valid AND conf >= t), 9) AS precision
+FROM po, (VALUES (0.5::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE),
+  (0.97::DOUBLE)) AS g(t) WHERE low GROUP BY t""",
+)
+def _(spark, sf_dir):
+    rows = rt.selective_table(prediction_outcomes(spark, sf_dir))
+    return rows.select("threshold", "accepted", "eligible_low_medium", F.round("coverage", 9).alias("coverage"),
+                       F.round("precision", 9).alias("precision"))
+
+
+@query(
+    "agg_16_prediction_metrics",
+    f"""WITH {_PO} SELECT count(*) AS rows, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 9)
+  AS option_accuracy, round(avg(CASE WHEN mok THEN 1.0 ELSE 0.0 END), 9) AS model_accuracy,
+  round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 9) AS valid_combination_rate,
+  round(avg(pow(conf - CASE WHEN ok THEN 1 ELSE 0 END, 2)), 8) AS brier_score FROM po""",
+)
+def _(spark, sf_dir):
+    out = rt.prediction_metrics(prediction_outcomes(spark, sf_dir))
+    return out.select("rows", F.round("option_accuracy", 9).alias("option_accuracy"),
+                      F.round("model_accuracy", 9).alias("model_accuracy"),
+                      F.round("valid_combination_rate", 9).alias("valid_combination_rate"),
+                      F.round("brier_score", 8).alias("brier_score"))
+
+
+@query(
+    "row_19_selective_decisions",
+    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS},
+u AS (SELECT task_id, subtask_id, any_value(risk) AS risk, bool_and(boundary_state = 'trusted') AS tr,
+  count(*) AS n, any_value(CAST(string_split(subtask_id, '-')[2] AS BIGINT)) AS pk FROM ro GROUP BY 1, 2)
+SELECT task_id, subtask_id, concat_ws(',', CASE WHEN risk NOT IN ('low', 'medium')
+    THEN 'risk-requires-teacher' END, CASE WHEN pk % 10 = 0 THEN 'invalid-model-effort-combination' END,
+  CASE WHEN pk % 2 = 0 THEN 'confidence-below-threshold' END,
+  CASE WHEN NOT tr THEN 'capability-boundary-not-trusted' END) AS reasons, n AS ranked FROM u""",
+)
+def _(spark, sf_dir):
+    part = F.split("subtask_id", "-")[1].cast("long")
+    rows = ranking(spark, sf_dir).withColumns(
+        {
+            "predicted_option_id": F.when(part % 10 != 0, F.col("candidates")[0]["option_id"]),
+            "confidence": F.when(part % 2 == 0, 0.5).otherwise(0.99),
+        })
+    out = rt.selective_decision(rows)
+    return out.select("task_id", "subtask_id", F.array_join("reasons", ",").alias("reasons"),
+                      F.size("ranked_option_ids").alias("ranked"))
+
+
+@query(
+    "spl_01_group_split",
+    with_sql("", "b").rstrip() + """,
+g AS (SELECT DISTINCT task_group FROM b),
+r AS (SELECT *, row_number() OVER (ORDER BY sha256('1701:' || task_group), task_group) - 1 AS n,
+  count(*) OVER () AS c FROM g)
+SELECT r.task_group, CASE WHEN n < greatest(1, least(c - 1, round_even(c * 0.2::DOUBLE, 0))) THEN 'eval'
+  ELSE 'train' END AS split, count(*) AS rows FROM b JOIN r USING (task_group) GROUP BY 1, 2""",
+)
+def _(spark, sf_dir):
+    rows = base.subtasks(spark, sf_dir).select("task_group")
+    return rt.group_split(rows, rows).groupBy("task_group", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "ds_06_route_sft_rows",
+    with_sql("""SELECT task_id, sha256('P ' || task_id) AS prompt_hash, '{"assignments":['
+  || string_agg('{"model_id":"' || nation || '","reasoning_effort":"' || effort || '","subtask_id":"'
+  || subtask_id || '"}', ',' ORDER BY subtask_id) || ']}' AS completion FROM b GROUP BY task_id""", "b"),
+)
+def _(spark, sf_dir):
+    from traceloom.operators.datasets import sft_rows
+
+    routes = base.assignments(spark, sf_dir).groupBy("task_id").agg(
+        F.array_sort(F.collect_list(F.struct("subtask_id", "model_id", "reasoning_effort"))).alias("assignments"))
+    rows = routes.select(
+        "task_id", F.col("task_id").alias("task_group"), F.lit(CATALOG).alias("catalog_hash"),
+        F.concat(F.lit("P "), "task_id").alias("prompt"), F.to_json(F.struct("assignments")).alias("route"))
+    return sft_rows(rows).select("task_id", hx.sha("prompt").alias("prompt_hash"), "completion")
+
+
+@query(
+    "ds_07_val_19_route_preferences",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'routes must be JSON objects'
+  WHEN o_orderkey % 2 = 0 THEN 'chosen and rejected routes must differ' END AS problem,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'pair-' || o_orderkey ELSE 'made' END AS pair FROM orders""",
+)
+def _(spark, sf_dir):
+    from traceloom.operators.datasets import route_preference_rows
+
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(key % 5 == 0, F.concat(F.lit("pair-"), key)).alias("pair_id"),
+        F.lit("c").alias("catalog_hash"), F.col("o_custkey").alias("task_group"),
+        F.lit("p").alias("prompt"), F.lit('{"a":1,"b":2}').alias("chosen"),
+        F.when(key % 6 == 0, "{").when(key % 2 == 0, '{"b":2, "a":1}').otherwise('{"a":2}').alias("rejected"))
+    out = route_preference_rows(rows)
+    pair = F.when(F.col("pair_id").startswith("route_pref_"), "made").otherwise(F.col("pair_id"))
+    return out.select("o_orderkey", "problem", pair.alias("pair"))
+
+
+@query(
+    "fn_04_math",
+    """SELECT event_id, round(CASE WHEN p > 0 AND p < 1 THEN -p * ln(p) - (1 - p) * ln(1 - p) ELSE 0 END, 9)
+  AS entropy, round(exp(p) / (exp(p) + exp(2.0::DOUBLE) + exp(0.0::DOUBLE)), 9) AS softmax,
+  round(ln(1 + exp(-p)), 9) AS softplus FROM (SELECT event_id, least(value / 100, 1) AS p FROM events)""",
+)
+def _(spark, sf_dir):
+    p = F.least(F.col("value") / 100, F.lit(1.0))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.round(nx.binary_entropy(p), 9).alias("entropy"),
+        F.round(nx.softmax(F.array(p, F.lit(2.0), F.lit(0.0)))[0], 9).alias("softmax"),
+        F.round(nx.softplus_negative(p), 9).alias("softplus"))
+
+
+@query(
+    "fn_05_array_functions",
+    with_sql("SELECT model_id, len(efforts) AS efforts, efforts[1] AS least FROM m", "m"),
+)
+def _(spark, sf_dir):
+    rows = base.sound_models(spark, sf_dir)
+    efforts = F.col("supported_reasoning_efforts")
+    return rows.select("model_id", F.size(efforts).alias("efforts"), efforts[0].alias("least"))
+
+
+@query(
+    "fn_06_zoned_timestamps",
+    "SELECT event_id, event_id % 3 <> 2 AS zoned FROM events",
+)
+def _(spark, sf_dir):
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    key = F.col("event_id") % 3
+    stamp = F.when(key == 0, F.concat(text, F.lit("Z"))).when(key == 1, F.concat(text, F.lit("+02:00"))).otherwise(text)
+    return table(spark, sf_dir, "events").select("event_id", rt.has_zone(stamp).alias("zoned"))
