@@ -282,9 +282,16 @@ def requirement_profiles(subtasks: DataFrame, models: DataFrame) -> DataFrame:
     Whether a model may take a subtask depends on its capabilities, risk, cell and this
     window only, so subtasks that agree on them share one judgement of the catalog.
     """
-    windows = models.agg(F.array_sort(F.collect_set("context_window"))).scalar()
     tokens = F.col("estimated_input_tokens")
-    fits = F.array_min(F.filter(windows, lambda w: w >= tokens))
+    # Distinct window sizes of a catalog are a handful; the limit keeps the driver safe anyway.
+    found = models.select("context_window").distinct().limit(PACKED_MODELS + 1).collect()
+    sizes = sorted(row["context_window"] for row in found)
+    if len(sizes) > PACKED_MODELS:
+        fits = tokens
+    else:
+        fits = F.array_min(
+            F.filter(F.array(*[F.lit(size).cast("long") for size in sizes]), lambda w: w >= tokens)
+        )
     return subtasks.withColumns(
         {
             "cell": route_cell(F.col("required_capabilities"), F.col("risk"), tokens),
@@ -360,10 +367,13 @@ def judged_profiles(
 
 
 def candidate_sets(
-    subtasks: DataFrame, models: DataFrame, policy: dict, boundary: DataFrame
+    subtasks: DataFrame, models: DataFrame, policy: dict, boundary: DataFrame,
+    eligible_only: bool = False,
 ) -> DataFrame:
     """Every subtask with its ranked options and its rejected models.
 
+    ``eligible_only`` leaves out subtasks no model may take, before options are priced.
+
     ``policy`` gives ``model_strength_order`` and ``trusted_boundary_required_for``;
     ``boundary`` maps ``state_key`` (model@revision:cell) to ``state``. Models are judged once
     per distinct requirement profile; a subtask then only prices and sorts its list, which is
@@ -371,22 +381,31 @@ def candidate_sets(
     """
     placed = requirement_profiles(subtasks, models)
     judged = judged_profiles(placed, models, policy, boundary)
+    if eligible_only:
+        judged = judged.filter(F.size("__options") > 0)
+    with_cost = F.transform(
+        "__options",
+        lambda o: F.struct(
+            unit_cost(o["input_price"], o["output_price"], F.col("estimated_input_tokens")).alias(
+                "cost"
+            ),
+            o.alias("o"),
+        ),
+    )
     priced = F.flatten(
         F.transform(
-            "__options",
-            lambda o: F.transform(
-                o["efforts"],
+            with_cost,
+            lambda x: F.transform(
+                x["o"]["efforts"],
                 lambda e: F.struct(
-                    unit_cost(
-                        o["input_price"], o["output_price"], F.col("estimated_input_tokens")
-                    ).alias("estimated_unit_cost"),
-                    o["strength_rank"].alias("strength_rank"),
+                    x["cost"].alias("estimated_unit_cost"),
+                    x["o"]["strength_rank"].alias("strength_rank"),
                     e["effort_level"].alias("effort_level"),
                     e["option_id"].alias("option_id"),
-                    o["model_id"].alias("model_id"),
-                    o["model_revision"].alias("model_revision"),
+                    x["o"]["model_id"].alias("model_id"),
+                    x["o"]["model_revision"].alias("model_revision"),
                     e["reasoning_effort"].alias("reasoning_effort"),
-                    o["boundary_state"].alias("boundary_state"),
+                    x["o"]["boundary_state"].alias("boundary_state"),
                 ),
             ),
         )
@@ -511,7 +530,7 @@ def ranking_prompt() -> Column:
 def ranking_rows(sets: DataFrame, assignments: DataFrame, policy: DataFrame) -> DataFrame:
     """One row per subtask: coded options, teacher's choice, furthest alternative, features.
 
-    ``sets`` comes from :func:`candidate_sets`. ``problem`` marks a teacher choice that is not
+    ``sets`` comes from :func:`candidate_sets` with ``eligible_only``. ``problem`` marks a teacher choice that is not
     eligible and subtasks with fewer than two options.
     """
     keys = ["task_id", "subtask_id"]
@@ -520,8 +539,7 @@ def ranking_rows(sets: DataFrame, assignments: DataFrame, policy: DataFrame) ->
     )
     tiers = policy.select("risk_verification_tiers").scalar()
     rows = (
-        sets.filter(F.size("candidates") > 0)
-        .withColumn("candidates", coded(F.col("candidates")))
+        sets.withColumn("candidates", coded(F.col("candidates")))
         .join(teacher, keys, "left")
         .withColumn(
             "chosen",
@@ -1195,15 +1213,17 @@ def workflow_routes(tasks: DataFrame, workflows: DataFrame, top_k: int = 3) -> D
     words = trigger.filter("kind = 'keywords'").agg(
         F.array_sort(F.collect_set("value")).alias("words")
     )
-    texts = tasks.select(
-        "task_id",
-        F.lit("keywords").alias("kind"),
-        F.explode(
-            F.filter(
-                F.coalesce(words.scalar(), F.array().cast("array<string>")),
-                lambda w: F.contains(F.lower(F.coalesce("text", F.lit(""))), w),
-            )
-        ).alias("value"),
+    # One row of distinct trigger words, joined by broadcast on a constant.
+    texts = (
+        tasks.withColumn("__one", F.lit(1))
+        .join(F.broadcast(words.withColumn("__one", F.lit(1))), "__one")
+        .select(
+            "task_id",
+            F.lit("keywords").alias("kind"),
+            F.explode(
+                F.filter("words", lambda w: F.contains(F.lower(F.coalesce("text", F.lit(""))), w))
+            ).alias("value"),
+        )
     )
     weight = literal_map(vocab.TRIGGER_WEIGHTS)
     scores = (

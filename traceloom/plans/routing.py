@@ -136,10 +136,10 @@ def _(spark, sf_dir):
     return rt.route_hashes(base.assignments(spark, sf_dir), routes)
 
 
-def sets(spark, sf_dir):
+def sets(spark, sf_dir, eligible_only=True):
     return rt.candidate_sets(
         base.subtasks(spark, sf_dir), base.sound_models(spark, sf_dir), POLICY,
-        base.boundary(spark, sf_dir))
+        base.boundary(spark, sf_dir), eligible_only)
 
 
 @query(
@@ -163,7 +163,7 @@ def _(spark, sf_dir):
              "m", "b", "opt"),
 )
 def _(spark, sf_dir):
-    rejected = rt.rejections_of(sets(spark, sf_dir))
+    rejected = rt.rejections_of(sets(spark, sf_dir, eligible_only=False))
     kind = (
         F.when(F.col("reason").startswith("lacks"), "capability")
         .when(F.col("reason").startswith("context"), "context")
@@ -182,7 +182,7 @@ _SETS = """ro AS (SELECT *, row_number() OVER (PARTITION BY task_id, subtask_id
 SELECT task_id, subtask_id, option_id AS best, n AS options FROM ro WHERE i = 0""",
 )
 def _(spark, sf_dir):
-    return sets(spark, sf_dir).filter(F.size("candidates") > 0).select(
+    return sets(spark, sf_dir).select(
         "task_id", "subtask_id", F.col("candidates")[0]["option_id"].alias("best"),
         F.size("candidates").alias("options"))
 
@@ -308,7 +308,7 @@ def _(spark, sf_dir):
 
 
 def compiled(spark, sf_dir):
-    rows = sets(spark, sf_dir).filter(F.size("candidates") > 0).select(
+    rows = sets(spark, sf_dir).select(
         "task_id", "subtask_id", "risk", _tier().alias("minimum_tier"), "candidates")
     ids = F.transform("candidates", lambda o: o["option_id"])
     rankings = rows.select(
@@ -358,7 +358,7 @@ SELECT violation, count(*) AS n FROM (SELECT CASE WHEN sel.option_id IS NULL
 )
 def _(spark, sf_dir):
     rows = rt.options_of(sets(spark, sf_dir))
-    routes = compiled(spark, sf_dir).withColumn(
+    routes = compiled(spark, sf_dir).filter("option_id is not null").withColumn(
         "verification_tier",
         F.when(F.col("verification_tier") == "independent", "strong").otherwise(F.col("verification_tier")))
     found = rt.route_violations(
