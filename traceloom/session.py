@@ -45,6 +45,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of fewer splits than cores, such as one small file.
+
+    Text rules and option pricing cost far more than moving such a table once. A table with
+    enough splits, which is every large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_index") -> DataFrame:
     """Zero-based position of every row in the total order ``order``.
 
