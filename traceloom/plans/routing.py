@@ -395,10 +395,10 @@ fc AS (SELECT outcome_id FROM fu GROUP BY 1 HAVING count(*) > 1),
 fb AS (SELECT * FROM fu WHERE outcome_id NOT IN (SELECT outcome_id FROM fc))"""
 
 
-@query("val_18_feedback", f"WITH {_FEED} SELECT outcome_id, round(utility, 7) AS utility FROM fb")
+@query("val_18_feedback", f"WITH {_FEED} SELECT outcome_id, utility FROM fb")
 def _(spark, sf_dir):
     rows, _ = rt.normalize_feedback(feedback_raw(spark, sf_dir))
-    return rows.select("outcome_id", F.round("utility", 7).alias("utility"))
+    return rows.select("outcome_id", "utility")
 
 
 @query("val_18_feedback_conflicts", f"WITH {_FEED} SELECT outcome_id FROM fc")
@@ -416,13 +416,13 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY task_group ORDER BY utility, ou
   row_number() OVER (PARTITION BY task_group ORDER BY utility DESC, outcome_id DESC) AS hi,
   count(*) OVER (PARTITION BY task_group) AS n FROM rts)
 SELECT a.task_group, a.outcome_id AS chosen_outcome_id, b.outcome_id AS rejected_outcome_id,
-  round(a.utility - b.utility, 7) AS utility_gap FROM rk a JOIN rk b ON a.task_group = b.task_group
+  round(a.utility - b.utility, 8) AS utility_gap FROM rk a JOIN rk b ON a.task_group = b.task_group
   AND a.hi = 1 AND b.lo = 1 WHERE a.n >= 2 AND a.verified AND a.utility - b.utility >= 0.05""",
 )
 def _(spark, sf_dir):
     rows, _ = rt.normalize_feedback(feedback_raw(spark, sf_dir))
     return rt.preferences_from_feedback(rows).select(
-        "task_group", "chosen_outcome_id", "rejected_outcome_id", F.round("utility_gap", 7).alias("utility_gap"))
+        "task_group", "chosen_outcome_id", "rejected_outcome_id", "utility_gap")
 
 
 @query(

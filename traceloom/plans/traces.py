@@ -669,7 +669,7 @@ _PROFILES = """CASE WHEN regexp_matches(k, 'medical|safety|clinical') THEN 1
     f"""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CASE l_linenumber % 4 WHEN 0 THEN 'Clinical' WHEN 1 THEN 'coding' WHEN 2 THEN 'Chat'
     ELSE 'other' END AS task, 1 - l_discount AS q, 1 - l_tax AS r, l_quantity / 50 AS va,
-  l_extendedprice / 100000 AS c, l_quantity * 100 AS l, l_discount AS f FROM lineitem),
+  l_extendedprice / 100000 AS c, ln(l_quantity + 1) * 100 AS l, l_discount AS f FROM lineitem),
 w AS (SELECT *, {_PROFILES.replace('k,', 'lower(task),')} AS w FROM v)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(
   [0.42, 0.40, 0.30, 0.34][w]::DOUBLE * least(greatest(q, 0), 1)
@@ -687,7 +687,7 @@ def _(spark, sf_dir):
         (1 - F.col("l_discount")).alias("quality"), (1 - F.col("l_tax")).alias("robustness"),
         (F.col("l_quantity") / 50).alias("verifier_agreement"),
         (F.col("l_extendedprice") / 100000).alias("cost"),
-        (F.col("l_quantity") * 100).alias("latency"), F.col("l_discount").alias("failure_rate"),
+        (F.ln(F.col("l_quantity") + 1) * 100).alias("latency"), F.col("l_discount").alias("failure_rate"),
     ).withColumn("w", labeling.score_weights("task"))
     return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
