@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import hilbert, mixing
+from traceloom.llm import fmindex, hilbert, mixing
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -76,3 +76,51 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+LEAK_SQL = r"""
+WITH dw AS (
+  SELECT row_id, doc_id, words FROM (
+    SELECT row_number() OVER () AS row_id, doc_id,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents)),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS size,
+    array_to_string(list_slice(words, pos, pos + 9), ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS pos FROM bw
+    WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT size FROM phrases),
+stretches AS (
+  SELECT row_id, pos, size, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS phrase
+  FROM (SELECT row_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos
+    FROM dw, sizes WHERE len(words) >= size)),
+found AS (
+  SELECT s.row_id, s.pos, s.size, p.item_id FROM stretches s JOIN phrases p
+    ON s.phrase = p.phrase AND s.size = p.size),
+hits AS (
+  SELECT row_id, count(DISTINCT word) AS n_hit
+  FROM (SELECT row_id, unnest(range(pos, pos + size)) AS word FROM found) GROUP BY row_id),
+named AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL)
+  GROUP BY row_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (row_id) LEFT JOIN named USING (row_id)"""
+
+
+@query("op10_fm_decontamination", LEAK_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fmindex.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end_word"] - s["first_word"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
