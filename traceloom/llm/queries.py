@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import fmindex, hilbert, mixing
+from traceloom.llm import fmindex, hilbert, jaccard, lm, mixing
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -124,3 +124,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, pos, pos + 3), ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, greatest(1, len(words) - 3) + 1)) AS pos FROM dw
+    WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS start, doc_id AS stop FROM documents
+  UNION SELECT start, b FROM reach JOIN edges ON a = stop)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT start AS doc_id, min(stop) AS component_id FROM reach GROUP BY start) r USING (doc_id)"""
+
+
+@query("op6_jaccard_join", JACCARD_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op9_gru_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
