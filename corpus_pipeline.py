@@ -6,10 +6,29 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import hilbert, mixing
+from traceloom.llm import cotrain, fmindex, hilbert, jaccard, mixing
 from traceloom.session import ensure_checkpoint_dir
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that both views together take for bad."""
+    return cotrain.kept(docs, _table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of every group that shares its five-word shingles."""
+    return jaccard.one_per_group(docs, size=5, percent=80)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut benchmark passages out of the texts."""
+    return fmindex.cleaned(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat the documents of every source to its target share."""
     return mixing.mix(docs)
@@ -21,10 +40,14 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality by co-training", keep_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", cut_benchmark),
     ("source mixing", mix_sources),
     ("sharding", shard),
 ]
 
+#: Fitted classifiers and hashed draws over cut texts: SQL cannot say the result.
 ORACLE_SQL = None
 
 
@@ -32,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each result is written to the shared folder and read as the next input."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for place, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{place}")
         docs = spark.read.parquet(f"{folder}/{place}")

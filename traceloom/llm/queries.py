@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import fmindex, hilbert, jaccard, lm, mixing
+from traceloom.llm import cotrain, fmindex, hilbert, jaccard, lm, mixing, ordinal
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -160,3 +160,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_gru_scoring")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op2_cotraining_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_ordinal_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.score(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
