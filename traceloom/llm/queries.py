@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import cotrain, fmindex, hilbert, jaccard, lm, mixing, ordinal
+from traceloom.llm import cotrain, fmindex, hilbert, jaccard, lm, mixing, ordinal, surrogates, warc
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -171,3 +171,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ordinal.score(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op1_warc_derivatives")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
+#: A key of the caller's own in production; a fixed one here, so that reruns agree.
+SURROGATE_KEY = b"example key, to be replaced"
+
+
+@query("op7_pii_surrogates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return found.select("doc_id", "text", "n_entities", "kinds")
