@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import cotrain, fmindex, hilbert, jaccard, lm, mixing, ordinal, surrogates, warc
+from traceloom.llm import (
+    cotrain,
+    fmindex,
+    hilbert,
+    jaccard,
+    lm,
+    mixing,
+    neighbours,
+    ordinal,
+    surrogates,
+    warc,
+)
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -186,3 +197,8 @@ SURROGATE_KEY = b"example key, to be replaced"
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
     return found.select("doc_id", "text", "n_entities", "kinds")
+
+
+@query("op3_learned_partitions")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
