@@ -175,11 +175,11 @@ DOCUMENT_DIMS = ["source", "lang", "size", "doc_id"]
 _TIE = ["text_crc32", "doc_id"]
 
 
-def document_metadata(docs: DataFrame) -> DataFrame:
+def document_metadata(docs: DataFrame, *more: str) -> DataFrame:
     """The narrow rows that are sorted: dimensions, size and checksum, never the text."""
     text = F.col("text")
     return docs.select(
-        "doc_id", "source", "lang",
+        *more, "doc_id", "source", "lang",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
     )
@@ -196,17 +196,12 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 def with_document_shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Whole documents with ``curve`` and ``shard``, cut where :func:`shard_documents` cuts.
 
-    Copies that agree in all ordering columns stay in one shard.
+    Copies that agree in all ordering columns stay in one shard. Columns of these two names that the
+    documents already have are replaced; all others are carried along untouched.
     """
-    marked = docs.withColumns(
-        {
-            "__size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"),
-            "text_crc32": F.crc32(F.encode("text", "utf-8")),
-        }
-    )
-    narrow = marked.select("doc_id", "source", "lang", F.col("__size").alias("size"), "text_crc32")
-    placed = shard_rows(narrow, DOCUMENT_DIMS, _TIE, shards)
+    placed = shard_documents(docs, shards)
     points = cut_points(placed, _TIE)
-    cells = with_cells(marked.withColumn("size", F.col("__size")), DOCUMENT_DIMS)
-    keep = [*docs.columns, "curve", "shard"]
-    return cells.withColumn("shard", shard_of(points, _TIE)).select(*keep)
+    rest = [c for c in docs.columns if c.lower() not in ("curve", "shard")]
+    whole = docs.withColumn("__doc", F.struct(*rest))
+    cells = with_cells(document_metadata(whole, "__doc"), DOCUMENT_DIMS)
+    return cells.withColumn("shard", shard_of(points, _TIE)).select("__doc.*", "curve", "shard")

@@ -81,8 +81,6 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEE
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mixed corpus: every document row as often as its plan says, with its own columns."""
     targets = source_targets(docs.select("source", word_count().alias("size")), weights, most)
-    keep = [F.col(c) for c in docs.columns]
-    rows = planned(docs, targets, seed)
-    return rows.filter("copies > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))
-    ).select(*keep)
+    rows = planned(docs.select(F.struct("*").alias("__doc"), "doc_id", "source"), targets, seed)
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")
+    return rows.filter("copies > 0").select("__doc", copy).select("__doc.*")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from traceloom.llm.common import attach, durable
 
-#: Vectors that the partition and the network are fitted on, taken by a hash of the vector.
+#: About so many vectors, taken by a hash of the vector, fit the partition and the network.
 FIT_ROWS = 8192
 #: Vectors per part that are aimed at, and the most parts the sample can teach.
 _PART_ROWS = 2048
@@ -256,7 +256,8 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = found.filter(F.octet_length("vector") == usual["size"])
     rows = usual["count"]
-    sample = found.orderBy(F.xxhash64("vector"), "vector").limit(FIT_ROWS).select("vector").collect()
+    share = F.pmod(F.xxhash64("vector"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, FIT_ROWS / rows))
+    sample = found.filter(share).select("vector").orderBy("vector").collect()
     x = np.frombuffer(b"".join(bytes(r.vector) for r in sample), dtype=np.float64).reshape(len(sample), -1)
     shared = spark.sparkContext.broadcast(fit(x, rows, k))
     stored = durable(_routed(found.select("vector", "ids"), shared, 1, "vector binary, ids array<long>"))

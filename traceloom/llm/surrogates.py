@@ -262,6 +262,7 @@ def retries(found: DataFrame, key: bytes) -> DataFrame:
 def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """Documents with replaced texts, ``n_entities`` and ``kinds`` (distinct types, sorted).
 
+    Columns of these two names that the documents already have give way.
     Tries above 0 are few; up to a checked number they go to all tasks, beyond it each document gets
     its own by a join. Null and empty texts stay as they are; repeated rows are replaced alike.
     """
@@ -273,13 +274,16 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     return _joined(docs, again, key)
 
 
+_ADDED = ("n_entities", "kinds")
+
+
 def _with(docs: DataFrame) -> str:
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return f"{kinds}, n_entities int, kinds array<string>"
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in _ADDED]
+    return ", ".join([*kinds, "n_entities int", "kinds array<string>"])
 
 
 def _replacer(docs: DataFrame, key: bytes, shared):
-    names = docs.columns
+    names = [c for c in docs.columns if c not in _ADDED]
 
     def run(batches):
         for batch in batches:
