@@ -23,6 +23,7 @@ SIZE = 4
 PERCENT = 85
 #: Shingles whose hash has this many zero bits in front are counted over the whole corpus.
 _RARE_BITS = 2
+_SAME_TEXT = "xxhash64(text)"
 #: Work of one tile: shingles plus a share per set.
 _TILE = 1 << 18
 _TILE_SET = 256
@@ -50,25 +51,25 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def set_table(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """row, doc_id, n, key per document row; n is 0 and key null without words. Written once."""
+    """doc_id, same, n, key per document row; n is 0 and key null without words. Written once.
+
+    ``same`` is a hash of the text, by which texts are found again: it does not depend on how the
+    rows are dealt out.
+    """
 
     def run(batches):
         for batch in batches:
             found = [(len(own), _set_key(own) if len(own) else None)
                      for _, own in _sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"),
+                [batch.column("doc_id"), batch.column("same"),
                  pa.array([n for n, _ in found], pa.int64()),
                  pa.array([k for _, k in found], pa.int64())],
-                names=["row", "doc_id", "n", "key"],
+                names=["doc_id", "same", "n", "key"],
             )
 
-    kind = f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n long, key long"
-    return durable(_numbered(docs).select(F.col("__row").alias("row"), "doc_id", "text").mapInArrow(run, kind))
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+    kind = f"doc_id {dict(docs.dtypes)['doc_id']}, same long, n long, key long"
+    return durable(docs.select("doc_id", F.expr(_SAME_TEXT).alias("same"), "text").mapInArrow(run, kind))
 
 
 def _entries(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -159,6 +160,7 @@ def _linker(percent: int):
 
     def run(batches):
         held: list = []
+        seen: set = set()
         pair = None
         out: list[tuple[int, int]] = []
         for batch in batches:
@@ -166,8 +168,10 @@ def _linker(percent: int):
             for comp, low, high, tile, key, own in zip(*columns, strict=True):
                 if (comp, low, high) != pair:
                     out += _links(held, pair, percent)
-                    held, pair = [], (comp, low, high)
-                held.append((tile, key, np.frombuffer(own, dtype=np.uint64)))
+                    held, seen, pair = [], set(), (comp, low, high)
+                if key not in seen:
+                    seen.add(key)
+                    held.append((tile, key, np.frombuffer(own, dtype=np.uint64)))
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
@@ -230,30 +234,33 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PER
     keys = durable(_tile_keys(docs, size, percent))
     groups = connected(_candidates(keys, percent)).select(
         F.col("node").alias("key"), F.col("root").alias("comp"))
-    first = sets.filter("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("n").alias("n"))
+    first = sets.filter("n > 0").groupBy("key").agg(F.min("same").alias("same"), F.first("n").alias("n"))
     members = durable(groups.join(first, "key"))
-    wanted = members.select("row", "key")
+    wanted = members.select("same")
     if members.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
+            fresh = [i for i, x in enumerate(batch.column("same").to_pylist()) if not (x in seen or seen.add(x))]
+            texts = batch.column("text").take(pa.array(fresh, pa.int64()))
+            own = [o for _, o in _sets(texts, size)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"),
-                 pa.array([own.tobytes() for _, own in _sets(batch.column("text"), size)], pa.binary())],
-                names=["key", "own"],
-            )
+                [pa.array([_set_key(o) for o in own], pa.int64()),
+                 pa.array([o.tobytes() for o in own], pa.binary())], names=["key", "own"])
 
-    texts = _numbered(docs).select(F.col("__row").alias("row"), "text").join(wanted, "row")
-    arrays = texts.select("key", "text").mapInArrow(run, "key long, own binary")
-    tiles = _tiles(members.drop("row"), percent)
+    # Copies of a text are read once per task; the comparison drops what comes from several tasks.
+    texts = docs.select(F.expr(_SAME_TEXT).alias("same"), "text").join(wanted, "same", "left_semi")
+    arrays = texts.mapInArrow(run, "key long, own binary")
+    tiles = _tiles(members.drop("same"), percent)
     met = tiles.join(arrays, "key").select("comp", "low", "high", "tile", "key", "own")
     pairs = met.repartition("comp", "low", "high").sortWithinPartitions("comp", "low", "high")
     return pairs.mapInArrow(_linker(percent), "a long, b long")
 
 
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """row, doc_id, n_shingles, component_id for every document row.
+    """doc_id, same, n_shingles, component_id and group for every document row.
 
     component_id is the smallest doc_id that links reach. Two documents link when their sets of
     ``size``-word shingles have a Jaccard similarity of ``percent`` or more; a text of fewer words is
@@ -272,22 +279,36 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     return (
         sets.join(per_key, "key", "left")
         .withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-        .select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        .select("doc_id", "same", F.col("n").alias("n_shingles"), "component_id",
                 F.when(F.col("n") > 0, F.col("root")).alias("group"))
     )
 
 
 def one_per_group(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Documents without those that have an earlier member (by doc_id, then row) in their group.
+    """Documents without those that have an earlier member (by doc_id, then text hash) in their group.
 
-    Documents without words are groups of their own and stay.
+    Documents without words are groups of their own and stay, repeated rows of others go.
     """
-    found = durable(components(docs, size, percent))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = found.filter("group is not null").groupBy("group").agg(F.min(order)["row"].alias("first"))
-    gone = durable(
-        found.join(first, "group").filter("row != first").select(F.col("row").alias("__row"))
-    )
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return _numbered(docs).join(gone, "__row", "left_anti").select(*docs.columns)
+    found = durable(components(docs, size, percent).filter("group is not null"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "same")
+    first = found.groupBy("group").agg(F.min(order).alias("first"))
+    marked = found.join(first, "group").withColumn("kept", order == F.col("first"))
+    gone = _checked(marked.filter(~F.col("kept")).select("doc_id", "same").distinct())
+    again = _checked(
+        marked.filter("kept").groupBy("doc_id", "same").count().filter("count > 1").select("doc_id", "same"))
+    whole = docs.select(F.struct("*").alias("__doc"), F.col("doc_id"), F.expr(_SAME_TEXT).alias("same"))
+
+    def match(other):
+        return whole["doc_id"].eqNullSafe(other["doc_id"]) & (whole["same"] == other["same"])
+
+    left = whole.join(gone, match(gone), "left_anti")
+    if not again.limit(1).count():
+        return left.select("__doc.*")
+    once = left.join(again, match(again), "left_semi").groupBy("doc_id", "same").agg(F.first("__doc").alias("__doc"))
+    return left.join(again, match(again), "left_anti").select("__doc.*").union(once.select("__doc.*"))
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """Written once, and broadcast where it has few enough rows."""
+    rows = durable(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

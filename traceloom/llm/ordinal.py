@@ -116,7 +116,8 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, width: int,
     top = max(1, int(grade.max()) if len(grade) else 1)
     n = max(1, len(grade))
     above = grade[:, None] >= np.arange(1, top + 1)
-    start = np.log((1 - above.mean(axis=0) + 0.5 / n) / (above.mean(axis=0) + 0.5 / n)) if len(grade) else np.zeros(top)
+    share = above.sum(axis=0) / n
+    start = np.log((1 - share + 0.5 / n) / (share + 0.5 / n))
     p = np.r_[np.zeros(width), start[0], np.log(np.maximum(np.diff(start), 0.05))]
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
@@ -153,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool
     With ``graded`` the label is the grade itself. A label of 0 and 1 is graded by the number of
     distinct feature words: 1, then 2 and 3 from ``GRADE_CUTS`` on. What comes to the driver are the
     feature words and the features of the bounded sample. Without two kinds of labels no word is a
-    feature and every document gets the same severity.
+    feature and every document gets the same severity; without any label none is toxic.
     """
     sample = labelled(docs, labels, label).persist()
     words = features(sample)

@@ -190,6 +190,8 @@ def rendered(raw: str, kind: str, new: str) -> str:
         return "".join(next(left, "") if c.isalnum() else c for c in raw)
     if kind in ("ip", "secret"):
         return new
+    if kind == "email":
+        return "".join(n.upper() if r.isupper() else n for r, n in zip(raw, new, strict=True))
     if raw.isupper() and len(raw) > 1:
         return new.upper()
     return new[0].upper() + new[1:] if raw[0].isupper() else new
@@ -307,16 +309,16 @@ def _replacer(docs: DataFrame, key: bytes, shared):
 def _joined(docs: DataFrame, again: DataFrame, key: bytes) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = [(r, k, n) for r, text in zip(batch.column("__row").to_pylist(),
+            rows = [(r, k, n) for r, text in zip(batch.column("same").to_pylist(),
                                                  batch.column("text").to_pylist(), strict=True)
                     for k, n in {m[2:] for m in mentions(text)}]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r for r, _, _ in rows], pa.int64()), pa.array([k for _, k, _ in rows], pa.string()),
-                 pa.array([n for _, _, n in rows], pa.string())], names=["__row", "kind", "normal"])
+                 pa.array([n for _, _, n in rows], pa.string())], names=["same", "kind", "normal"])
 
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    held = numbered.select("__row", "text").mapInArrow(run, "__row long, kind string, normal string")
-    own = held.join(again, ["kind", "normal"]).groupBy("__row").agg(
+    same = F.xxhash64("text").alias("same")
+    held = docs.select(same, "text").mapInArrow(run, "same long, kind string, normal string").distinct()
+    own = held.join(again, ["kind", "normal"]).groupBy("same").agg(
         F.collect_list(F.struct("kind", "normal", "attempt")).alias("__again"))
-    return numbered.join(own, "__row", "left").drop("__row").mapInArrow(
-        _replacer(docs, key, None), _with(docs))
+    whole = docs.withColumn("__same", same).join(own.withColumnRenamed("same", "__same"), "__same", "left")
+    return whole.drop("__same").mapInArrow(_replacer(docs, key, None), _with(docs))
