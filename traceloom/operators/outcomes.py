@@ -211,7 +211,9 @@ def cell_report(
     checked = F.col("verified") & F.col("independent_verifier")
     good = checked & F.col("acceptable")
     calibrated = checked & F.col("classifier_confidence").isNotNull()
-    gap = F.pow(F.col("classifier_confidence") - nx.flag(F.col("acceptable")), F.lit(2.0))
+    # Summed as decimals: the mean does not depend on the order of the rows.
+    miss = (F.col("classifier_confidence") - nx.flag(F.col("acceptable"))).cast("decimal(13,12)")
+    gap = (miss * miss).cast("decimal(26,24)")
 
     def serious(name):
         return F.size(F.filter(name, lambda v: v["severity"].isin(*vocab.SERIOUS)))
@@ -220,7 +222,7 @@ def cell_report(
         F.first("risk").alias("risk"),
         F.count_if(checked).alias("independent_verified_samples"),
         F.count_if(good).alias("accepted_samples"),
-        F.avg(F.when(calibrated, gap)).alias("brier"),
+        (F.sum(F.when(calibrated, gap)).cast("double") / F.count_if(calibrated)).alias("brier"),
         F.sum(serious("safety_violations") + serious("policy_violations")).alias(
             "serious_failure_count"
         ),
@@ -429,28 +431,31 @@ def plan_trials(
 
 
 def feature_leaves(rows: DataFrame) -> DataFrame:
-    """(split, id, path, value) of the feature document, nested objects walked by name.
+    """(split, id, path, value) of the feature document, nested objects walked by name to any depth.
 
-    ``features`` is JSON text; nested objects are flattened three levels deep, which covers
-    the feature row and its signal map.
+    ``features`` is JSON text. Every turn opens the objects of one level, told by their JSON type, so
+    a text that begins with a brace stays a text; it ends when a level has no object.
     """
-    level = rows.select(
-        "split", "id", "chosen_option_id", "chosen_choice_id", "completion",
-        F.lit("features").alias("path"), F.col("features").alias("json"),
-    )
+    kept = ("split", "id", "chosen_option_id", "chosen_choice_id", "completion")
+    level = rows.filter(F.col("features").isNotNull()).select(
+        *kept, F.lit("features").alias("path"), F.try_parse_json("features").alias("value"))
     leaves = None
-    for _ in range(3):
-        parts = level.filter(F.col("json").startswith("{")).select(
-            "split", "id", "chosen_option_id", "chosen_choice_id", "completion", "path",
-            F.explode(F.from_json("json", "map<string,string>")).alias("key", "value"),
-        ).select(
-            "split", "id", "chosen_option_id", "chosen_choice_id", "completion",
-            F.concat_ws(".", "path", "key").alias("path"), F.col("value").alias("json"),
+    while True:
+        entry = F.from_json(F.to_json("value"), "map<string,variant>")
+        parts = durable(
+            level.filter(_is_object("value")).select(*kept, "path", F.explode(entry).alias("key", "value"))
+            .select(*kept, F.concat_ws(".", "path", "key").alias("path"), "value")
         )
-        flat = parts.filter(F.col("json").isNull() | ~F.col("json").startswith("{"))
+        flat = parts.filter(~F.coalesce(_is_object("value"), F.lit(False))).select(
+            *kept, "path", F.col("value").cast("string").alias("json"))
         leaves = flat if leaves is None else leaves.unionByName(flat)
+        if not parts.filter(_is_object("value")).limit(1).count():
+            return leaves
         level = parts
-    return leaves
+
+
+def _is_object(name: str) -> Column:
+    return F.schema_of_variant(name).startswith("OBJECT")
 
 
 def leakage_findings(rows: DataFrame) -> DataFrame:

@@ -22,7 +22,9 @@ from traceloom.session import durable, with_row_index
 NO_PRICE = 1e12
 # A catalog lists the models a service offers. It is packed into one row for the option
 # step only up to this size; larger catalogs are joined by risk tier instead.
-PACKED_MODELS = 2000
+#: Packs that the enabled models of a catalog are shuffled in.
+_PACKS = 64
+REFUSALS = "array<struct<model_id:string,reason:string>>"
 
 
 def effort_level(effort: Column) -> Column:
@@ -200,6 +202,7 @@ def rejection_reason(
             (F.size(tiers) > 0) & ~F.array_contains(tiers, risk),
             F.concat(F.lit("not enabled for risk "), risk),
         ),
+        F.when(risk.isNull(), "risk is unknown"),
     )
 
 
@@ -283,20 +286,15 @@ def requirement_profiles(subtasks: DataFrame, models: DataFrame) -> DataFrame:
     window only, so subtasks that agree on them share one judgement of the catalog.
     """
     tokens = F.col("estimated_input_tokens")
-    # Distinct window sizes of a catalog are a handful; the limit keeps the driver safe anyway.
-    found = models.select("context_window").distinct().limit(PACKED_MODELS + 1).collect()
-    sizes = sorted(row["context_window"] for row in found)
-    if len(sizes) > PACKED_MODELS:
-        fits = tokens
-    else:
-        fits = F.array_min(
-            F.filter(F.array(*[F.lit(size).cast("long") for size in sizes]), lambda w: w >= tokens)
-        )
-    return subtasks.withColumns(
-        {
-            "cell": route_cell(F.col("required_capabilities"), F.col("risk"), tokens),
-            "__window": F.coalesce(fits, F.lit((1 << 62))),
-        }
+    windows = models.groupBy("catalog_hash").agg(
+        F.array_sort(F.collect_set("context_window")).alias("__sizes")
+    )
+    fits = F.array_min(F.filter("__sizes", lambda size: size >= tokens))
+    return (
+        subtasks.join(windows, "catalog_hash", "left")
+        .withColumn("cell", route_cell(F.col("required_capabilities"), F.col("risk"), tokens))
+        .withColumn("__window", F.coalesce(fits.cast("long"), F.lit(1 << 62)))
+        .select(*subtasks.columns, "cell", "__window")
     )
 
 
@@ -308,21 +306,19 @@ def judged_profiles(
 ) -> DataFrame:
     """Options and rejected models of every distinct requirement profile.
 
-    A catalog lists the models a service offers. Up to ``PACKED_MODELS`` it is one array per
-    catalog, broadcast to the profiles; a larger one is shuffled in packs of that size.
+    The enabled models of a catalog are shuffled in packs, so that no row holds a whole catalog. A
+    profile whose catalog has no enabled model keeps a row with empty lists.
     """
     enabled = models.filter("enabled")
-    many = enabled.limit(PACKED_MODELS + 1).count() > PACKED_MODELS
-    place = F.pmod(F.xxhash64("model_id"), F.lit(64)) if many else F.lit(0)
-    packs = enabled.withColumn("__pack", place).groupBy("catalog_hash", "__pack").agg(
-        F.collect_list(F.struct(*enabled.columns)).alias("__models")
-    ).drop("__pack")
+    packs = enabled.withColumn("__pack", F.pmod(F.xxhash64("model_id"), F.lit(_PACKS))).groupBy(
+        "catalog_hash", "__pack"
+    ).agg(F.collect_list(F.struct(*enabled.columns)).alias("__models")).drop("__pack")
     strength = literal_map({m: i for i, m in enumerate(policy["model_strength_order"])})
     guarded = list(policy.get("trusted_boundary_required_for") or [])
     pairs = (
         profiles.select(*PROFILE).distinct()
-        .join(packs if many else F.broadcast(packs), "catalog_hash")
-        .select(*PROFILE, F.explode("__models").alias("model"))
+        .join(packs, "catalog_hash", "left")
+        .select(*PROFILE, F.explode_outer("__models").alias("model"))
         .withColumn(
             "reason",
             rejection_reason(
@@ -344,7 +340,7 @@ def judged_profiles(
         blocked = F.col("risk").isin(*guarded) & (F.col("state") != "trusted")
         known = known.withColumn("reason", F.coalesce("reason", F.when(blocked, untrusted)))
     option = F.struct(
-        F.element_at(strength, F.col("model.model_id")).alias("strength_rank"),
+        F.try_element_at(strength, F.col("model.model_id")).alias("strength_rank"),
         F.col("model.model_id").alias("model_id"),
         F.col("model.revision").alias("model_revision"),
         F.col("state").alias("boundary_state"),
@@ -358,11 +354,17 @@ def judged_profiles(
             ),
         ).alias("efforts"),
     )
-    open_ = F.col("reason").isNull()
+    unranked = F.col("model").isNotNull() & F.try_element_at(strength, F.col("model.model_id")).isNull()
+    known = known.withColumn(
+        "reason", F.coalesce("reason", F.when(unranked, "model is missing from the strength order"))
+    )
+    there = F.col("model").isNotNull()
+    open_ = there & F.col("reason").isNull()
+    refused = there & F.col("reason").isNotNull()
     refusal = F.struct(F.col("model.model_id").alias("model_id"), F.col("reason").alias("reason"))
     return known.groupBy(*PROFILE).agg(
         F.collect_list(F.when(open_, option)).alias("__options"),
-        F.array_sort(F.collect_list(F.when(~open_, refusal))).alias("rejected_models"),
+        F.array_sort(F.collect_list(F.when(refused, refusal))).alias("rejected_models"),
     )
 
 
@@ -372,7 +374,10 @@ def candidate_sets(
 ) -> DataFrame:
     """Every subtask with its ranked options and its rejected models.
 
-    ``eligible_only`` leaves out subtasks no model may take, before options are priced.
+    No subtask is lost: one without risk, with an unknown catalog or with disabled models only has
+    empty ``candidates`` and the ``problem`` that no option is eligible. ``eligible_only`` leaves
+    such subtasks out before options are priced. Subtask ids must not repeat inside a task, see
+    :func:`mark_repeats`.
 
     ``policy`` gives ``model_strength_order`` and ``trusted_boundary_required_for``;
     ``boundary`` maps ``state_key`` (model@revision:cell) to ``state``. Models are judged once
@@ -410,10 +415,57 @@ def candidate_sets(
             ),
         )
     )
-    return (
-        placed.join(judged, list(PROFILE))
-        .withColumn("candidates", F.array_sort(priced))
-        .select(*subtasks.columns, "cell", "candidates", "rejected_models")
+    judged = judged.withColumnsRenamed({name: f"__of_{name}" for name in PROFILE})
+    same = reduce(
+        lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"__of_{name}")) for name in PROFILE])
+    none = F.size("candidates") == 0
+    rows = placed.join(judged, same, "inner" if eligible_only else "left").select(
+        *subtasks.columns, "cell", F.array_sort(priced).alias("candidates"),
+        F.coalesce("rejected_models", F.array().cast(REFUSALS)).alias("rejected_models"),
+    )
+    rows = rows.withColumn("candidates", F.coalesce("candidates", F.array().cast(
+        rows.schema["candidates"].dataType)))
+    return rows.withColumn("problem", F.when(none, "no eligible route options"))
+
+
+def mark_repeats(subtasks: DataFrame) -> DataFrame:
+    """Flat subtasks with ``problem`` where a task holds the same subtask id more than once.
+
+    A repeated id makes every later join on it ambiguous, so all its rows are refused.
+    """
+    times = subtasks.groupBy(
+        F.col("task_id").alias("__task"), F.col("subtask_id").alias("__subtask")
+    ).agg(F.count(F.lit(1)).alias("__times"))
+    same = F.col("task_id").eqNullSafe(F.col("__task")) & F.col("subtask_id").eqNullSafe(F.col("__subtask"))
+    return subtasks.join(times, same).select(
+        *subtasks.columns,
+        F.when(F.col("__times") > 1, "duplicate subtask_id").alias("problem"),
+    )
+
+
+def candidate_problems(models: DataFrame, policy: dict, boundary: DataFrame) -> DataFrame:
+    """(problem, name): boundary states that are no states, enabled models without a rank."""
+    states = boundary.filter(~F.coalesce(F.col("state").isin(*vocab.BOUNDARY_STATES), F.lit(False)))
+    order = list(policy["model_strength_order"])
+    ranked = F.col("model_id").isin(*order) if order else F.lit(False)
+    return states.select(
+        F.lit("unsupported boundary state").alias("problem"), F.col("state").alias("name")
+    ).distinct().union(
+        models.filter("enabled").filter(~ranked).select(
+            F.lit("model is missing from the strength order"), "model_id").distinct()
+    )
+
+
+def candidate_set_hashes(sets: DataFrame, policy_hash: Column) -> DataFrame:
+    """``candidate_set_hash`` per task, equal for equal content in any row order."""
+    body = hx.sha(F.to_json(F.struct(
+        "subtask_id", "task_group", "task", "objective", "depends_on", "required_capabilities", "risk",
+        "estimated_input_tokens", "catalog_hash", "cell", "candidates", "rejected_models")))
+    rows = sets.select("task_id", F.struct("subtask_id", body.alias("hash")).alias("__row"))
+    return rows.groupBy("task_id").agg(F.array_sort(F.collect_list("__row")).alias("__rows")).select(
+        "task_id",
+        hx.sha(F.to_json(F.struct("task_id", policy_hash.alias("policy_hash"), "__rows"))).alias(
+            "candidate_set_hash"),
     )
 
 
@@ -534,6 +586,7 @@ def ranking_rows(sets: DataFrame, assignments: DataFrame, policy: DataFrame) ->
     eligible and subtasks with fewer than two options.
     """
     keys = ["task_id", "subtask_id"]
+    sets = sets.drop("problem")
     teacher = assignments.select(
         *keys, F.col("model_id").alias("__model"), F.col("reasoning_effort").alias("__effort")
     )
@@ -721,8 +774,9 @@ def check_assignments(
     """Every assignment and every unassigned subtask, with ``problem`` null when sound."""
     keys = ["task_id", "subtask_id"]
     counts = assignments.groupBy(*keys).agg(F.count(F.lit(1)).alias("__times"))
-    need = subtasks.select(*keys, "required_capabilities", "risk", "estimated_input_tokens",
-                           F.lit(True).alias("__known"))
+    need = subtasks.groupBy(*keys).agg(
+        *[F.first(name).alias(name) for name in ("required_capabilities", "risk", "estimated_input_tokens")],
+        F.lit(True).alias("__known"), (F.count(F.lit(1)) > 1).alias("__repeated"))
     model = models.filter("enabled").select("model_id", F.struct(*models.columns).alias("model"))
     joined = (
         assignments.withColumn("__assigned", F.lit(True))
@@ -733,6 +787,7 @@ def check_assignments(
     supported = F.array_contains("model.supported_reasoning_efforts", F.col("reasoning_effort"))
     problem = F.coalesce(
         F.when(F.col("__known").isNull(), "unknown subtask"),
+        F.when(F.col("__repeated"), "duplicate subtask_id"),
         F.when(F.col("__assigned").isNull(), "subtask is not assigned"),
         F.when(F.col("__times") > 1, "subtask is assigned twice"),
         F.when(F.col("model").isNull(), "model is unavailable"),

@@ -471,6 +471,13 @@ def subtasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sound_subtasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtasks without those whose id repeats inside their task."""
+    from traceloom.operators.routing import mark_repeats
+
+    return mark_repeats(subtasks(spark, sf_dir)).filter("problem is null").drop("problem")
+
+
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _select(table(spark, sf_dir, "lineitem"), _B)
     return rows.select(
@@ -479,9 +486,20 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sound_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignments of subtasks whose id does not repeat inside their task."""
+    from traceloom.operators.routing import mark_repeats
+
+    return mark_repeats(assignments(spark, sf_dir)).filter("problem is null").drop("problem")
+
+
 SQL_VIEWS["b"] = f"""b AS (SELECT {_columns(_B)}, 'Fulfil order-' || l_orderkey AS task
   FROM lineitem)"""
 
+# Without subtasks whose id repeats inside their task.
+SQL_VIEWS["sb"] = """sb AS (SELECT b.* FROM b JOIN (SELECT task_id, subtask_id FROM b
+    GROUP BY task_id, subtask_id HAVING count(*) = 1) USING (task_id, subtask_id))"""
+
 POLICY = {
     "model_strength_order": [f"NATION_{i}" for i in range(25)],
     "risk_verification_tiers": {
@@ -515,7 +533,7 @@ SQL_VIEWS["opt"] = """c0 AS (SELECT b.*, m.model_id, m.revision, m.efforts,
     CASE WHEN m.n_nationkey % 3 = 0 AND b.estimated_input_tokens <= 32000
       THEN CASE WHEN m.n_nationkey % 2 = 0 THEN 'trusted' ELSE 'conditional' END
       ELSE 'unmapped' END AS boundary_state
-  FROM b CROSS JOIN m WHERE m.enabled),
+  FROM sb b CROSS JOIN m WHERE m.enabled),
 c1 AS (SELECT *, coalesce(hard_reason, CASE WHEN risk = 'critical'
     AND boundary_state <> 'trusted' THEN 'boundary' END) AS reason FROM c0),
 opt AS (SELECT *, 'opt_' || substr(sha256('catalog-1:' || model_id || ':' || option_effort), 1, 12)

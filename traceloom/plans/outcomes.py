@@ -12,14 +12,13 @@ from traceloom.plans.base import query, table, with_sql
 
 @query(
     "val_16_outcomes",
-    with_sql("""SELECT outcome_id, capability_cell_id, acceptable, CASE WHEN l % 97 = 0
-  THEN 'invalid risk' WHEN l % 89 = 0 THEN 'verifier_score must be between 0 and 1' END AS problem
-FROM (SELECT *, CAST(string_split(outcome_id, '-')[3] AS BIGINT) AS l,
-  CASE WHEN CAST(string_split(outcome_id, '-')[3] AS BIGINT) % 97 = 0 THEN TRUE END AS x FROM o)
-WHERE l % 97 <> 0 AND l % 89 <> 0
-UNION ALL SELECT outcome_id, NULL, NULL, CASE WHEN l % 97 = 0 THEN 'invalid risk'
-  ELSE 'verifier_score must be between 0 and 1' END FROM (SELECT outcome_id,
-  CAST(string_split(outcome_id, '-')[3] AS BIGINT) AS l FROM o) WHERE l % 97 = 0 OR l % 89 = 0""",
+    with_sql("""SELECT outcome_id, CASE WHEN problem IS NULL THEN capability_cell_id END AS capability_cell_id,
+  CASE WHEN problem IS NULL THEN acceptable END AS acceptable, problem
+FROM (SELECT *, CASE WHEN l % 97 = 0 THEN 'invalid risk'
+    WHEN l % 89 = 0 THEN 'verifier_score must be between 0 and 1'
+    WHEN times > 1 THEN 'duplicate outcome_id' END AS problem
+  FROM (SELECT *, CAST(string_split(outcome_id, '-')[3] AS BIGINT) AS l,
+    count(*) OVER (PARTITION BY outcome_id) AS times FROM o))""",
              "o"),
 )
 def _(spark, sf_dir):
@@ -81,8 +80,10 @@ def _(spark, sf_dir):
 _CELLS = """st AS (SELECT capability_cell_id, any_value(risk) AS risk,
     count(*) FILTER (verified AND independent_verifier) AS n,
     count(*) FILTER (verified AND independent_verifier AND acceptable) AS k,
-    avg(CASE WHEN verified AND independent_verifier AND classifier_confidence IS NOT NULL
-      THEN pow(classifier_confidence - CASE WHEN acceptable THEN 1 ELSE 0 END, 2) END) AS brier,
+    sum(CASE WHEN verified AND independent_verifier AND classifier_confidence IS NOT NULL
+      THEN pow(round(classifier_confidence * 100) - CASE WHEN acceptable THEN 100 ELSE 0 END, 2) END)
+      / 10000 / count(*) FILTER (verified AND independent_verifier AND classifier_confidence IS NOT NULL)
+      AS brier,
     count(*) FILTER (severity = 'Critical') AS serious FROM ind GROUP BY 1),
 w AS (SELECT st.*, coalesce(reg, 0) AS reg, CASE WHEN n > 0 THEN k::DOUBLE / n ELSE 0 END AS p,
     CASE WHEN n = 0 THEN 0 ELSE (k::DOUBLE / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k::DOUBLE / n
@@ -148,8 +149,11 @@ def _(spark, sf_dir):
 @query(
     "agg_12_outcome_job",
     with_sql("", "o").rstrip() + """
-SELECT 'outcomes' AS part, count(*) AS n FROM o UNION ALL
-SELECT 'cells', count(DISTINCT capability_cell_id) FROM o UNION ALL SELECT 'problems', 0""",
+,
+od AS (SELECT *, count(*) OVER (PARTITION BY outcome_id) AS times FROM o)
+SELECT 'outcomes' AS part, count(*) AS n FROM od WHERE times = 1 UNION ALL
+SELECT 'cells', count(DISTINCT capability_cell_id) FROM od WHERE times = 1 UNION ALL
+SELECT 'problems', count(*) FROM od WHERE times > 1""",
 )
 def _(spark, sf_dir):
     job = oc.outcome_job(base.raw_outcomes(spark, sf_dir))
@@ -229,7 +233,7 @@ def feature_rows(spark, sf_dir):
     features = F.to_json(
         F.struct(
             F.col("lang").alias("risk"), F.col("n_chars").alias("estimated_input_tokens"),
-            F.substring("text", 1, 40).alias("task_text"),
+            F.col("text").alias("task_text"),
             F.struct((key % 2 == 0).alias("security"),
                      F.when(key % 50 == 0, F.lit(True)).alias("chosen_option_seen")).alias("signals"),
             F.when(key % 70 == 0, F.concat(F.lit("opt-"), key % 9)).alias("hint"),
@@ -266,7 +270,7 @@ def _(spark, sf_dir):
     AS overlapping_task_groups,
   (SELECT count(*) FROM f WHERE id % 50 = 0) AS prohibited_feature_paths,
   (SELECT count(*) FROM f WHERE id % 70 = 0) AS embedded_target_values,
-  (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY s, substr(text, 1, 40) HAVING count(DISTINCT split) = 2))
+  (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY s, text HAVING count(DISTINCT split) = 2))
     AS exact_feature_overlap_count,
   (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY s HAVING count(DISTINCT split) = 2))
     AS structural_feature_overlap_count,

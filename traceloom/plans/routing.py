@@ -81,7 +81,9 @@ def task_documents(spark, sf_dir, cyclic=False):
     "val_12_subtasks",
     """SELECT 'order-' || l_orderkey AS task_id, sha256('order-' || l_orderkey) AS task_group,
   count(*) AS subtasks, count(*) - 1 AS edges, 'medium' AS risk,
-  CASE WHEN l_orderkey % 50 = 0 THEN count(*) ELSE 0 END AS problems FROM lineitem GROUP BY l_orderkey""",
+  CASE WHEN l_orderkey % 50 = 0 THEN count(*) ELSE count(*) FILTER (times > 1) END AS problems
+FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS times
+  FROM lineitem) GROUP BY l_orderkey""",
 )
 def _(spark, sf_dir):
     rows = rt.normalize_subtasks(task_documents(spark, sf_dir))
@@ -92,8 +94,14 @@ def _(spark, sf_dir):
 
 @query(
     "val_13_cycles",
-    """SELECT 'order-' || l_orderkey AS task_id, count(*) AS n FROM lineitem
-WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey HAVING count(*) > 1""",
+    """SELECT 'order-' || l_orderkey AS task_id,
+  count(DISTINCT l_linenumber || '-' || l_partkey || '-' || l_suppkey) AS n FROM lineitem
+WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey HAVING count(*) > 1
+UNION ALL SELECT 'order-' || l_orderkey, count(DISTINCT sid) FROM (
+  SELECT *, min(CASE WHEN times > 1 THEN sid END) OVER (PARTITION BY l_orderkey) AS own
+  FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, sid) AS times FROM (
+    SELECT l_orderkey, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS sid FROM lineitem)))
+WHERE l_orderkey % 10 <> 0 AND sid >= own GROUP BY l_orderkey""",
 )
 def _(spark, sf_dir):
     rows = rt.normalize_subtasks(task_documents(spark, sf_dir, cyclic=True))
@@ -101,6 +109,7 @@ def _(spark, sf_dir):
 
 
 _CHECK = """chk AS (SELECT b.task_id, b.subtask_id, m.model_id, CASE
+    WHEN count(*) OVER (PARTITION BY b.task_id, b.subtask_id) > 1 THEN 'duplicate subtask_id'
     WHEN m.model_id IS NULL THEN 'model is unavailable'
     WHEN NOT list_contains(m.efforts, b.effort) THEN 'effort is not supported'
     WHEN b.capability IS NOT NULL AND NOT list_contains(m.capabilities, b.capability)
@@ -138,7 +147,7 @@ def _(spark, sf_dir):
 
 def sets(spark, sf_dir, eligible_only=True):
     return rt.candidate_sets(
-        base.subtasks(spark, sf_dir), base.sound_models(spark, sf_dir), POLICY,
+        base.sound_subtasks(spark, sf_dir), base.sound_models(spark, sf_dir), POLICY,
         base.boundary(spark, sf_dir), eligible_only)
 
 
@@ -147,7 +156,7 @@ def sets(spark, sf_dir, eligible_only=True):
     with_sql("""SELECT task_id, count(*) AS options, count(DISTINCT model_id) AS models,
   count(*) FILTER (boundary_state = 'trusted') AS trusted,
   round(min(estimated_unit_cost), 10) AS cheapest, min(option_id) AS first_id FROM opt GROUP BY task_id""",
-             "m", "b", "opt"),
+             "m", "b", "sb", "opt"),
 )
 def _(spark, sf_dir):
     rows = rt.options_of(sets(spark, sf_dir))
@@ -160,7 +169,7 @@ def _(spark, sf_dir):
 @query(
     "join_12_rejected_models",
     with_sql("""SELECT model_id, reason, count(*) AS n FROM c1 WHERE reason IS NOT NULL GROUP BY 1, 2""",
-             "m", "b", "opt"),
+             "m", "b", "sb", "opt"),
 )
 def _(spark, sf_dir):
     rejected = rt.rejections_of(sets(spark, sf_dir, eligible_only=False))
@@ -171,6 +180,66 @@ def _(spark, sf_dir):
     return rejected.groupBy("model_id", kind.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "val_12_repeated_subtasks",
+    with_sql("""SELECT task_id, subtask_id, count(*) AS times FROM b GROUP BY 1, 2 HAVING count(*) > 1""", "b"),
+)
+def _(spark, sf_dir):
+    rows = rt.mark_repeats(base.subtasks(spark, sf_dir)).filter("problem is not null")
+    return rows.groupBy("task_id", "subtask_id").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(
+    "join_12_without_options",
+    with_sql("""SELECT task_id, subtask_id, 'no eligible route options' AS problem, 0 AS options,
+  CASE WHEN l % 4 = 0 OR l % 5 = 0 THEN 0 ELSE (SELECT count(*) FROM m WHERE enabled) END AS rejected
+FROM (SELECT *, CAST(string_split(subtask_id, '-')[2] AS BIGINT) AS l FROM sb)
+WHERE l % 3 = 0 OR l % 4 = 0 OR l % 5 = 0""", "m", "b", "sb", "opt"),
+)
+def _(spark, sf_dir):
+    part = F.split("subtask_id", "-")[1].cast("long")
+    off = base.sound_models(spark, sf_dir).withColumns(
+        {"catalog_hash": F.lit("off"), "enabled": F.lit(False)})
+    known = base.sound_models(spark, sf_dir)
+    hard = base.sound_subtasks(spark, sf_dir).filter((part % 3 == 0) | (part % 4 == 0) | (part % 5 == 0))
+    hard = hard.withColumns({
+        "risk": F.when(part % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("risk")),
+        "estimated_input_tokens": F.lit(1 << 40),
+        "catalog_hash": F.when(part % 4 == 0, "off").when(part % 5 == 0, "nobody").otherwise(F.lit(CATALOG)),
+    })
+    rows = rt.candidate_sets(hard, known.unionByName(off), POLICY, base.boundary(spark, sf_dir))
+    return rows.select("task_id", "subtask_id", "problem", F.size("candidates").alias("options"),
+                       F.size("rejected_models").alias("rejected"))
+
+
+@query(
+    "join_12_set_hashes",
+    with_sql("""SELECT count(DISTINCT task_id) AS tasks, TRUE AS order_free, TRUE AS distinct_tasks FROM sb""",
+             "m", "b", "sb", "opt"),
+)
+def _(spark, sf_dir):
+    rows = sets(spark, sf_dir, eligible_only=False)
+    one = rt.candidate_set_hashes(rows, F.lit("p"))
+    other = rt.candidate_set_hashes(rows.repartition(3, "objective"), F.lit("p"))
+    both = one.join(other.withColumnRenamed("candidate_set_hash", "other"), "task_id")
+    return both.agg(
+        F.count(F.lit(1)).alias("tasks"),
+        F.bool_and(F.col("candidate_set_hash") == F.col("other")).alias("order_free"),
+        (F.count_distinct("candidate_set_hash") == F.count(F.lit(1))).alias("distinct_tasks"))
+
+
+@query(
+    "join_12_candidate_problems",
+    """SELECT 'model is missing from the strength order' AS problem, n_name AS name FROM nation
+WHERE n_nationkey % 8 <> 7 AND n_nationkey % 12 <> 11 AND n_nationkey < 5
+UNION ALL SELECT 'unsupported boundary state', 'conditional-ish'""",
+)
+def _(spark, sf_dir):
+    policy = {**POLICY, "model_strength_order": [f"NATION_{i}" for i in range(5, 25)]}
+    odd = base.boundary(spark, sf_dir).withColumn("state", F.regexp_replace("state", "^conditional$", "conditional-ish"))
+    return rt.candidate_problems(base.sound_models(spark, sf_dir), policy, odd)
+
+
 _SETS = """ro AS (SELECT *, row_number() OVER (PARTITION BY task_id, subtask_id
     ORDER BY estimated_unit_cost, strength_rank, effort_level, option_id) - 1 AS i,
     count(*) OVER (PARTITION BY task_id, subtask_id) AS n FROM opt)"""
@@ -178,7 +247,7 @@ _SETS = """ro AS (SELECT *, row_number() OVER (PARTITION BY task_id, subtask_id
 
 @query(
     "top_03_option_order",
-    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}
+    with_sql("", "m", "b", "sb", "opt").rstrip() + f""", {_SETS}
 SELECT task_id, subtask_id, option_id AS best, n AS options FROM ro WHERE i = 0""",
 )
 def _(spark, sf_dir):
@@ -201,7 +270,7 @@ rj AS (SELECT ro.task_id, ro.subtask_id, ro.option_id, row_number() OVER (PARTIT
 
 @query(
     "ds_09_join_14_ranking_rows",
-    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}, {_CHOSEN}
+    with_sql("", "m", "b", "sb", "opt").rstrip() + f""", {_SETS}, {_CHOSEN}
 SELECT s.task_id, s.subtask_id, ch.option_id AS chosen_option_id,
   CASE WHEN ch.i < 100 THEN 'C' || lpad(CAST(ch.i AS VARCHAR), 2, '0') ELSE 'C' || ch.i END
     AS chosen_choice_id, rj.option_id AS rejected_option_id, s.n AS eligible_option_count,
@@ -218,7 +287,7 @@ def _(spark, sf_dir):
 
 @query(
     "row_16_features",
-    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}
+    with_sql("", "m", "b", "sb", "opt").rstrip() + f""", {_SETS}
 SELECT task_id, subtask_id, any_value(CASE risk WHEN 'low' THEN 'none' WHEN 'medium' THEN 'standard'
     WHEN 'high' THEN 'strong' ELSE 'independent' END) AS verification_floor,
   string_agg(DISTINCT boundary_state, ',' ORDER BY boundary_state) AS boundary_states,
@@ -235,7 +304,7 @@ def _(spark, sf_dir):
 
 @query(
     "row_17_ranking_prompts",
-    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}
+    with_sql("", "m", "b", "sb", "opt").rstrip() + f""", {_SETS}
 SELECT task_id, subtask_id, 'obj=' || any_value(objective) AS line2, 'risk='
   || upper(substr(any_value(risk), 1, 1)) || ' tok=' || any_value(estimated_input_tokens) || ' cap='
   || coalesce(any_value(capability), 'general') || ' dep=-' AS line3, count(*) + 5 AS lines
@@ -333,7 +402,7 @@ fb AS (SELECT ro.task_id, ro.subtask_id, ro.option_id, row_number() OVER (PARTIT
 
 @query(
     "top_04_compile_routes",
-    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}, {_ROUTES}
+    with_sql("", "m", "b", "sb", "opt").rstrip() + f""", {_SETS}, {_ROUTES}
 SELECT sel.task_id, sel.subtask_id, sel.option_id, fb.option_id AS fallback_option_id,
   CASE sel.risk WHEN 'high' THEN 'strong' WHEN 'critical' THEN 'independent' ELSE 'standard' END
     AS verification_tier,
@@ -350,11 +419,11 @@ def _(spark, sf_dir):
 
 @query(
     "val_34_route_violations",
-    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}, {_ROUTES}
+    with_sql("", "m", "b", "sb", "opt").rstrip() + f""", {_SETS}, {_ROUTES}
 SELECT violation, count(*) AS n FROM (SELECT CASE WHEN sel.option_id IS NULL
     THEN 'subtask is not covered' WHEN sel.n < 2 THEN 'fallback option is not eligible'
     WHEN sel.risk = 'critical' THEN 'verification tier is below the minimum' END AS violation
-  FROM b LEFT JOIN sel USING (task_id, subtask_id)) WHERE violation IS NOT NULL GROUP BY 1""",
+  FROM sb b LEFT JOIN sel USING (task_id, subtask_id)) WHERE violation IS NOT NULL GROUP BY 1""",
 )
 def _(spark, sf_dir):
     rows = rt.options_of(sets(spark, sf_dir))
@@ -363,7 +432,7 @@ def _(spark, sf_dir):
         F.when(F.col("verification_tier") == "independent", "strong").otherwise(F.col("verification_tier")))
     found = rt.route_violations(
         routes.select("task_id", "subtask_id", "option_id", "fallback_option_id", "verification_tier"),
-        rows, base.subtasks(spark, sf_dir), POLICY)
+        rows, base.sound_subtasks(spark, sf_dir), POLICY)
     return found.groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -469,7 +538,7 @@ def _(spark, sf_dir):
 def predicted_assignments(spark, sf_dir):
     """Predictions that repeat the reference except where the part key says otherwise."""
     part = F.split("subtask_id", "-")[1].cast("long")
-    return base.assignments(spark, sf_dir).select(
+    return base.sound_assignments(spark, sf_dir).select(
         F.col("task_id").alias("id"), "subtask_id",
         F.when(part % 5 == 0, "NATION_0").otherwise(F.col("model_id")).alias("model_id"),
         F.when(part % 4 == 0, "low").otherwise(F.col("reasoning_effort")).alias("reasoning_effort"))
@@ -477,8 +546,8 @@ def predicted_assignments(spark, sf_dir):
 
 @query(
     "agg_13_routing_evaluation",
-    with_sql("", "b").rstrip() + """,
-p AS (SELECT *, CAST(string_split(subtask_id, '-')[2] AS BIGINT) AS pk FROM b),
+    with_sql("", "b", "sb").rstrip() + """,
+p AS (SELECT *, CAST(string_split(subtask_id, '-')[2] AS BIGINT) AS pk FROM sb),
 x AS (SELECT *, CASE WHEN pk % 5 = 0 THEN 'NATION_0' ELSE nation END AS pm,
   CASE WHEN pk % 4 = 0 THEN 'low' ELSE effort END AS pe,
   bool_or(pk % 77 = 0) OVER (PARTITION BY task_id) AS bad FROM p),
@@ -496,7 +565,7 @@ SELECT (SELECT count(*) FROM g) AS rows,
   round(avg(wl), 9) AS reference_average_reasoning_effort_level FROM lv""",
 )
 def _(spark, sf_dir):
-    truth = base.assignments(spark, sf_dir).withColumnRenamed("task_id", "id")
+    truth = base.sound_assignments(spark, sf_dir).withColumnRenamed("task_id", "id")
     invalid = truth.filter(F.split("subtask_id", "-")[1].cast("long") % 77 == 0).select("id")
     out = rt.routing_metrics(truth, predicted_assignments(spark, sf_dir), invalid)
     names = ("valid_route_rate", "exact_route_accuracy", "subtask_assignment_accuracy",
@@ -533,7 +602,7 @@ def ranking_predictions(spark, sf_dir):
 
 @query(
     "agg_14_ranking_evaluation",
-    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS}, {_CHOSEN},
+    with_sql("", "m", "b", "sb", "opt").rstrip() + f""", {_SETS}, {_CHOSEN},
 z AS (SELECT ch.*, f.option_id = ch.option_id AS ok, f.model_id = ch.model_id AS mok,
     (CAST(string_split(ch.subtask_id, '-')[2] AS BIGINT) % 101) / 100 AS conf
   FROM ch JOIN ro f ON f.task_id = ch.task_id AND f.subtask_id = ch.subtask_id AND f.i = 0),
@@ -613,7 +682,7 @@ def _(spark, sf_dir):
 
 @query(
     "row_19_selective_decisions",
-    with_sql("", "m", "b", "opt").rstrip() + f""", {_SETS},
+    with_sql("", "m", "b", "sb", "opt").rstrip() + f""", {_SETS},
 u AS (SELECT task_id, subtask_id, any_value(risk) AS risk, bool_and(boundary_state = 'trusted') AS tr,
   count(*) AS n, any_value(CAST(string_split(subtask_id, '-')[2] AS BIGINT)) AS pk FROM ro GROUP BY 1, 2)
 SELECT task_id, subtask_id, concat_ws(',', CASE WHEN risk NOT IN ('low', 'medium')

@@ -280,8 +280,8 @@ def _(spark, sf_dir):
 @query(
     "agg_39_depth_profiles",
     f"""WITH {_ENT}, l AS (SELECT b, layer, sum(norm) AS m FROM en GROUP BY 1, 2),
-p AS (SELECT b, sum(m) AS t, sum(m) FILTER (layer / 59.0 < 1.0 / 3) / sum(m) AS early,
-  sum(m) FILTER (layer / 59.0 >= 2.0 / 3) / sum(m) AS late, sum(m * layer / 59.0) / sum(m) AS c FROM l GROUP BY 1)
+p AS (SELECT b, sum(m) AS t, coalesce(sum(m) FILTER (layer / 59.0 < 1.0 / 3), 0) / sum(m) AS early,
+  coalesce(sum(m) FILTER (layer / 59.0 >= 2.0 / 3), 0) / sum(m) AS late, sum(m * layer / 59.0) / sum(m) AS c FROM l GROUP BY 1)
 SELECT b AS profile_id, round(early, 6) AS early, round(late, 6) AS late, round(c, 6) AS depth_centroid,
   CASE WHEN early >= 0.25 AND late >= 0.25 THEN 'bimodal_or_distributed' WHEN early >= 0.6
     THEN 'early_concentrated' WHEN late >= 0.6 THEN 'late_concentrated' ELSE 'bimodal_or_distributed' END

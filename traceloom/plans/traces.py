@@ -807,7 +807,9 @@ arms AS (SELECT 'control' AS arm, i % 2 AS chunk, measured_cost_usd, measured_la
     CASE WHEN elig THEN prof.safety_score ELSE measured_safety END,
     CASE WHEN elig THEN prof.hallucination_rate ELSE measured_hallucinated END
   FROM cases CROSS JOIN prof),
-wide AS (SELECT arm, chunk, {_METRICS} FROM arms GROUP BY arm, chunk),
+wide AS (SELECT arm, chunk, coalesce(cost_per_verified_task, 'Infinity'::DOUBLE) AS cost_per_verified_task,
+  correctness, verification_pass_rate, safety_score, latency_ms, hallucination_rate, avg_cost_usd
+  FROM (SELECT arm, chunk, {_METRICS} FROM arms GROUP BY arm, chunk)),
 lng AS (UNPIVOT wide ON cost_per_verified_task, correctness, verification_pass_rate, safety_score,
   latency_ms, hallucination_rate, avg_cost_usd INTO NAME metric VALUE value),
 cmp AS (SELECT metric, avg(value) FILTER (arm = 'control') AS control,
