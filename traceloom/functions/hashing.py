@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,9 +36,12 @@ def hash_ratio(value: Column | str) -> Column:
 
 
 def hmac_sha(key: bytes, message: Column | str) -> Column:
-    """HMAC-SHA-256 as hex; only the two padded keys are made outside Spark."""
+    """HMAC-SHA-256 as hex; only the two padded keys are made outside Spark.
+
+    A key longer than a block is hashed first, as the standard says.
+    """
     if len(key) > 64:
-        raise ValueError("key must be at most 64 bytes")
+        key = hashlib.sha256(key).digest()
     padded = key.ljust(64, b"\0")
     inner = bytes(byte ^ 0x36 for byte in padded).hex()
     outer = bytes(byte ^ 0x5C for byte in padded).hex()

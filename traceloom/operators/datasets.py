@@ -571,14 +571,18 @@ def record_tasks(rows: DataFrame, key: str, seed: int) -> DataFrame:
 # ---------------------------------------------------------------- splits
 
 
-def positional_split(rows: DataFrame, order: str) -> DataFrame:
-    """Train, then valid and test from the tail: at least one and at most two rows each."""
+def positional_split(rows: DataFrame, order: str, most: int = 2) -> DataFrame:
+    """Train, then valid and test from the tail: a fifth, but one row at least and ``most`` at most.
+
+    Fewer than three rows cannot fill three splits and raise.
+    """
     numbered = with_row_index(rows, order, name="__n")
     total = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
-    tail = F.greatest(F.lit(1), F.least(F.lit(2), F.floor(total / 5)))
+    tail = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(total / 5)))
+    few = F.raise_error(F.lit("a split into train, valid and test needs three rows")).cast("string")
     return numbered.withColumn(
         "split",
-        F.when(F.col("__n") >= total - tail, "test")
+        F.when(total < 3, few).when(F.col("__n") >= total - tail, "test")
         .when(F.col("__n") >= total - 2 * tail, "valid").otherwise("train"),
     ).drop("__n")
 

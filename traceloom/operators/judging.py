@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from traceloom.functions import hashing as hx
 from traceloom.functions import text as tx
 from traceloom.operators.stats import paired_deltas, paired_interval, score_references, win_tie_loss
+from traceloom.session import with_position
 
 
 def variant_pairs(rows: DataFrame, variants: list[str]) -> DataFrame:
@@ -95,9 +96,15 @@ def variant_summary(outputs: DataFrame, scores: DataFrame) -> DataFrame:
     empty = tx.trimmed_or_null("output").isNull()
     other = outputs.groupBy("variant").agg(
         F.avg(F.when(F.coalesce(empty, F.lit(True)), 1.0).otherwise(0.0)).alias("empty_rate"),
-        F.percentile(F.coalesce("latency_ms", F.lit(0.0)), F.lit(0.5)).alias("median_latency_ms"),
+        F.count(F.lit(1)).alias("__rows"),
     )
-    return means.join(other, "variant")
+    # The median from positions in the sorted latencies: no task holds all values of a variant.
+    latency = outputs.select("variant", "id", F.coalesce("latency_ms", F.lit(0.0)).alias("__latency"))
+    placed = with_position(latency, ["variant"], "__latency", "id", name="__n")
+    middle = placed.join(other.select("variant", "__rows"), "variant").filter(
+        F.col("__n").isin(F.floor((F.col("__rows") - 1) / 2), F.floor(F.col("__rows") / 2)))
+    median = middle.groupBy("variant").agg(F.avg("__latency").alias("median_latency_ms"))
+    return means.join(other.drop("__rows"), "variant").join(median, "variant")
 
 
 def variant_deltas(scores: DataFrame, variants: list[str], metric: str = "rougeL") -> DataFrame:

@@ -523,7 +523,7 @@ def _(spark, sf_dir):
 @query("agg_50_recovery_summary")
 def _(spark, sf_dir):
     rows = method_results(spark, sf_dir).withColumn("unhealthy", F.lit(False))
-    shared = rows.withColumn("position", F.xxhash64("position") % 2000).groupBy("method", "seed", "position").agg(
+    shared = rows.groupBy("method", "seed", "position").agg(
         F.max("outcome").alias("outcome"), F.max("wall_clock_seconds").alias("wall_clock_seconds"),
         F.max("peak_memory_bytes").alias("peak_memory_bytes"), F.max("unhealthy").alias("unhealthy"),
         F.max("aborted_early").alias("aborted_early"))
@@ -582,20 +582,39 @@ def outputs(spark, sf_dir):
     return out, refs, rows.select(F.col("trace_id").alias("id"), "prompt")
 
 
+_OUT = """ou AS (SELECT trace_id AS id, response, variant, CASE variant WHEN 'whole' THEN prompt
+    WHEN 'prefix' THEN array_to_string(list_slice(w, 1, half), ' ')
+    ELSE array_to_string(list_slice(w, len(w) - half + 1, len(w)), ' ') END AS output
+  FROM (SELECT *, greatest(len(w) // 2, 1) AS half FROM (SELECT *, string_split(prompt, ' ') AS w FROM t)),
+    (VALUES ('prefix'), ('whole'), ('suffix')) AS g(variant))"""
+
+
+def _overlap(n):
+    """SQL for the F1 of n-gram counts of token lists c and r."""
+    gram = {1: "l[k]", 2: "l[k] || chr(1) || l[k + 1]"}[n]
+
+    def grams(name):
+        return (f"(SELECT g, count(*) AS n FROM (SELECT {gram} AS g FROM (SELECT l, unnest(range(1, len(l) - {n - 1}"
+                f" + 1)) AS k FROM (SELECT {name} AS l))) GROUP BY g)")
+
+    return (f"(SELECT coalesce(sum(least(a.n, b.n)), 0) FROM {grams('c')} a JOIN {grams('r')} b ON a.g = b.g)")
+
+
 @query(
     "row_22_reference_overlap",
-    with_sql("""SELECT trace_id AS id, round(CASE WHEN o1 > 0 THEN 2.0 * o1 / (lc + lr) ELSE 0 END, 8) AS rouge1,
-  round(lc / greatest(lr, 1)::DOUBLE, 8) AS reference_length_ratio FROM (SELECT *, len(c) AS lc, len(r) AS lr,
-  (SELECT coalesce(sum(least(a.n, b.n)), 0) FROM (SELECT w, count(*) AS n FROM (SELECT unnest(c) AS w) GROUP BY w) a
-    JOIN (SELECT w, count(*) AS n FROM (SELECT unnest(r) AS w) GROUP BY w) b ON a.w = b.w) AS o1
-  FROM (SELECT trace_id, regexp_extract_all(lower(prompt), '([\\p{L}\\p{N}'']+)', 1) AS c,
-    regexp_extract_all(lower(response), '([\\p{L}\\p{N}'']+)', 1) AS r FROM t))""", "t"),
+    with_sql("", "t").rstrip() + f""", {_OUT}
+SELECT id, variant, round(CASE WHEN o1 > 0 THEN 2.0 * o1 / (lc + lr) ELSE 0 END, 8) AS rouge1,
+  round(CASE WHEN o2 > 0 THEN 2.0 * o2 / (lc + lr - 2) ELSE 0 END, 8) AS rouge2,
+  round(lc / greatest(lr, 1)::DOUBLE, 8) AS reference_length_ratio
+FROM (SELECT *, len(c) AS lc, len(r) AS lr, {_overlap(1)} AS o1, {_overlap(2)} AS o2
+  FROM (SELECT id, variant, regexp_extract_all(lower(output), '([\\p{{L}}\\p{{N}}'']+)', 1) AS c,
+    regexp_extract_all(lower(response), '([\\p{{L}}\\p{{N}}'']+)', 1) AS r FROM ou))""",
 )
 def _(spark, sf_dir):
     out, refs, _ = outputs(spark, sf_dir)
-    scores = jd.variant_scores(out.filter("variant = 'whole'"), refs)
-    return scores.select("id", F.round("rouge1", 8).alias("rouge1"),
-                         F.round("reference_length_ratio", 8).alias("reference_length_ratio"))
+    scores = jd.variant_scores(out, refs)
+    return scores.select("id", "variant", *[
+        F.round(n, 8).alias(n) for n in ("rouge1", "rouge2", "reference_length_ratio")])
 
 
 @query("agg_31_variant_comparison")
@@ -607,12 +626,13 @@ def _(spark, sf_dir):
 
 @query(
     "agg_31_variant_latency",
-    with_sql("SELECT 'whole' AS variant, median(length(prompt) * 2.0) AS median_latency_ms FROM t", "t"),
+    with_sql("", "t").rstrip() + f""", {_OUT}
+SELECT variant, median(length(output) * 2.0) AS median_latency_ms FROM ou GROUP BY variant""",
 )
 def _(spark, sf_dir):
     out, refs, _ = outputs(spark, sf_dir)
     summary = jd.variant_summary(out, jd.variant_scores(out, refs))
-    return summary.filter("variant = 'whole'").select("variant", "median_latency_ms")
+    return summary.select("variant", "median_latency_ms")
 
 
 @query("agg_31_output_coverage", with_sql("SELECT count(*) * 0 AS problems FROM t", "t"))

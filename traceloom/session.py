@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_ROW_BITS = 33
+_SPREAD = "traceloom.spread.local.files"
 
 
 def build_session(app: str = "traceloom", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -21,6 +22,8 @@ def build_session(app: str = "traceloom", cores: str = "*", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config(_SPREAD, "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -46,13 +49,15 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of fewer splits than cores, such as one small file.
+    """In a session of :func:`build_session`, deal a small file's rows out to all cores.
 
-    Text rules and option pricing cost far more than moving such a table once. A table with
-    enough splits, which is every large one, is left as it is.
+    The local test files have one row group each, so one task would do all the text work. A cluster's
+    session does not set the option: there tables are read as their splits come, and nothing is moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    session = df.sparkSession
+    if session.conf.get(_SPREAD, "false") != "true":
+        return df
+    return df.repartition(session.sparkContext.defaultParallelism)
 
 
 def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_index") -> DataFrame:
