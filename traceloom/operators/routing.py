@@ -1202,13 +1202,16 @@ def group_split(rows: DataFrame, groups: DataFrame, fraction: float = 0.2, seed:
     ).drop("__eval")
 
 
+#: Letters of a keyword by which it meets texts.
+_GRAM = 3
+
+
 def workflow_routes(tasks: DataFrame, workflows: DataFrame, top_k: int = 3) -> DataFrame:
     """Best workflows of every task by trigger overlap.
 
     Only pairs that share a trigger value can score, so tasks and workflows meet by an equi
-    join on (trigger kind, value) instead of all with all. Path prefixes and keywords match
-    inside text: the task side offers every prefix of its paths, and keywords are matched by
-    a scan of the small set of distinct trigger words.
+    join on (trigger kind, value) instead of all with all. The task side offers the prefixes of
+    its paths that are as long as some trigger; keywords meet texts on their first letters.
     """
     if not 1 <= top_k <= 3:
         raise ValueError("top_k must be in [1, 3]")
@@ -1238,6 +1241,9 @@ def workflow_routes(tasks: DataFrame, workflows: DataFrame, top_k: int = 3) -> D
             )
         ],
     )
+    # The lengths that path triggers have: no more numbers than the longest path has letters.
+    sizes = trigger.filter("kind = 'repository_paths'").select(F.length("value")).distinct().collect()
+    lengths = F.array(*[F.lit(n) for (n,) in sorted(sizes) if n is not None]).cast("array<int>")
     offered = reduce(
         DataFrame.unionByName,
         [
@@ -1255,8 +1261,8 @@ def workflow_routes(tasks: DataFrame, workflows: DataFrame, top_k: int = 3) -> D
                             F.transform(
                                 "repository_paths",
                                 lambda p: F.transform(
-                                    F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1))),
-                                    lambda i: F.substr(p, F.lit(1), i),
+                                    F.filter(lengths, lambda n: n <= F.length(p)),
+                                    lambda n: F.substr(p, F.lit(1), n),
                                 ),
                             )
                         )
@@ -1265,20 +1271,19 @@ def workflow_routes(tasks: DataFrame, workflows: DataFrame, top_k: int = 3) -> D
             )
         ],
     )
-    words = trigger.filter("kind = 'keywords'").agg(
-        F.array_sort(F.collect_set("value")).alias("words")
-    )
-    # One row of distinct trigger words, joined by broadcast on a constant.
+    # A keyword stands in a text only if its first letters do: texts and keywords meet on these, and
+    # the whole keyword is looked for in the few texts that are left.
+    words = trigger.filter("kind = 'keywords'").select("value").distinct().withColumn(
+        "gram", F.substring("value", 1, _GRAM))
+    folded = tasks.select("task_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    grams = F.flatten(F.transform(F.lit(list(range(_GRAM + 1))), lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)),
+        lambda i: F.substr("text", i, n))))
+    met = folded.select("task_id", F.explode(F.array_distinct(grams)).alias("gram")).join(words, "gram")
     texts = (
-        tasks.withColumn("__one", F.lit(1))
-        .join(F.broadcast(words.withColumn("__one", F.lit(1))), "__one")
-        .select(
-            "task_id",
-            F.lit("keywords").alias("kind"),
-            F.explode(
-                F.filter("words", lambda w: F.contains(F.lower(F.coalesce("text", F.lit(""))), w))
-            ).alias("value"),
-        )
+        met.select("task_id", "value").join(folded, "task_id")
+        .filter(F.contains("text", F.col("value")))
+        .select("task_id", F.lit("keywords").alias("kind"), "value").distinct()
     )
     weight = literal_map(vocab.TRIGGER_WEIGHTS)
     scores = (
