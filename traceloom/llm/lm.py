@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from traceloom.llm import gru
@@ -171,19 +171,36 @@ def _fitted(docs: DataFrame, start: dict, shape: gru.Shape, listed: np.ndarray,
     return weights
 
 
+def _most_frequent(counts: DataFrame, most: int = LISTED) -> tuple[np.ndarray, np.ndarray]:
+    """END, then up to ``most`` words by falling count.
+
+    A histogram of count classes, a fixed number of rows, tells from which count on the words are
+    few enough, so that only these leave the executors.
+    """
+    step = F.floor(F.log2("n") * 64)
+    left, least = most, 1 << 20
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.step
+    end = int(_END.astype(np.int64))
+    rows = counts.filter((step >= least) | (F.col("word") == end)).collect()
+    rows.sort(key=lambda r: (r.word != end, -r.n, r.word))
+    if not rows or rows[0].word != end:
+        rows.insert(0, Row(word=end, n=0))
+    return (np.array([r.word for r in rows], dtype=np.int64).view(np.uint64),
+            np.array([r.n for r in rows], dtype=np.int64))
+
+
 def train(docs: DataFrame, counts: DataFrame) -> Model:
     """Model from training documents and their token counts.
 
     The driver sees the listed words (a fixed number), one row per class, and weights.
     """
-    end = F.lit(int(_END.astype(np.int64)))
     whole = counts.groupBy(F.col("word").bitwiseAND(F.lit(TAILS - 1)).alias("kind")).agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
-    top = counts.orderBy(F.col("word") != end, F.desc("n"), "word").limit(LISTED).collect()
-    listed = np.array([r.word for r in top], dtype=np.int64).view(np.uint64)
-    n = np.array([r.n for r in top], dtype=np.int64)
-    if not len(listed):
-        listed, n = np.array([_END], dtype=np.uint64), np.array([0])
+    listed, n = _most_frequent(counts)
     shape = gru.Shape(min(WORDS, len(listed)), TAILS)
     tail_n, tail_words = np.zeros(TAILS), np.zeros(TAILS)
     for r in whole:
