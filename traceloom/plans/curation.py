@@ -284,8 +284,8 @@ def _(spark, sf_dir):
     return datasets.prompt_pack_variants(packs)
 
 
-# The draws come from xxhash64, which the SQL engine does not share; it checks the structure.
-@query("ds_16_arithmetic_tasks")
+# The draws come from xxhash64, which the SQL engine does not share: SQL says what must hold of all.
+@query("ds_16_arithmetic_tasks", "SELECT TRUE AS answer_right, count(*) AS n FROM orders")
 def _(spark, sf_dir):
     rows = datasets.arithmetic_tasks(table(spark, sf_dir, "orders"), "o_orderkey", 1701)
     words = F.regexp_extract_all("prompt", F.lit(r"(\d+)"), F.lit(1))
@@ -307,17 +307,23 @@ def _(spark, sf_dir):
         "id", "answer", "prompt")
 
 
-@query("ds_16_record_tasks")
+@query("ds_16_record_tasks", "SELECT TRUE AS names_order, count(*) AS n FROM orders")
 def _(spark, sf_dir):
     rows = datasets.record_tasks(table(spark, sf_dir, "orders"), "o_orderkey", 1701)
     inside = F.contains("prompt", jx.get(jx.parse("completion"), "$.order_id"))
     return rows.groupBy(inside.alias("names_order")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ds_16_addition_tasks")
+@query(
+    "ds_16_addition_tasks",
+    """SELECT 'addition-train-' || o_orderkey AS id, TRUE AS answer_right, TRUE AS small FROM orders""",
+)
 def _(spark, sf_dir):
     rows = datasets.addition_tasks(table(spark, sf_dir, "orders"), "o_orderkey", 4403)
-    return rows.groupBy("answer").agg(F.count(F.lit(1)).alias("n"))
+    words = F.regexp_extract_all("prompt", F.lit(r"(\d+)"), F.lit(1))
+    a, b = words[0].cast("long"), words[1].cast("long")
+    return rows.select("id", (a + b == F.col("answer").cast("long")).alias("answer_right"),
+                       (F.greatest(a, b) <= 4).alias("small"))
 
 
 # ---------------------------------------------------------------- splits

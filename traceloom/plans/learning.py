@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from traceloom.operators import learning as ml
 from traceloom.operators import routing as rt
-from traceloom.plans.base import query, table
-from traceloom.plans.routing import ranking
+from traceloom.plans.base import query, table, with_sql
+from traceloom.plans.routing import _CHOSEN, _SETS, ranking
 from traceloom.session import durable
 
 FAMILIES = {f"NATION_{i}": ("small", "mid", "top")[i % 3] for i in range(25)}
@@ -28,7 +28,20 @@ def labelled_rows(spark, sf_dir):
     return rt.group_split(ml.feature_columns(rows), rows.select("task_group"))
 
 
-@query("ml_01_flat_classifier")
+_LABELLED = f"""{_SETS}, {_CHOSEN},
+lb AS (SELECT ch.* FROM ch WHERE n >= 2),
+lg AS (SELECT DISTINCT task_group FROM lb),
+lr AS (SELECT *, row_number() OVER (ORDER BY sha256('1701:' || task_group), task_group) - 1 AS place,
+  count(*) OVER () AS c FROM lg),
+le AS (SELECT lb.* FROM lb JOIN lr USING (task_group)
+  WHERE place < greatest(1, least(c - 1, round_even(c * 0.2::DOUBLE, 0))))"""
+
+
+@query(
+    "ml_01_flat_classifier",
+    with_sql("", "m", "b", "sb", "opt").rstrip() + f""", {_LABELLED}
+SELECT count(*) AS rows, TRUE AS ordered FROM le""",
+)
 def _(spark, sf_dir):
     rows = durable(labelled_rows(spark, sf_dir))
     model = ml.fit(rows.filter("split = 'train'"), LogisticRegression(maxIter=20))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_ROW_BITS = 33
-_SPREAD = "traceloom.spread.local.files"
+_SPREAD = "spark.traceloom.spreadLocalFiles"
 
 
 def build_session(app: str = "traceloom", cores: str = "*", partitions: int = 8) -> SparkSession:
