@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.session import durable
 
-__all__ = ["attach", "durable", "unit_interval"]
+__all__ = ["attach", "durable", "pieces", "unit_interval"]
 
 #: Rows up to which a per-key table may be broadcast; larger ones are joined by a salted shuffle.
 BROADCAST_ROWS = 100_000
 _SALTS = 32
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut, without a copy, into runs of few rows, so that a task's arrays stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def unit_interval(seed: str, *keys: str) -> Column:
     """A uniform number in [0, 1) that depends on the seed and the keys alone (52 bits of MD5)."""
     text = F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm import words as wd
-from traceloom.llm.common import durable
+from traceloom.llm.common import durable, pieces
 
 #: Labelled documents that the classifiers are fitted on, taken by a hash of their ids.
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 ROUNDS = 3
 #: Documents that each view labels for the other per class and round, and how sure it must be.
 PER_ROUND = 500
@@ -90,10 +90,10 @@ class Scale(NamedTuple):
 
     @classmethod
     def of(cls, text: np.ndarray, page: np.ndarray) -> Scale:
-        size = page[:, 2:3].astype(float)
+        size = page[:, 2].astype(float)
         total = max(1.0, float(size.sum()))
-        share = (text.astype(float) / 255) ** 2
-        return cls((share * size).sum(axis=0) / total, page[:, 3:9].sum(axis=0, dtype=float) / total)
+        squares = np.square(text, dtype=np.float32) / 255**2
+        return cls(size @ squares / total, page[:, 3:9].sum(axis=0, dtype=float) / total)
 
     def text_features(self, text: np.ndarray, page: np.ndarray) -> np.ndarray:
         size = page[:, 2:3].astype(float)
@@ -125,15 +125,20 @@ class Linear(NamedTuple):
         return self.slope * (z @ self.weights[:-1] + self.weights[-1]) + self.shift
 
 
-def _newton(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 12) -> np.ndarray:
-    x = np.c_[x, np.ones(len(x))]
-    hold = np.full(x.shape[1], penalty)
+def _newton(x: np.ndarray, y: np.ndarray, penalty: float, mean=0.0, scale=1.0, steps: int = 12) -> np.ndarray:
+    """Weights and bias for standardised features, by Newton steps summed over blocks of rows."""
+    width = x.shape[1] + 1
+    hold = np.full(width, penalty)
     hold[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(hold)
-        move = np.linalg.solve(curve, x.T @ (y - p) - hold * w)
+        curve, slope = np.diag(hold), -hold * w
+        for at in range(0, len(x), 1024):
+            block = np.c_[(x[at : at + 1024] - mean) / scale, np.ones(len(x[at : at + 1024]))]
+            p = 1 / (1 + np.exp(-np.clip(block @ w, -30, 30)))
+            curve += (block * (p * (1 - p) + 1e-6)[:, None]).T @ block
+            slope += block.T @ (y[at : at + 1024] - p)
+        move = np.linalg.solve(curve, slope)
         w = w + move * min(1.0, 5 / max(1e-9, np.abs(move).max()))
         if np.abs(move).max() < 1e-6:
             break
@@ -141,15 +146,15 @@ def _newton(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 12) -> np
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 5.0) -> Linear:
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    return Linear(mean, scale, _newton((x - mean) / scale, y, penalty))
+    mean, scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float) + 1e-3
+    return Linear(mean, scale, _newton(x, y, penalty, mean, scale))
 
 
 def calibrated(model: Linear, x: np.ndarray, y: np.ndarray) -> Linear:
     """Platt scaling on rows the model has not seen; none or one class leaves it as it is."""
     if len(set(y.tolist())) < 2:
         return model
-    slope, shift = _newton(model.odds(x)[:, None], y, 1e-3)
+    slope, shift = _newton(model.odds(x)[:, None], y, 1e-3)  # one feature and a bias
     return model._replace(slope=max(1e-3, float(slope)), shift=float(shift))
 
 
@@ -176,7 +181,7 @@ def view_table(docs: DataFrame) -> DataFrame:
     """Both views of every document, about half a kilobyte a row, written once."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             text, page = views(batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("same"),
@@ -199,7 +204,7 @@ def _scored(table: DataFrame, model: Model) -> DataFrame:
     shared = table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = _read(batch.column("text").to_pylist(), batch.column("page").to_pylist())
             p = shared.value.score(*x)
             yield pa.RecordBatch.from_arrays(
@@ -252,7 +257,11 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, label: str =
     scale = Scale.of(text, page)
 
     def features(text, page) -> dict:
-        return {"p_text": scale.text_features(text, page), "p_page": scale.page_features(page)}
+        cuts = range(0, len(text), 1024)
+        return {
+            "p_text": np.concatenate([scale.text_features(text[i : i + 1024], page[i : i + 1024]).astype(np.float32)
+                                      for i in cuts]),
+            "p_page": scale.page_features(page).astype(np.float32)}
 
     own = features(text, page)
     seen = {view: [(x[~held], y[~held])] for view, x in own.items()}
@@ -293,7 +302,7 @@ def kept(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, label: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             good = shared.value.score(*views(batch))[2] >= 0.5
             yield batch.filter(pa.array(good))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm import words as wd
-from traceloom.llm.common import BROADCAST_ROWS, durable
+from traceloom.llm.common import BROADCAST_ROWS, durable, pieces
 from traceloom.llm.components import connected
 
 SIZE = 4
@@ -58,7 +58,7 @@ def set_table(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [(len(own), _set_key(own) if len(own) else None)
                      for _, own in _sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays(
@@ -78,7 +78,7 @@ def _entries(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             hashes, keys, packed = [], [], []
             for _, own in _sets(batch.column("text"), size):
                 if not len(own) or (key := _set_key(own)) in seen:
@@ -130,7 +130,10 @@ def _tile_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _candidates(keys: DataFrame, percent: int) -> DataFrame:
-    """Chains of neighbours by size inside every shared shingle: similar sets hang together."""
+    """Chains of neighbours by size inside every shared shingle: similar sets hang together.
+
+    The rows of a shingle are sorted narrow rows of which a task holds two at a time.
+    """
     near = Window.partitionBy("hash").orderBy("n", "key")
     after = F.lead(F.struct("n", "key")).over(near)
     chained = keys.withColumn("after", after).filter(
@@ -163,7 +166,7 @@ def _linker(percent: int):
         seen: set = set()
         pair = None
         out: list[tuple[int, int]] = []
-        for batch in batches:
+        for batch in pieces(batches):
             columns = [batch.column(c).to_pylist() for c in ("comp", "low", "high", "tile", "key", "own")]
             for comp, low, high, tile, key, own in zip(*columns, strict=True):
                 if (comp, low, high) != pair:
@@ -242,7 +245,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PER
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             fresh = [i for i, x in enumerate(batch.column("same").to_pylist()) if not (x in seen or seen.add(x))]
             texts = batch.column("text").take(pa.array(fresh, pa.int64()))
             own = [o for _, o in _sets(texts, size)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import BROADCAST_ROWS, durable
+from traceloom.llm.common import BROADCAST_ROWS, durable, pieces
 
 # Honorifics that tell a name, with the gender they give (fixed values).
 HONORIFICS = {
@@ -214,7 +214,7 @@ def entities(docs: DataFrame) -> DataFrame:
     """kind, normal: every entity of the corpus once."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             seen = {(k, n) for text in batch.column("text").to_pylist() for _, _, k, n in mentions(text)}
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.string())],
@@ -236,7 +236,7 @@ def retries(found: DataFrame, key: bytes) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("kind", "normal", "attempt")), strict=True))
             new = [surrogate(key, k, n, a) for k, n, a in rows]
             yield pa.RecordBatch.from_arrays(
@@ -288,7 +288,7 @@ def _replacer(docs: DataFrame, key: bytes, shared):
     names = [c for c in docs.columns if c not in _ADDED]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             own = batch.column("__again").to_pylist() if "__again" in batch.schema.names else None
             texts, counts, kinds = [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
@@ -308,7 +308,7 @@ def _replacer(docs: DataFrame, key: bytes, shared):
 
 def _joined(docs: DataFrame, again: DataFrame, key: bytes) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [(r, k, n) for r, text in zip(batch.column("same").to_pylist(),
                                                  batch.column("text").to_pylist(), strict=True)
                     for k, n in {m[2:] for m in mentions(text)}]
