@@ -350,6 +350,33 @@ def test_scores_against_counting(docs):
     assert np.mean(gain) > 0
 
 
+def test_network_learns_from_every_training_document(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i % 7}" for _ in range(1 + i % 5))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    monkeypatch.setattr(lm, "_REPLICA_TOKENS", 100)
+    seen = spark.sparkContext.accumulator(0)
+    replica = lm._replica
+
+    def counting(*given):
+        n, new = replica(*given)
+        seen.add(n)
+        return n, new
+
+    monkeypatch.setattr(lm, "_replica", counting)
+    model = lm.train(docs, lm._counts(docs))
+    assert seen.value == model.total == sum(2 + i % 5 for i in range(6000))
+
+
+def test_trainer_leaves_no_symbol_out():
+    shape = gru.Shape(40, 2)
+    p = gru.start(shape, np.ones(42))
+    trainer = gru.Trainer(p, shape)
+    trainer.learn(np.r_[np.full(96, 1), 39], 3, 16)
+    assert trainer.p["word_b"][0, 39] > trainer.p["word_b"][0, 38]
+    n, _ = lm._replica(p, shape, iter([np.full(2 * lm._BLOCK + 5, 1)]))
+    assert n == 2 * lm._BLOCK + 5
+
+
 def test_frequent_words_come_first(spark, monkeypatch):
     end = int(lm._END.astype(np.int64))
     counts = spark.createDataFrame([(i, 1000 // (i + 1)) for i in range(500)] + [(end, 3)], "word long, n long")

@@ -67,64 +67,68 @@ def _step(p: dict, h: np.ndarray, symbol: np.ndarray):
     return new + keep * (h - new), keep, open_, turned, new
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of one column per row; all columns' exponentials, in place of x, and their sums."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    return own - np.log(total[:, 0]), x, total
 
 
 def _output(p: dict, shape: Shape, h: np.ndarray, symbol: np.ndarray, grads: dict | None = None):
     """Log probability of each symbol after each state; with ``grads``, the states' gradients too."""
     kind = shape.class_of(symbol)
-    rows = np.arange(len(symbol))
-    logs = _log_softmax(h @ p["class_w"] + p["class_b"])
-    out = logs[rows, kind]
+    out, d, total = _softmax(h @ p["class_w"] + p["class_b"], kind)
     back = None
     if grads is not None:
-        d = np.exp(logs)
-        d[rows, kind] -= 1
-        d /= len(symbol)
+        d /= total * len(symbol)
+        d[np.arange(len(symbol)), kind] -= 1 / len(symbol)
         grads["class_w"] += h.T @ d
         grads["class_b"] += d.sum(axis=0)
         back = d @ p["class_w"].T
-    order = np.argsort(kind, kind="stable")
+    order = np.argsort(kind.astype(np.int16), kind="stable")
     edge = np.searchsorted(kind[order], np.arange(shape.groups + 1))
     for group in range(shape.groups):
         at = order[edge[group] : edge[group + 1]]
         if not len(at):
             continue
         member = symbol[at] % _MEMBERS
-        own = _log_softmax(h[at] @ p["word_w"][group] + p["word_b"][group])
-        spot = np.arange(len(at))
-        out[at] += own[spot, member]
+        given = h[at]
+        own, d, total = _softmax(given @ p["word_w"][group] + p["word_b"][group], member)
+        out[at] += own
         if grads is not None:
-            d = np.exp(own)
-            d[spot, member] -= 1
-            d /= len(symbol)
-            grads["word_w"][group] += h[at].T @ d
+            d /= total * len(symbol)
+            d[np.arange(len(at)), member] -= 1 / len(symbol)
+            grads["word_w"][group] += given.T @ d
             grads["word_b"][group] += d.sum(axis=0)
             back[at] += d @ p["word_w"][group].T
     return out, back
 
 
-def fit(p: dict, shape: Shape, symbols: np.ndarray, streams: int = 32, window: int = 16,
-        rate: float = 0.01, least: int = 1) -> dict:
-    """Truncated backpropagation through the texts (each closed by END), cut into equal streams.
-
-    Gradients stop at the window's start, the state goes on. Adam steps; ``least`` is the fewest
-    passes, raised for small inputs until there are some hundred steps.
-    """
-    p = {k: v.copy() for k, v in p.items()}
-    streams = max(1, min(streams, len(symbols) // (2 * window)))
-    length = len(symbols) // streams
-    if length < 2:
-        return p
-    x = symbols[: streams * length].reshape(streams, length)
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    per_pass = -(-length // window)
-    passes = max(least, min(20, -(-300 // per_pass)))
-    done, width = 0, p["turn"].shape[0]
-    for _ in range(passes):
+class Trainer:
+    """Truncated backpropagation with Adam steps; ``learn`` may be called block after block."""
+
+    def __init__(self, p: dict, shape: Shape, rate: float = 0.01):
+        self.p, self.shape, self.rate = {k: v.copy() for k, v in p.items()}, shape, rate
+        self.first = {k: np.zeros_like(v) for k, v in p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in p.items()}
+        self.done = 0
+
+    def learn(self, symbols: np.ndarray, streams: int, window: int) -> None:
+        """One pass over texts, each closed by END, cut into near equal streams; no symbol is left out.
+
+        Gradients stop at the window's start, the state goes on.
+        """
+        if not len(symbols):
+            return
+        p, shape, width = self.p, self.shape, self.p["turn"].shape[0]
+        streams = max(1, min(streams, len(symbols) // (2 * window)))
+        length = -(-len(symbols) // streams)
+        x = np.full(streams * length, END, dtype=symbols.dtype)
+        x[: len(symbols)] = symbols
+        real = (np.arange(len(x)) < len(symbols)).reshape(streams, length)
+        x = x.reshape(streams, length)
         h = np.zeros((streams, width), dtype=np.float32)
         for begin in range(0, length, window):
             part = x[:, begin : begin + window]
@@ -135,9 +139,16 @@ def fit(p: dict, shape: Shape, symbols: np.ndarray, streams: int = 32, window: i
                 kept.append(rest)
                 h = new * (part[:, t] != END)[:, None]
             grads = {k: np.zeros_like(v) for k, v in p.items()}
-            _, back = _output(p, shape, np.concatenate(states), part.T.reshape(-1), grads)
+            flat, valid = part.T.reshape(-1), real[:, begin : begin + window].T.reshape(-1)
+            if valid.all():
+                _, back = _output(p, shape, np.concatenate(states), flat, grads)
+            else:  # behind the last text
+                back = np.zeros((len(flat), width), dtype=np.float32)
+                if valid.any():
+                    back[valid] = _output(p, shape, np.concatenate(states)[valid], flat[valid], grads)[1]
             back = back.reshape(part.shape[1], streams, width)
             carry = np.zeros_like(h)
+            given = np.empty((part.shape[1], streams, 3 * width), dtype=back.dtype)
             for t in range(part.shape[1] - 1, -1, -1):
                 before, (keep, open_, turned, new) = states[t], kept[t]
                 carry = carry * (part[:, t] != END)[:, None]
@@ -146,22 +157,42 @@ def fit(p: dict, shape: Shape, symbols: np.ndarray, streams: int = 32, window: i
                 d_open = d_new * turned * open_ * (1 - open_)
                 d_turned = d_new * open_
                 gate = np.concatenate([d_keep, d_open], axis=1)
-                all_ = np.concatenate([gate, d_new], axis=1)
+                given[t, :, : 2 * width], given[t, :, 2 * width :] = gate, d_new
                 grads["gate"] += before.T @ gate
                 grads["turn"] += before.T @ d_turned
-                grads["bias"] += all_.sum(axis=0)
-                np.add.at(grads["embed"], part[:, t], all_)
                 carry = carry * keep + gate @ p["gate"].T + d_turned @ p["turn"].T + back[t]
-            done += 1
-            size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            shrink = min(1.0, 1.0 / max(size, 1e-9))
-            for k, g in grads.items():
-                g = g * shrink
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                p[k] -= (rate * first[k] / (1 - 0.9**done)
-                         / (np.sqrt(second[k] / (1 - 0.99**done)) + 1e-6)).astype(np.float32)
-    return p
+            given = given.reshape(-1, 3 * width)
+            grads["bias"] += given.sum(axis=0)
+            order = np.argsort(flat.astype(np.int16), kind="stable")
+            ranked = flat[order]
+            head = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+            grads["embed"][ranked[head]] += np.add.reduceat(given[order], head, axis=0)
+            self._move(grads)
+
+    def _move(self, grads: dict) -> None:
+        self.done += 1
+        size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        shrink = min(1.0, 1.0 / max(size, 1e-9))
+        for k, g in grads.items():
+            g *= shrink
+            self.first[k] += 0.1 * (g - self.first[k])
+            self.second[k] += 0.01 * (g * g - self.second[k])
+            self.p[k] -= (self.rate * self.first[k] / (1 - 0.9**self.done)
+                          / (np.sqrt(self.second[k] / (1 - 0.99**self.done)) + 1e-6)).astype(np.float32)
+
+
+def fit(p: dict, shape: Shape, symbols: np.ndarray, streams: int = 32, window: int = 16,
+        rate: float = 0.01, least: int = 1) -> dict:
+    """Weights after passes over all texts; ``least`` is the fewest passes.
+
+    More are made over small inputs until there are some hundred steps.
+    """
+    trainer = Trainer(p, shape, rate)
+    streams = max(1, min(streams, len(symbols) // (2 * window)))
+    per_pass = -(-len(symbols) // (streams * window))
+    for _ in range(max(least, min(20, -(-300 // max(1, per_pass))))):
+        trainer.learn(symbols, streams, window)
+    return trainer.p
 
 
 def log_likelihood(p: dict, shape: Shape, symbols: np.ndarray, sizes: np.ndarray,

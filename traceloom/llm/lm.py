@@ -2,8 +2,8 @@
 
 All training tokens are counted. The most frequent words are symbols of the network; every other
 word belongs to one of 64 classes by its last letters, has its share of the class by its count, and
-a word never seen has the share of half a count. The network is trained on a share of the training
-documents by replicas whose weights are averaged, then scores every document in one pass.
+a word never seen has the share of half a count. The network learns from every training document, by
+one replica per partition whose weights are averaged, then scores every document in one pass.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -24,11 +25,16 @@ WORDS = 1024
 TAILS = 64
 #: Most frequent words whose counts are sent to all tasks; counts of the others are joined.
 LISTED = 1 << 18
-#: Share of the training documents that the network is fitted on, and their least number.
-FIT_SHARE = 1 / 32
-FIT_LEAST = 4000
-_REPLICA_DOCS = 1000
-_ROUNDS = 2
+#: Partitions with fewer tokens than this are put together for one replica.
+_REPLICA_TOKENS = 500_000
+#: The first quarter of the documents, by a hash, gives the others a common start.
+_QUARTERS = 4
+#: Tokens that a replica holds at once, and the most and fewest streams they are cut into.
+_BLOCK = 1 << 20
+_STREAMS = (256, 32)
+_WINDOW, _STEPS = 16, 300
+#: Replicas that are averaged in one task.
+_LEVEL = 16
 _END = np.uint64(0xE05D0C5E9B3A1F40)
 _CLASS = np.uint64(TAILS - 1)
 _KEPT = 1 << 20
@@ -131,39 +137,92 @@ def _symbols(value: np.ndarray, lookup: _Lookup, words: int) -> tuple[np.ndarray
     return np.where(known, rank, words + (value & _CLASS).astype(np.int64)), rank
 
 
-def _fitted(docs: DataFrame, start: dict, shape: gru.Shape, listed: np.ndarray, n_docs: int) -> dict:
-    """Weights after rounds of local training on parts of a sample, averaged over the parts."""
-    share = max(FIT_SHARE, min(1.0, FIT_LEAST / max(1, n_docs)))
-    cut = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fit")),
-                 F.lit(1_000_000)) < int(share * 1_000_000)
-    parts = int(min(512, max(4, share * n_docs / _REPLICA_DOCS)))
+def _replica(weights: dict, shape: gru.Shape, texts) -> tuple[int, dict]:
+    """Symbols learned, and the weights after one pass over all texts, a bounded block at a time.
+
+    Only a replica of fewer symbols than some hundred small steps take makes more passes.
+    """
+    trainer, held, size, done = None, [], 0, 0
+
+    def learn():
+        symbols = np.concatenate(held)
+        streams = int(np.clip(len(symbols) // (_WINDOW * _STEPS), _STREAMS[1], _STREAMS[0]))
+        trainer.learn(symbols, streams, _WINDOW)
+        return len(symbols)
+
+    for text in texts:
+        for at in range(0, len(text), _BLOCK):
+            held.append(text[at : at + _BLOCK].astype(np.int32))
+            size += len(held[-1])
+            if size >= _BLOCK:
+                trainer = trainer or gru.Trainer(weights, shape)
+                done += learn()
+                held, size = [], 0
+    if trainer is None:
+        if not held:
+            return 0, weights
+        symbols = np.concatenate(held)
+        streams = int(np.clip(len(symbols) // (_WINDOW * _STEPS), _STREAMS[1], _STREAMS[0]))
+        return len(symbols), gru.fit(weights, shape, symbols, streams, _WINDOW)
+    return done + (learn() if held else 0), trainer.p
+
+
+def _added(batches):
+    """One row with the sums of all rows of a task; rows arrive in the order of their parts."""
+    part, n, sums = None, 0, 0.0
+    for batch in batches:
+        for own, size, flat in zip(*(batch.column(c) for c in ("part", "n", "flat")), strict=True):
+            part = own.as_py() // _LEVEL if part is None else part
+            n += size.as_py()
+            sums = sums + np.frombuffer(flat.as_py(), dtype=np.float64)
+    if part is not None:
+        yield _sum_row(part, n, sums)
+
+
+def _sum_row(part: int, n: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())],
+        names=["part", "n", "flat"])
+
+
+_SUMS = "part long, n long, flat binary"
+
+
+def _fitted(docs: DataFrame, start: dict, shape: gru.Shape, listed: np.ndarray, tokens: int) -> dict:
+    """Weights after every document was learned, averaged over the replicas by their symbols.
+
+    Replicas are as many as partitions, unless these are small. Sums are taken in levels, so that the
+    driver gets ``_LEVEL`` rows at most.
+    """
     context = docs.sparkSession.sparkContext
     words = context.broadcast(listed[: shape.words])
     weights = start
-    sample = docs.filter(cut).select("doc_id", "text").repartition(parts)
-    for _ in range(_ROUNDS):
+    kind = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fit")),
+                  F.lit(_QUARTERS))
+    for turn in (kind == 0, kind > 0):
         sent = context.broadcast(weights)
 
         def run(batches, sent=sent):
             lookup = _Lookup(words.value)
-            texts = [_symbols(value, lookup, shape.words)[0]
-                     for batch in batches for _, _, value in _tokens(batch.column("text"))]
-            if not texts:
-                return
-            symbols = np.concatenate(texts)
-            new = gru.fit(sent.value, shape, symbols)
-            flat = np.concatenate([new[k].reshape(-1) for k in sorted(new)]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([len(symbols)], pa.int64()), pa.array([flat.tobytes()], pa.binary())],
-                names=["n", "flat"])
-
-        # One row of fixed size per part, of which there are 512 at most.
-        rows = sample.mapInArrow(run, "n long, flat binary").collect()
-        if not rows:
-            break
-        shares = np.array([r.n for r in rows], dtype=float)
-        flats = np.stack([np.frombuffer(r.flat, dtype=np.float32) for r in rows])
-        mean = (shares / shares.sum()) @ flats
+            n, new = _replica(sent.value, shape, (
+                _symbols(value, lookup, shape.words)[0]
+                for batch in batches for _, _, value in _tokens(batch.column("text"))))
+            if n:
+                flat = np.concatenate([new[k].reshape(-1) for k in sorted(new)]).astype(np.float64)
+                yield _sum_row(TaskContext.get().partitionId(), n, n * flat)
+
+        whole = docs.filter(turn).select("text").coalesce(max(1, tokens // _REPLICA_TOKENS))
+        rows = durable(whole.mapInArrow(run, _SUMS))
+        top = rows.agg(F.max("part")).first()[0]
+        while top is not None and top >= _LEVEL:
+            parts = top // _LEVEL + 1
+            rows = rows.repartition(parts, F.floor(F.col("part") / _LEVEL)).sortWithinPartitions(
+                "part").mapInArrow(_added, _SUMS)
+            top //= _LEVEL
+        found = sorted(rows.collect(), key=lambda r: r.part)
+        if not found:
+            continue
+        mean = sum(np.frombuffer(r.flat, dtype=np.float64) for r in found) / sum(r.n for r in found)
         at, weights = 0, {}
         for k in sorted(start):
             weights[k] = mean[at : at + start[k].size].reshape(start[k].shape).astype(np.float32)
@@ -209,9 +268,9 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     tail_n -= np.bincount(head, n[: shape.words], TAILS)
     tail_words -= np.bincount(head, n[: shape.words] > 0, TAILS)
     start = gru.start(shape, np.r_[n[: shape.words], tail_n])
-    return Model(_fitted(docs, start, shape, listed, int(n[0])), shape, listed, n,
-                 np.log10(tail_n + 0.5 * (tail_words + 1)), int(sum(r.n for r in whole)),
-                 int(sum(r.words for r in whole)))
+    total = int(sum(r.n for r in whole))
+    return Model(_fitted(docs, start, shape, listed, total), shape, listed, n,
+                 np.log10(tail_n + 0.5 * (tail_words + 1)), total, int(sum(r.words for r in whole)))
 
 
 def score(docs: DataFrame) -> DataFrame:
