@@ -264,6 +264,20 @@ def test_cleaned_texts_hold_no_phrase(spark):
     assert not any(r.spans for r in fmindex.find(spark.createDataFrame(list(got.values())), bench).collect())
 
 
+def test_cleaned_by_slices_is_cleaned_at_once(spark):
+    w = [f"word{i}" for i in range(3000)]
+    bench = spark.createDataFrame(
+        [(f"i{i}", " ".join(w[i * 8 : i * 8 + 14])) for i in range(40)], "item_id string, text string")
+    rows = [(1, "before, " + ", ".join(w[:198]) + "; after"), (2, "x " + " - ".join(w[80:95]) + " y"), (3, None),
+            (4, " ".join([*w[:7], *w[16:30], *w[7:14]]))]  # cutting out the middle makes a new passage
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn(
+        "n_chars", F.length("text").cast("long"))
+    one = sorted(map(tuple, fmindex.cleaned(docs, bench).collect()))
+    assert len(list(fmindex._slices(bench, 300))) > 2
+    assert sorted(map(tuple, fmindex.cleaned(docs, bench, limit=300).collect())) == one
+    assert one[0][1] == "before, ; after" and w[0] in one[3][1]
+
+
 # ------------------------------------------------------------------ search
 
 def test_search_recall_and_ties(spark):

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traceloom.llm import words as wd
 
@@ -315,32 +316,65 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             limit: int = SLICE_WORDS) -> DataFrame:
     """Documents with all removal spans cut out of their texts; other columns and texts as they were.
 
-    ``n_chars``, where there is one, follows the text of cut documents.
+    Every slice of the benchmark is searched in the whole text, and texts are cut once, at the merged
+    spans. ``n_chars``, where there is one, follows the text of cut documents.
     """
-    out = docs
+    out, last = docs, None
+    marked = T.StructType([*docs.schema.fields, T.StructField(_MARKS, T.ArrayType(T.LongType()))])
     for part in _slices(benchmark, limit):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-        out = out.mapInArrow(_cutter(shared, window), docs.schema)
-    return out
+        if last is not None:
+            out = out.mapInArrow(_marker(last, window), marked)
+        last = docs.sparkSession.sparkContext.broadcast(part)
+    return out.mapInArrow(_cutter(last, window), docs.schema)
+
+
+#: Spans found so far, four numbers each.
+_MARKS = "__marks"
+
+
+def _marks(batch: pa.RecordBatch, phrases: Phrases) -> dict[int, list]:
+    """Spans of these phrases and those of earlier slices, by row."""
+    _, spans, _ = scan(batch.column("text"), phrases)
+    if _MARKS in batch.schema.names:
+        for row, marks in enumerate(batch.column(_MARKS).to_pylist()):
+            if marks:
+                spans.setdefault(row, []).extend(zip(*[iter(marks)] * 4, strict=True))
+    return spans
+
+
+def _marker(shared, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(shared.value, window)
+        for batch in batches:
+            spans = _marks(batch, phrases)
+            marks = [[n for span in spans.get(row, ()) for n in span] for row in range(batch.num_rows)]
+            columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != _MARKS}
+            yield pa.RecordBatch.from_arrays(
+                [*columns.values(), pa.array(marks, pa.list_(pa.int64()))], names=[*columns, _MARKS])
+
+    return run
 
 
 def _cutter(shared, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(shared.value, window)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            _, spans, _ = scan(batch.column(at), phrases)
+            spans = _marks(batch, phrases)
+            if _MARKS in batch.schema.names:
+                batch = batch.drop_columns([_MARKS])
             if not spans:
                 yield batch
                 continue
+            at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             chars = batch.schema.get_field_index("n_chars")
             sizes = batch.column(chars).to_pylist() if chars >= 0 else None
             for row, cuts in spans.items():
-                raw, kept, from_ = texts[row].encode(), [], 0
-                for _, _, start, end in cuts:
-                    kept.append(raw[from_:start])
-                    from_ = end
+                raw, kept, from_, upto = texts[row].encode(), [], 0, -1
+                for first, end_word, start, end in sorted(cuts):
+                    if first > upto:  # touching spans go with what is between them
+                        kept.append(raw[from_:start])
+                    from_, upto = max(from_, end), max(upto, end_word)
                 texts[row] = b"".join([*kept, raw[from_:]]).decode()
                 if sizes is not None:
                     sizes[row] = len(texts[row])
