@@ -132,6 +132,26 @@ def test_live_health_and_conformance(spark, tmp_path):
     assert spark.table("live").first()["step_adherence"] == 0.5
 
 
+def test_live_mean_kl_is_the_batch_rule(spark, tmp_path):
+    from traceloom.operators import health
+
+    log = spark.createDataFrame(
+        [(job, i, 0.1 if i % 3 == 0 else high, 0.0, 0.8, 0.0) for job, high in (("a", 1.0), ("b", 0.6))
+         for i in range(40)],
+        "job_id string, update long, kl_divergence double, zero_variance_group double, "
+        "completion_diversity double, hard_limit_fraction double")
+    log.coalesce(1).write.parquet(str(tmp_path / "log"))
+    limits = {"kl_abort_window": 25}  # deeper than every other window
+    stream = jobs.health_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")), limits)
+    query = stream.writeStream.format("memory").queryName("mean_kl").option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = health.health_abort(log, limits).filter("abort_reason is not null").select("job_id", "update", "abort_reason")
+    got = sorted(map(tuple, spark.table("mean_kl").collect()))
+    assert got == sorted(map(tuple, want.collect()))
+    assert got[0] == ("a", 24, "mean KL exceeded 0.5 over 25 updates") and len(got) == 16
+
+
 def test_redaction_edges(spark):
     texts = ["mail a.b@c.org", "Authorization: Bearer abcdefghijklmnop", "api_key='s3cret'", "x" * 40, "sk-" + "a" * 14]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

@@ -83,8 +83,10 @@ class HealthProcessor(StatefulProcessor):
 
     def __init__(self, limits: dict | None = None) -> None:
         self.limits = {**HEALTH_DEFAULTS, **(limits or {})}
+        self.mean_kl = self.limits.get("kl_abort_window")
+        self.kl_rows = int(self.mean_kl or self.limits["kl_abort_consecutive"])
         self.depth = max(
-            self.limits["kl_abort_consecutive"], self.limits["zero_variance_window"],
+            self.kl_rows, self.limits["zero_variance_window"],
             self.limits["diversity_window"], self.limits["hard_limit_window"],
         )
 
@@ -113,10 +115,11 @@ class HealthProcessor(StatefulProcessor):
         def last(count: int, place: int) -> list | None:
             return [row[place] for row in ring[-count:]] if len(ring) >= count else None
 
-        kl = last(t["kl_abort_consecutive"], 1)
-        if kl and min(kl) > t["kl_threshold"]:
-            return (f"KL exceeded {t['kl_threshold']} for {t['kl_abort_consecutive']} "
-                    "consecutive updates")
+        kl = last(self.kl_rows, 1)
+        if kl and self.mean_kl and sum(kl) / len(kl) > t["kl_threshold"]:
+            return f"mean KL exceeded {t['kl_threshold']} over {self.kl_rows} updates"
+        if kl and not self.mean_kl and min(kl) > t["kl_threshold"]:
+            return f"KL exceeded {t['kl_threshold']} for {self.kl_rows} consecutive updates"
         zero = last(t["zero_variance_window"], 2)
         if zero and sum(zero) / len(zero) > t["zero_variance_abort_threshold"]:
             return "sustained zero-variance rollout groups"
