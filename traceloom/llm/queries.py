@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import (
+    audit,
+    bpe,
     cotrain,
     fmindex,
     hilbert,
@@ -202,3 +204,59 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_learned_partitions")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+AUDIT_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+least_ids AS (SELECT text, min(doc_id) AS low FROM words GROUP BY text),
+named AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+    max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(named.toxic, 0) AS toxic,
+    len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * len(regexp_replace(words.text, '[^A-Z]', '', 'g')) > 3 * len(words.text) AS c,
+    regexp_matches(words.text, '[#$%&*|]') AS d, coalesce(words.doc_id > low, false) AS e
+  FROM words JOIN least_ids USING (text) LEFT JOIN named ON words.doc_id = named.doc_id),
+masks AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask,
+    count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order,
+    [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits
+  FROM letters v, letters w, letters x, letters y, letters z
+  WHERE v.bit + w.bit + x.bit + y.bit + z.bit = 31
+    AND v.bit | w.bit | x.bit | y.bit | z.bit = 31),
+steps AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS own,
+    coalesce(list_sum(list_slice(bits, 1, step - 1)), 0)::INT AS earlier
+  FROM orders, range(1, 6) r(step)),
+counted AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (own | earlier) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & own > 0 AND mask & earlier > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM masks, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = audit.read_stream(spark, f"{sf_dir}/documents.parquet")
+    return audit.audit(docs, table(spark, sf_dir, "labels"))
