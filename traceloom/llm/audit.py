@@ -5,23 +5,22 @@ a mask; identity with a smaller id depends on what else has come. So every text
 least id so far and who holds it. A row's mask is counted as it stands when it comes, and when a
 smaller id comes later, the masks counted for the earlier holders are taken back and counted again.
 What the stream leaves is a table of counters per part and mask, from which all orders follow.
+
+The state is a table in the shared folder, one narrow row per text, part and labels of a micro-batch:
+an operator that calls Python once per text costs milliseconds a text, and this one none. A micro-batch
+shuffles that table with its own rows, so a text's state is read once per micro-batch and not once
+per row; with few micro-batches that is a small share of reading the texts.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
-from collections.abc import Iterator
 from itertools import permutations
 
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from traceloom.llm.common import BROADCAST_ROWS
+from traceloom.llm.common import BROADCAST_ROWS, durable
 from traceloom.session import ensure_checkpoint_dir
 
 FILTERS = "ABCDE"
@@ -31,160 +30,130 @@ SIGNS = "[#$%&*|]"
 BATCHES = 4
 _COPY = 1 << FILTERS.index("E")
 _SALTS = 32
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-_FACT = "key binary, part string, mask int, good boolean, toxic boolean, doc_id long, n long"
-_HELD = "low long, part array<string>, good array<boolean>, toxic array<boolean>, n array<long>"
+_STATE = "key binary, part string, mask int, good boolean, toxic boolean, low long, n_low long, n long"
 _CHANGE = "part string, mask int, good boolean, toxic boolean, n long"
 
 
-def text_mask(text: Column) -> Column:
+def text_mask(text: str, words: str) -> Column:
     """Bits of the filters that one text alone decides: A, B, C and D from the lowest bit up."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    whole = F.col(text)
     count, distinct = F.size(words), F.size(F.array_distinct(words))
-    upper = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))
+    upper = F.regexp_count(whole, F.lit("[A-Z]")).cast("long")
     fails = [
         count < LEAST_WORDS,
-        distinct * 100 < count * LEAST_DISTINCT,
-        upper * 100 > F.length(text) * MOST_UPPER,
-        text.rlike(SIGNS),
+        distinct.cast("long") * 100 < count.cast("long") * LEAST_DISTINCT,
+        upper * 100 > F.length(whole).cast("long") * MOST_UPPER,
+        whole.rlike(SIGNS),
     ]
     bits = [F.when(fail, 1 << place).otherwise(0) for place, fail in enumerate(fails)]
     return sum(bits[1:], bits[0]).cast("int")
 
 
-def facts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One narrow row per document: text digest, part, mask, label bits, doc_id and 1.
+def label_bits(labels: DataFrame) -> DataFrame:
+    """One row per id that any label row calls good or toxic; a null id has no labels."""
+    named = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    return named.agg(
+        F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"),
+        F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"),
+    ).filter("good OR toxic")
+
 
-    Null texts are empty ones, null languages the empty part. A document is good (toxic) if any label
-    row of its id says so; a null id has no labels. Labels are folded to a row per id and broadcast up
-    to ``BROADCAST_ROWS`` ids after a count; beyond that both sides meet by (id, salt of the text), so
-    that an id or null that many rows carry is spread.
+def facts(docs: DataFrame, named: DataFrame, few: bool) -> DataFrame:
+    """One narrow row per document: text digest, part, mask, label bits and doc_id.
+
+    Null texts are empty ones and null languages the empty part. ``few`` labelled ids are broadcast;
+    more meet the documents by (id, salt of the text), so an id or null that many rows carry is spread.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        F.unhex(F.sha2(text, 256)).alias("key"),
-        F.coalesce(F.col("lang"), F.lit("")).alias("part"),
-        text_mask(text).alias("mask"),
         F.col("doc_id").cast("long").alias("doc_id"),
-    ).withColumn("__salt", F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int"))
-    named = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"),
-        F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"),
-    ).filter("good OR toxic")
-    if named.count() <= BROADCAST_ROWS:
+        F.coalesce(F.col("lang"), F.lit("")).alias("part"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+    ).withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = rows.select(
+        "doc_id", "part", F.unhex(F.sha2("text", 256)).alias("key"), text_mask("text", "words").alias("mask")
+    )
+    if few:
         joined = rows.join(F.broadcast(named), "doc_id", "left")
     else:
+        salt = F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")
         salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-        joined = rows.join(named.withColumn("__salt", salts), ["doc_id", "__salt"], "left")
+        joined = rows.withColumn("salt", salt).join(
+            named.withColumn("salt", salts), ["doc_id", "salt"], "left"
+        )
     return joined.select(
         "key", "part", "mask", F.coalesce("good", F.lit(False)).alias("good"),
-        F.coalesce("toxic", F.lit(False)).alias("toxic"), "doc_id", F.lit(1).cast("long").alias("n"),
+        F.coalesce("toxic", F.lit(False)).alias("toxic"), "doc_id",
     )
 
 
-def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that are alike but for larger ids become one, so a text sends few rows to its state.
+def fold(rows: DataFrame) -> DataFrame:
+    """Facts folded to a row per text, part and labels: least id, rows of that id, all rows.
 
-    Per key, part and labels of a batch only the holders of the batch's least id stay apart; all
-    others are copies for certain, whatever comes, and are counted without an id.
+    Rows of one id are counted first, which spreads the copies of a text over all tasks; the second
+    sum is combined before its shuffle, so a text sends one row per task at most. Rows without an id
+    have no least id and stay a row of their own.
     """
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        least = table.group_by("key").aggregate([("doc_id", "min")])
-        table = table.join(least, "key")
-        ids, low = table["doc_id"], table["doc_id_min"]
-        holds = pc.fill_null(pc.equal(ids, low), False)
-        free = pc.is_null(ids)
-        copy = pc.invert(pc.or_(holds, free))
-        mask = pc.if_else(copy, pc.bit_wise_or(table["mask"], pa.scalar(_COPY, pa.int32())), table["mask"])
-        table = table.set_column(table.schema.get_field_index("mask"), "mask", mask)
-        table = table.set_column(
-            table.schema.get_field_index("doc_id"), "doc_id", pc.if_else(holds, ids, pa.scalar(None, pa.int64()))
-        )
-        by = ["key", "part", "mask", "good", "toxic", "doc_id"]
-        folded = table.group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"])
-        yield from folded.select(batch.schema.names).cast(batch.schema).combine_chunks().to_batches()
+    alike = ["key", "part", "mask", "good", "toxic"]
+    each = rows.groupBy(*alike, "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    blank = F.col("doc_id").isNull()
+    least = F.min(F.struct("doc_id", "n"))
+    return each.groupBy(*alike, blank.alias("blank")).agg(least.alias("least"), F.sum("n").alias("n")).select(
+        *alike, F.col("least.doc_id").alias("low"), F.col("least.n").alias("n_low"), "n"
+    )
 
 
-def settle(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counter changes of one text in one micro-batch.
+def retractions(state: DataFrame, number: int) -> DataFrame:
+    """Counter changes of micro-batch ``number``, given the state rows up to it with their ``batch``.
 
-    The state is the least id so far and its holders, counted by part and labels. Rows of a larger id
-    count as copies. A smaller id takes the holders' masks back, counts them as copies and holds the
-    text itself. Rows without an id are neither copies nor make any.
+    A new row counts its least id's rows with the mask as it is if no smaller id is known, all others
+    as copies. Where the new rows bring a smaller id than the state held, the masks counted for the
+    earlier holders are taken back and counted again as copies.
     """
-    changes: Counter = Counter()
-    low, held = None, Counter()
-    if state.exists:
-        low, *columns = state.get
-        held = Counter({(part, good, toxic): n for part, good, toxic, n in zip(*columns)})
-    for frame in frames:
-        missing = frame["doc_id"].isna().tolist()
-        for blank, part, mask, good, toxic, ident, n in zip(
-            missing, frame["part"], frame["mask"], frame["good"], frame["toxic"], frame["doc_id"], frame["n"]
-        ):
-            who = (part, bool(good), bool(toxic))
-            if blank:
-                changes[mask, who] += n
-                continue
-            ident = int(ident)
-            if low is None or ident < low:
-                for other, count in held.items():
-                    changes[mask, other] -= count
-                    changes[mask | _COPY, other] += count
-                low, held = ident, Counter()
-            if ident == low:
-                held[who] += n
-                changes[mask, who] += n
-            else:
-                changes[mask | _COPY, who] += n
-    if low is not None:
-        parts, goods, toxics = zip(*held)
-        state.update((low, list(parts), list(goods), list(toxics), [int(n) for n in held.values()]))
-    rows = [(who[0], int(mask), who[1], who[2], int(n)) for (mask, who), n in changes.items() if n]
-    yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "n"])
-
-
-def changes(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stream of counter changes (part, mask, good, toxic, n) of a stream of documents."""
-    narrow = facts(docs, labels)
-    folded = narrow.mapInArrow(fold, _FACT)
-    return folded.groupBy("key").applyInPandasWithState(
-        settle, _CHANGE, _HELD, "append", GroupStateTimeout.NoTimeout
-    )
+    text = Window.partitionBy("key")
+    fresh = F.col("batch") == number
+    seen = state.withColumns({
+        "now": F.min("low").over(text),
+        "before": F.min(F.when(~fresh, F.col("low"))).over(text),
+    })
+    first = (F.col("low") == F.col("now")) | F.col("low").isNull()
+    counted = F.when(F.col("low").isNull(), F.col("n")).when(first, F.col("n_low")).otherwise(0)
+    lost = ~fresh & (F.col("low") == F.col("before")) & (F.col("now") < F.col("before"))
+    copy = F.col("mask").bitwiseOR(F.lit(_COPY))
+    moves = F.when(fresh, F.array(
+        F.struct(F.col("mask").alias("mask"), counted.cast("long").alias("n")),
+        F.struct(copy.alias("mask"), (F.col("n") - counted).cast("long").alias("n")),
+    )).when(lost, F.array(
+        F.struct(F.col("mask").alias("mask"), (-F.col("n_low")).alias("n")),
+        F.struct(copy.alias("mask"), F.col("n_low").alias("n")),
+    ))
+    each = seen.select("part", "good", "toxic", F.explode(moves).alias("move"))
+    return each.groupBy("part", "move.mask", "good", "toxic").agg(F.sum("move.n").alias("n"))
 
 
 def stream_counters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counters (part, mask, good, toxic, n) after all that a stream of documents holds now.
 
-    The text state is kept by RocksDB and its change log in the shared folder. A micro-batch writes
-    its summed changes to a folder of its own number, so one that runs again replaces what it wrote.
+    A micro-batch writes its state rows and its counter changes to folders of its own number, and
+    reads only the state of smaller numbers, so one that runs again replaces what it wrote.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     home = f"{spark.sparkContext.getCheckpointDir()}/audit-{uuid.uuid4().hex}"
-
-    def keep(batch: DataFrame, number: int) -> None:
-        sums = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{home}/counters/batch={number}")
-
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
-    try:
-        query = (
-            changes(docs, labels).writeStream.outputMode("append").foreachBatch(keep)
-            .option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
-        )
-    finally:
-        spark.conf.set(_PROVIDER, before)
-    query.awaitTermination()
-    none = spark.createDataFrame([], _CHANGE)
-    none.write.mode("append").parquet(f"{home}/counters/batch=-1")
+    named = durable(label_bits(labels))
+    few = named.count() <= BROADCAST_ROWS
+
+    def settle(batch: DataFrame, number: int) -> None:
+        fold(facts(batch, named, few)).write.mode("overwrite").parquet(f"{home}/state/batch={number}")
+        state = batch.sparkSession.read.schema(f"{_STATE}, batch long").parquet(f"{home}/state")
+        sums = retractions(state.filter(F.col("batch") <= number), number)
+        sums.write.mode("overwrite").parquet(f"{home}/counters/batch={number}")
+
+    docs.writeStream.foreachBatch(settle).option("checkpointLocation", f"{home}/stream").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    spark.createDataFrame([], _CHANGE).write.parquet(f"{home}/counters/batch=-1")
     kept = spark.read.schema(f"{_CHANGE}, batch long").parquet(f"{home}/counters")
-    sums = kept.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
-    return sums.filter("n <> 0")
+    return kept.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 def orders(counters: DataFrame) -> DataFrame:
@@ -192,21 +161,21 @@ def orders(counters: DataFrame) -> DataFrame:
 
     A counter is one row per part, mask and labels, so 600 rows of every counter is a fixed factor.
     """
-    steps = []
-    for order in permutations(range(len(FILTERS))):
-        earlier = 0
-        for step, own in enumerate(order):
-            steps.append(F.struct(
-                F.lit("".join(FILTERS[k] for k in order)).alias("filter_order"),
-                F.lit(step + 1).alias("step"), F.lit(1 << own).alias("own"), F.lit(earlier).alias("earlier"),
-            ))
-            earlier |= 1 << own
-    at = counters.select("*", F.explode(F.array(*steps)).alias("s")).select("*", "s.*")
+    every = ["".join(order) for order in permutations(FILTERS)]
+    at = counters.withColumn("filter_order", F.explode(F.lit(every))).withColumn(
+        "step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS))))
+    )
+    places = [F.locate(letter, F.col("filter_order")) for letter in FILTERS]
+    own, earlier = (
+        sum((F.when(test, 1 << k).otherwise(0) for k, test in enumerate(tests)), F.lit(0))
+        for tests in ([p == F.col("step") for p in places], [p < F.col("step") for p in places])
+    )
+    at = at.withColumns({"own": own, "earlier": earlier})
     fails = F.col("mask").bitwiseAND(F.col("own")) != 0
     gone = F.col("mask").bitwiseAND(F.col("earlier")) != 0
     here = fails & ~gone
     # The filter is the first of the mask's bits in one order out of as many as there are bits.
-    orders_first = F.lit(len(steps) // len(FILTERS)) / F.greatest(F.bit_count("mask"), F.lit(1))
+    orders_first = F.lit(len(every)) / F.greatest(F.bit_count("mask"), F.lit(1))
 
     def total(which: Column, weight: Column | None = None) -> Column:
         n = F.col("n") if weight is None else F.col("n") * weight
