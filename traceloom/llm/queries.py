@@ -20,6 +20,7 @@ from traceloom.llm import (
     ordinal,
     surrogates,
     warc,
+    whitening,
 )
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -206,6 +207,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_exact_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_byte_bpe")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
