@@ -242,7 +242,7 @@ def identity_errors(whitened: DataFrame, fits: dict[int, Fit], into: str = "whit
 
     Means come first, then products of centred values; tasks add up, one row per entry and task meets.
     """
-    rows = whitened.filter(F.col(f"{into}.size").isNotNull()).select(f"{into}.size", f"{into}.whitened")
+    rows = whitened.filter(F.size(f"{into}.whitened") > 0).select(f"{into}.size", f"{into}.whitened")
 
     def sums(centre: dict[int, np.ndarray] | None) -> dict[int, np.ndarray]:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
