@@ -154,22 +154,30 @@ def test_codes_of_very_long_pieces(library, own):
         assert ids_of(own.encode(text)) == library.encode_ordinary(text)
 
 
-def test_queue_gives_the_least_rank_and_position():
-    draw = random.Random(5)
-    queue, plain = bpe.RankQueue(50_000), []
-    for _ in range(3000):
-        if plain and draw.random() < 0.45:
-            least = min(plain)
-            plain.remove(least)
-            assert queue.pop() == least
-        else:
-            entry = (draw.choice((draw.randrange(50_000), draw.randrange(5))), draw.randrange(10**6))
-            plain.append(entry)
-            queue.push(*entry)
-    while plain:
-        plain.remove(least := min(plain))
-        assert queue.pop() == least
-    assert not queue.top and not queue.buckets and not any(queue.words)
+def plain_merge(piece, ranks):
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    while True:
+        pairs = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        _, k = min(pairs)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_merges_of_drawn_vocabularies():
+    """Also where a longer token has a smaller rank than its parts, which training never gives."""
+    draw = random.Random(6)
+    for _ in range(300):
+        letters = [bytes([c]) for c in b"abc"]
+        longer = {b"".join(draw.choices(letters, k=draw.randrange(2, 6))) for _ in range(12)}
+        tokens = letters + sorted(longer)
+        numbers = draw.sample(range(200), len(tokens))
+        own = bpe.Ranks(dict(zip(tokens, numbers)))
+        for _ in range(20):
+            piece = b"".join(draw.choices(letters, k=draw.randrange(1, 40)))
+            want = [own.of[piece]] if piece in own.of else plain_merge(piece, own.of)
+            assert bpe.merge(piece, own) == want
+        assert not any(own.words)
 
 
 def test_coded_documents(spark, documents, library):

@@ -9,12 +9,13 @@ meanwhile are skipped. A merge costs one step per level, whatever the length of
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import islice
 from math import isqrt
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,58 +23,36 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces kept encoded per worker, of at most so many characters each.
-CACHED, CACHED_CHARS = 200_000, 32
+#: Pieces kept encoded per worker and generation, of at most so many characters each.
+CACHED, CACHED_CHARS = 250_000, 32
 _BLOCK = 50_000
 _ENCODED = "struct<n_tokens: bigint, ids: binary>"
 
 
-class RankQueue:
-    """Positions by rank; ``pop`` gives the least rank's least position.
+class Ranks:
+    """Ranks of byte strings, and the words of the rank queue's bitmap, all zero between pieces.
 
-    A bitmap of two levels stands over the buckets: a word has one bit per rank, the top has one bit
-    per word that is not zero, so the least rank is found by two find-first-sets. Words are as wide as
-    there are words, whatever the number of ranks.
+    The bitmap has two levels: a word has one bit per rank, the top has one bit per word that is not
+    zero. Words are as wide as there are words, whatever the number of ranks.
     """
 
-    def __init__(self, ranks: int):
-        self.width = isqrt(max(1, ranks) - 1) + 1
+    def __init__(self, of: dict[bytes, int]):
+        self.of = of
+        self.longest = max(map(len, of), default=0)
+        self.width = isqrt(max(of.values(), default=0)) + 1
         self.words = [0] * self.width
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank // self.width
-        self.words[word] |= 1 << rank % self.width
-        self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int]:
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        rank = word * self.width + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heapq.heappop(bucket)
-        del self.buckets[rank]
-        self.words[word] = bits & bits - 1
-        if not self.words[word]:
-            self.top &= self.top - 1
-        return rank, bucket[0]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], longest: int, queue: RankQueue) -> list[int]:
+def merge(piece: bytes, ranks: Ranks) -> list[int]:
     """Token ids of one piece: always the pair of least rank, the leftmost among equals.
 
-    ``queue`` is empty before and after. A part begins at its position and ends where the next one
-    begins; a bucket's entry is stale when its position begins no part any more or the pair there has
-    another rank by now.
+    A part begins at its position and ends where the next one begins. ``buckets`` holds per rank the
+    positions whose pair had that rank when they were noted, the least first; an entry is stale when its
+    position begins no part any more or the pair there has another rank by now. Calls are written out:
+    a piece costs some microseconds, and a corpus has as many pieces as distinct words.
     """
-    find = ranks.get
+    of, longest, words, width = ranks.of, ranks.longest, ranks.words, ranks.width
+    find = of.get
     whole = find(piece)
     if whole is not None:
         return [whole]
@@ -81,32 +60,58 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int, queue: RankQueue)
     after = list(range(1, end + 2))
     before = list(range(-1, end))
     pair = [find(piece[at : at + 2]) for at in range(end - 1)]
-    pair += [None]
-    push, pop = queue.push, queue.pop
+    pair.append(None)
+    top, buckets = 0, {}
     for at, rank in enumerate(pair):
         if rank is not None:
-            push(rank, at)
-    while queue.top:
-        rank, at = pop()
+            bucket = buckets.get(rank)
+            if bucket is None:
+                buckets[rank] = [at]
+                word = rank // width
+                words[word] |= 1 << rank % width
+                top |= 1 << word
+            else:
+                bucket.append(at)  # positions rise, so this is a heap
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = words[word]
+        rank = word * width + (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            at = heappop(bucket)
+        else:
+            at = bucket[0]
+            del buckets[rank]
+            bits &= bits - 1
+            words[word] = bits
+            if not bits:
+                top &= top - 1
         if pair[at] != rank:
             continue
         gone = after[at]
-        pair[gone] = None
         middle = after[at] = after[gone]
         before[middle] = at
-        pair[at] = None
-        if middle < end and after[middle] - at <= longest:
-            pair[at] = rank = find(piece[at : after[middle]])
-            if rank is not None:
-                push(rank, at)
+        pair[gone] = pair[at] = None
         left = before[at]
-        if left >= 0:
-            pair[left] = rank = find(piece[left:middle]) if middle - left <= longest else None
-            if rank is not None:
-                push(rank, left)
+        for start, stop in ((at, after[middle] if middle < end else 0), (left, middle)):
+            if start < 0 or not 0 < stop - start <= longest:
+                if start >= 0:
+                    pair[start] = None
+                continue
+            pair[start] = rank = find(piece[start:stop])
+            if rank is None:
+                continue
+            bucket = buckets.get(rank)
+            if bucket is None:
+                buckets[rank] = [start]
+                word = rank // width
+                words[word] |= 1 << rank % width
+                top |= 1 << word
+            else:
+                heappush(bucket, start)
     out, at = [], 0
     while at < end:
-        out.append(ranks[piece[at : after[at]]])
+        out.append(of[piece[at : after[at]]])
         at = after[at]
     return out
 
@@ -141,16 +146,14 @@ class Vocabulary:
     """Ranks of byte strings, the pattern that cuts texts, and the pieces encoded lately."""
 
     def __init__(self, lines: bytes, pattern: str, stand: bytes = b""):
-        self.ranks = {
+        self.ranks = Ranks({
             base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines()) if token
-        }
-        self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
-        self.longest = max(map(len, self.ranks), default=0)
-        self.bytes = {rank: token for token, rank in self.ranks.items()}
+        })
+        self.bytes = {rank: token for token, rank in self.ranks.of.items()}
         self.pattern = regex.compile(pattern)
         self.stand = dict(np.frombuffer(stand, dtype=np.uint32).reshape(-1, 2).tolist())
         self.odd = _any_of(list(self.stand))
-        self.known = _Known(self)
+        self.known = _Known(self.ranks)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; pieces of long texts are held in blocks."""
@@ -190,17 +193,22 @@ def _any_of(points: list[int]) -> re.Pattern | None:
 
 
 class _Known(dict):
-    """Encoded short pieces, up to a fixed number; emptied when full."""
+    """Encoded short pieces in two generations of fixed size: the older one goes when this one is full,
+    and pieces that are met again come over from it, so frequent ones stay."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, ranks: Ranks):
         super().__init__()
-        self.of = vocabulary
+        self.ranks = ranks
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        of = self.of
-        ids = np.array(merge(piece.encode(), of.ranks, of.longest, of.queue), dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = merge(piece.encode(), self.ranks)
+            ids = pack(f"<{len(found)}I", *found)
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
