@@ -92,11 +92,6 @@ def _(spark, sf_dir):
     return logs.ingest_report(rows).drop("run_id")
 
 
-@query("src_02_ingest_report_near")
-def _(spark, sf_dir):
-    return logs.ingest_report(logs.ingest(trace_lines(spark, sf_dir)))
-
-
 def run_documents(spark, sf_dir, array):
     """Conversations as run documents with one array of traces each."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
@@ -476,13 +471,96 @@ def _(spark, sf_dir):
         "conv_id", "turn", F.round(tx.jaccard(F.col("k"), F.col("k2")), 9).alias("similarity"))
 
 
-@query("join_06_accept_in_order")
+# Scores of rows without responses: the task is the prompt, or the same for both rows.
+_PROMPT = "CASE WHEN ap + bp = 0 THEN 1.0::DOUBLE ELSE common::DOUBLE / (ap + bp - common) END"
+_SAME_TASK = f"({_PROMPT}) * 0.45::DOUBLE + 1.0::DOUBLE * 0.25::DOUBLE + ({_PROMPT}) * 0.30::DOUBLE"
+_PLAIN_TASK = f"({_PROMPT}) * 0.45::DOUBLE + 1.0::DOUBLE * 0.25::DOUBLE + 1.0::DOUBLE * 0.30::DOUBLE"
+
+# A scan in order as recursion: the state is the list of accepted rows. ``src`` has n (from 1, dense),
+# trace_id, k (identity), task_id, p, r and q (token lists).
+_WALK = """scored AS (SELECT n, {{'s': round({0}, 4), 'n': an, 'i': ai}} AS m FROM (
+  SELECT b.n, a.n AS an, a.trace_id AS ai, len(a.p) AS ap, len(b.p) AS bp, a.q AS aq, b.q AS bq,
+    len(list_intersect(a.p, b.p)) AS common
+  FROM src a JOIN src b ON a.n < b.n AND {1}
+    AND least(len(a.p), len(b.p)) >= {2} * greatest(len(a.p), len(b.p)))),
+near AS MATERIALIZED (SELECT n, list_sort(list(m), 'DESC') AS near FROM scored WHERE m.s >= 0.82 GROUP BY n),
+same AS (SELECT n, list(n) OVER (PARTITION BY k ORDER BY n) AS same FROM src),
+steps AS MATERIALIZED (SELECT src.n, trace_id, same, coalesce(near, []) AS near
+  FROM src JOIN same USING (n) LEFT JOIN near USING (n)),
+walk AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS trace_id, []::BIGINT[] AS kept, NULL::VARCHAR AS decision,
+    NULL::STRUCT(s DOUBLE, n BIGINT, i BIGINT) AS best, NULL::BIGINT AS owner
+  UNION ALL
+  SELECT n, trace_id, CASE WHEN decision = 'accepted' THEN list_append(kept, n) ELSE kept END,
+    decision, CASE WHEN decision = 'near_duplicate' THEN best END,
+    CASE decision WHEN 'exact_duplicate' THEN copy WHEN 'near_duplicate' THEN best.n ELSE n END
+  FROM (SELECT *, CASE WHEN copy IS NOT NULL THEN 'exact_duplicate'
+      WHEN best IS NOT NULL THEN 'near_duplicate' ELSE 'accepted' END AS decision
+    FROM (SELECT t.n, t.trace_id, kept, list_intersect(same, kept)[1] AS copy,
+        list_filter(near, lambda x: list_contains(kept[-500:], x.n))[1] AS best
+      FROM walk JOIN steps t ON t.n = walk.n + 1))),
+decided AS (SELECT w.n - 1 AS ordinal, w.trace_id, w.decision, w.best.i AS match_id,
+    w.best.s AS match_score, o.trace_id AS cluster_id
+  FROM walk w JOIN walk o ON o.n = w.owner WHERE w.n > 0)"""
+
+
+@query(
+    "src_02_ingest_report_near",
+    f"""WITH RECURSIVE {_LINES},
+src AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ordinal) AS n, ordinal AS trace_id, k, conv_id,
+    {_TOKENS.format('x')} AS p, []::VARCHAR[] AS r, {_TOKENS.format("'conv-' || conv_id")} AS q
+  FROM (SELECT ordinal, conv_id, {REDACT.format("text")} AS x,
+    lower(regexp_replace(concat_ws(' ', 'conv-' || conv_id,
+      CASE WHEN conv_id % 2 = 0 THEN 'openlab' END, text), '{WS}', ' ', 'g')) AS k
+    FROM l WHERE status = 'valid')),
+{_WALK.format(_PLAIN_TASK, 'a.conv_id = b.conv_id', 0.59)}
+SELECT count(*) FILTER (decision = 'accepted') AS accepted,
+  count(*) FILTER (decision <> 'accepted') AS duplicates,
+  (SELECT count(*) FROM l WHERE status = 'rejected') AS rejected,
+  (SELECT count(*) FROM l WHERE status = 'malformed') AS malformed FROM decided""",
+)
 def _(spark, sf_dir):
+    return logs.ingest_report(logs.ingest(trace_lines(spark, sf_dir), chunk_rows=1000)).drop("run_id")
+
+
+_DOC_WALK = f"""WITH RECURSIVE src AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id AS trace_id,
+    sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS k, {_TOKENS.format('text')} AS p,
+    []::VARCHAR[] AS r, {_TOKENS.format('text')} AS q FROM documents),
+{_WALK.format(_SAME_TASK, 'true', 0.75)}"""
+
+
+def decided_documents(spark, sf_dir, chunk_rows=300):
+    """Documents decided in order; chunks are small here, so that several meet at every scale."""
     rows = base.document_traces(spark, sf_dir).withColumn(
         "content_hash", hx.sha(F.lower(tx.squeeze("prompt"))))
     dense = with_row_index(rows.drop("ordinal"), "trace_id", name="ordinal")
-    return dedup.accept_in_order(dense, chunk_rows=2000).groupBy("decision").agg(
-        F.count(F.lit(1)).alias("rows"))
+    return dedup.accept_in_order(dense, chunk_rows=chunk_rows)
+
+
+@query("join_06_accept_in_order", f"{_DOC_WALK} SELECT * FROM decided")
+def _(spark, sf_dir):
+    return decided_documents(spark, sf_dir).select(
+        "ordinal", "trace_id", "decision", "match_id", "match_score", "cluster_id")
+
+
+@query(
+    "join_06_clusters",
+    f"""{_DOC_WALK} SELECT cluster_id AS canonical_trace_id,
+  count(*) FILTER (decision = 'exact_duplicate') AS exact_copies,
+  count(*) FILTER (decision = 'near_duplicate') AS near_copies, count(*) - 1 AS duplicate_count,
+  min(ordinal) AS first_seen, max(ordinal) AS last_seen FROM decided GROUP BY cluster_id""",
+)
+def _(spark, sf_dir):
+    return dedup.decided_clusters(decided_documents(spark, sf_dir)).drop("content_hash")
+
+
+@query(
+    "join_06_events",
+    f"""{_DOC_WALK} SELECT cluster_id AS canonical_trace_id, trace_id, ordinal, decision AS kind,
+  match_score FROM decided WHERE decision <> 'accepted'""",
+)
+def _(spark, sf_dir):
+    return dedup.decided_events(decided_documents(spark, sf_dir))
 
 
 _SPLITS = f"""sp AS (SELECT ordinal, split, txt,

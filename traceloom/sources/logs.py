@@ -57,7 +57,8 @@ def ingest(
     """Classified rows with their final status: accepted, duplicate, rejected or malformed.
 
     ``lines`` has ``value`` and a unique ``ordinal``; ``stored`` holds the traces accepted by
-    earlier runs. Accepted rows get their ordinal as trace id within the run.
+    earlier runs. Accepted rows get their ordinal as trace id within the run. ``decision`` and
+    ``cluster_id`` of the valid rows feed ``dedup.decided_clusters`` and ``dedup.decided_events``.
     """
     classified = durable(
         classify_lines(lines, privacy_mode).withColumn("run_id", F.lit(run_id).cast("long"))
@@ -65,16 +66,21 @@ def ingest(
     valid = classified.filter("status = 'valid'").withColumn("trace_id", F.col("ordinal"))
     if near_threshold is None:
         firsts = dedup.first_by_hash(valid)
+        owners = firsts.select("content_hash", F.col("trace_id").alias("cluster_id"))
         if stored is not None:
             firsts = dedup.drop_known(firsts, stored)
+            kept = stored.groupBy("content_hash").agg(F.min("trace_id").alias("cluster_id"))
+            owners = kept.unionByName(owners.join(kept, "content_hash", "left_anti"))
         decided = (
-            valid.select("ordinal")
+            valid.select("ordinal", "content_hash")
             .join(firsts.select("ordinal", F.lit("accepted").alias("decision")), "ordinal", "left")
+            .join(owners, "content_hash")
             .select(
                 "ordinal",
                 F.coalesce("decision", F.lit("exact_duplicate")).alias("decision"),
                 F.lit(None).cast("long").alias("match_id"),
                 F.lit(None).cast("double").alias("match_score"),
+                "cluster_id",
             )
         )
     else:
@@ -82,7 +88,7 @@ def ingest(
                                "__line", name="ordinal")
         decided = dedup.accept_in_order(
             dense, stored, threshold=near_threshold, chunk_rows=chunk_rows
-        ).select(F.col("trace_id").alias("ordinal"), "decision", "match_id", "match_score")
+        ).select(F.col("trace_id").alias("ordinal"), "decision", "match_id", "match_score", "cluster_id")
     status = F.when(F.col("decision") == "accepted", "accepted").when(
         F.col("decision").isNotNull(), "duplicate"
     ).otherwise(F.col("status"))
@@ -93,7 +99,7 @@ def ingest(
     ).when(F.col("decision") == "exact_duplicate", F.col("content_hash"))
     return classified.join(decided, "ordinal", "left").withColumns(
         {"status": status, "duplicate_mark": mark}
-    ).drop("decision")
+    )
 
 
 def ingest_report(rows: DataFrame) -> DataFrame:
