@@ -131,7 +131,7 @@ def library():
 @pytest.fixture(scope="module")
 def own():
     with open(RANKS, "rb") as file:
-        return bpe.Vocabulary(file.read(), PATTERN, bpe.stand_ins(PATTERN))
+        return bpe.Vocabulary(file.read(), PATTERN, bpe.stand_ins(PATTERN), bpe.cuts_apart(PATTERN))
 
 
 def ids_of(packed):
@@ -154,6 +154,15 @@ def test_codes_of_very_long_pieces(library, own):
         assert ids_of(own.encode(text)) == library.encode_ordinary(text)
 
 
+def test_codes_of_texts_with_all_kinds_of_white_space(library, own):
+    assert own.apart and not bpe.cuts_apart(r"\w+|\s") and not bpe.cuts_apart(r" ?\p{L}+ ?|\s+")
+    draw = random.Random(8)
+    bits = ["word", "it's", "x", "12", "a,b", "?!", " ", " ", " ", " ", "\n", "\t", "\u00a0", "\u3000", "é", "\x1c"]
+    for _ in range(4000):
+        text = "".join(draw.choices(bits, k=draw.randrange(1, 12)))
+        assert ids_of(own.encode(text)) == library.encode_ordinary(text)
+
+
 def plain_merge(piece, ranks):
     parts = [piece[k : k + 1] for k in range(len(piece))]
     while True:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import islice
@@ -23,8 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces kept encoded per worker and generation, of at most so many characters each.
-CACHED, CACHED_CHARS = 250_000, 32
+#: Pieces, and stretches between spaces, kept encoded per worker and generation, of so many characters
+#: at most each.
+PIECES, STRETCHES, KEPT_CHARS = 200_000, 100_000, 32
 _BLOCK = 50_000
 _ENCODED = "struct<n_tokens: bigint, ids: binary>"
 
@@ -143,20 +144,48 @@ def stand_ins(pattern: str) -> bytes:
 
 
 class Vocabulary:
-    """Ranks of byte strings, the pattern that cuts texts, and the pieces encoded lately."""
+    """Ranks of byte strings, the pattern that cuts texts, and what was encoded lately.
 
-    def __init__(self, lines: bytes, pattern: str, stand: bytes = b""):
+    ``apart`` says that the pattern never cuts otherwise behind a space between two visible characters
+    than at the beginning of a text, so the stretches between spaces can be encoded, and kept, each on
+    its own; texts with other white space around a space are cut as a whole.
+    """
+
+    def __init__(self, lines: bytes, pattern: str, stand: bytes = b"", apart: bool = False):
         self.ranks = Ranks({
             base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines()) if token
         })
-        self.bytes = {rank: token for token, rank in self.ranks.of.items()}
+        top = max(self.ranks.of.values(), default=-1) + 1
+        spelt = {rank: token for token, rank in self.ranks.of.items()}
+        self.letters = np.frombuffer(b"".join(spelt.get(k, b"") for k in range(top)), dtype=np.uint8)
+        self.lengths = np.array([len(spelt.get(k, b"")) for k in range(top)], dtype=np.int64)
+        self.starts = np.r_[0, np.cumsum(self.lengths)][:-1]
         self.pattern = regex.compile(pattern)
         self.stand = dict(np.frombuffer(stand, dtype=np.uint32).reshape(-1, 2).tolist())
         self.odd = _any_of(list(self.stand))
-        self.known = _Known(self.ranks)
+        self.apart = apart
+        self.known = _Kept(PIECES, self._piece)
+        self.stretches = _Kept(STRETCHES, self._stretch)
+
+    def _piece(self, piece: str) -> bytes:
+        found = merge(piece.encode(), self.ranks)
+        return pack(f"<{len(found)}I", *found)
+
+    def _stretch(self, text: str) -> bytes:
+        if not text or text[0].isspace() or text[-1].isspace():
+            raise _Spaced
+        return b"".join(map(self.known.__getitem__, self.pieces(" " + text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; pieces of long texts are held in blocks."""
+        if self.apart and len(text) <= _BLOCK:
+            first, *rest = text.split(" ")
+            if first and not first[-1].isspace():
+                try:
+                    begun = b"".join(map(self.known.__getitem__, self.pieces(first)))
+                    return begun + b"".join(map(self.stretches.__getitem__, rest))
+                except _Spaced:
+                    pass
         pieces = self.pieces(text)
         if isinstance(pieces, list):
             return b"".join(map(self.known.__getitem__, pieces))
@@ -175,13 +204,26 @@ class Vocabulary:
         return self.pattern.findall(text)
 
     def decode(self, ids: bytes) -> bytes:
+        """The bytes of all ids in turn, copied together in blocks."""
         out = bytearray()
         for at in range(0, len(ids), 4 * _BLOCK):
-            some = np.frombuffer(ids[at : at + 4 * _BLOCK], dtype="<u4").tolist()
-            out += b"".join(map(self.bytes.__getitem__, some))
+            some = np.frombuffer(ids[at : at + 4 * _BLOCK], dtype="<u4")
+            lengths = self.lengths[some]
+            if not lengths.all():
+                raise KeyError("an id that the vocabulary lacks")
+            ends = np.cumsum(lengths)
+            place = np.repeat(self.starts[some] - ends + lengths, lengths) + np.arange(ends[-1])
+            out += self.letters[place].tobytes()
         return bytes(out)
 
 
+def cuts_apart(pattern: str) -> bool:
+    """Whether every alternative of a pattern takes a space only as its first character, or is one of
+    the two for white space. Told from the pattern's text; a pattern of another shape counts as not."""
+    simple = r"'\w+| \?(?:\\p\{\w+\}|\[\^\\s(?:\\p\{\w+\})*\])\+|\\s\+\(\?!\\S\)|\\s\+"
+    return all(regex.fullmatch(simple, part) for part in pattern.split("|"))
+
+
 def _any_of(points: list[int]) -> re.Pattern | None:
     """A pattern that finds any of the code points, written as runs."""
     if not points:
@@ -192,32 +234,35 @@ def _any_of(points: list[int]) -> re.Pattern | None:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]")
 
 
-class _Known(dict):
-    """Encoded short pieces in two generations of fixed size: the older one goes when this one is full,
-    and pieces that are met again come over from it, so frequent ones stay."""
+class _Kept(dict):
+    """Encoded short texts in two generations of fixed size: the older one goes when this one is full,
+    and texts that are met again come over from it, so frequent ones stay."""
 
-    def __init__(self, ranks: Ranks):
+    def __init__(self, most: int, make: Callable[[str], bytes]):
         super().__init__()
-        self.ranks = ranks
+        self.most, self.make = most, make
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
         if ids is None:
-            found = merge(piece.encode(), self.ranks)
-            ids = pack(f"<{len(found)}I", *found)
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED:
+            ids = self.make(text)
+        if len(text) <= KEPT_CHARS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[text] = ids
         return ids
 
 
+class _Spaced(Exception):
+    """A stretch begins or ends with white space, or is empty."""
+
+
 @lru_cache(maxsize=2)
 def vocabulary(lines: bytes, pattern: str, stand: bytes) -> Vocabulary:
     """Parsed once per worker."""
-    return Vocabulary(lines, pattern, stand)
+    return Vocabulary(lines, pattern, stand, cuts_apart(pattern))
 
 
 def _shared(spark, path: str, pattern: str):
