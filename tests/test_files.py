@@ -152,6 +152,22 @@ def test_live_mean_kl_is_the_batch_rule(spark, tmp_path):
     assert got[0] == ("a", 24, "mean KL exceeded 0.5 over 25 updates") and len(got) == 16
 
 
+def test_updates_that_come_late_are_judged_in_order(spark, tmp_path):
+    from traceloom.operators import health
+
+    log = spark.createDataFrame(
+        [(job, i, 0.9 if i % 7 < 4 else 0.1, float(i % 3 > 0), 0.8, 0.0) for job in "ab" for i in range(60)],
+        "job_id string, update long, kl_divergence double, zero_variance_group double, "
+        "completion_diversity double, hard_limit_fraction double").orderBy(F.xxhash64("job_id", "update"))
+    for part in log.randomSplit([1.0] * 5, 3):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log.limit(30).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))  # some come twice
+    arrivals = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    got = jobs.drained(jobs.health_stream(arrivals), str(tmp_path / "out"))
+    want = health.health_abort(log, None).filter("abort_reason is not null").select("job_id", "update", "abort_reason")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+
+
 def test_redaction_edges(spark):
     texts = ["mail a.b@c.org", "Authorization: Bearer abcdefghijklmnop", "api_key='s3cret'", "x" * 40, "sk-" + "a" * 14]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

@@ -6,13 +6,14 @@ from the same rows; the operators themselves are written separately for each.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom import vocab
-from traceloom.session import spread, with_position
+from traceloom.session import ensure_checkpoint_dir, spread, with_position
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -238,6 +239,12 @@ _H = {
 }
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for a query that writes what it reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def health_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as training updates of one job per user."""
     rows = _select(table(spark, sf_dir, "events"), _H)

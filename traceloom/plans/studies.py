@@ -12,6 +12,7 @@ from traceloom.operators import judging as jd
 from traceloom.operators import stats as st
 from traceloom.plans import base
 from traceloom.plans.base import query, table, with_sql
+from traceloom.streaming import jobs
 
 # ---------------------------------------------------------------- calibration
 
@@ -197,6 +198,31 @@ def _(spark, sf_dir):
         F.count(F.lit(1)).alias("updates"), F.count_distinct("job_id").alias("jobs"))
 
 
+@query(
+    "str_02_live_health",
+    with_sql("""SELECT * FROM (SELECT job_id, update, CASE
+  WHEN update + 1 >= 3 AND min(kl_divergence) OVER w3 > 0.5 THEN 'KL exceeded 0.5 for 3 consecutive updates'
+  WHEN update + 1 >= 20 AND avg(zero_variance_group) OVER w20 > 0.3 THEN 'sustained zero-variance rollout groups'
+  WHEN update + 1 >= 10 AND avg(completion_diversity) OVER w10 < 0.2
+    THEN 'sustained completion-diversity collapse'
+  WHEN update + 1 >= 5 AND avg(hard_limit_fraction) OVER w5 > 0.8
+    THEN 'completion length repeatedly reached the hard limit' END AS abort_reason FROM h
+WINDOW w3 AS (PARTITION BY job_id ORDER BY update ROWS 2 PRECEDING),
+  w20 AS (PARTITION BY job_id ORDER BY update ROWS 19 PRECEDING),
+  w10 AS (PARTITION BY job_id ORDER BY update ROWS 9 PRECEDING),
+  w5 AS (PARTITION BY job_id ORDER BY update ROWS 4 PRECEDING))
+WHERE abort_reason IS NOT NULL""", "h"),
+)
+def _(spark, sf_dir):
+    """Updates land in files by a hash, so most of them come before or after their neighbours."""
+    limits = {"zero_variance_abort_threshold": 0.3, "hard_limit_fraction_threshold": 0.8}
+    log = base.health_log(spark, sf_dir).select("job_id", "update", *jobs.HEALTH_COLUMNS)
+    folder = base.scratch(spark, "live-health")
+    log.repartition(4, F.xxhash64("job_id", "update")).write.parquet(f"{folder}/arrivals")
+    arrivals = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrivals")
+    return jobs.drained(jobs.health_stream(arrivals, limits), folder)
+
+
 @query(
     "win_06_reward_gap",
     with_sql("""SELECT job_id, update FROM (SELECT *, avg(mean_task_reward) OVER (PARTITION BY job_id

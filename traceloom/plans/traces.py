@@ -13,6 +13,7 @@ from traceloom.plans import base
 from traceloom.plans.base import WS, query, table, with_sql
 from traceloom.session import with_row_index
 from traceloom.sources import documents, logs, registry
+from traceloom.streaming import jobs
 
 # ---------------------------------------------------------------- scans
 
@@ -92,6 +93,39 @@ def _(spark, sf_dir):
     return logs.ingest_report(rows).drop("run_id")
 
 
+def streamed_lines(spark, sf_dir, files=3):
+    """The lines of ``trace_lines`` as text files that hold them in order, and a folder for results."""
+    folder = base.scratch(spark, "ingest")
+    lines = trace_lines(spark, sf_dir)
+    bounds = lines.agg(F.min("ordinal"), F.max("ordinal")).first()
+    if bounds[0] is not None:
+        step = (bounds[1] - bounds[0]) // files + 1
+        for k in range(files):
+            low = bounds[0] + k * step
+            part = lines.filter(F.col("ordinal").between(low, low + step - 1)).coalesce(1)
+            part.sortWithinPartitions("ordinal").select("value").write.mode("append").text(f"{folder}/in")
+    return folder
+
+
+@query(
+    "str_01_incremental_ingest",
+    f"""WITH {_LINES},
+v AS (SELECT row_number() OVER (PARTITION BY k ORDER BY ordinal) AS r FROM (
+  SELECT ordinal, lower(regexp_replace(concat_ws(' ', 'conv-' || conv_id,
+    CASE WHEN conv_id % 2 = 0 THEN 'openlab' END, text), '{WS}', ' ', 'g')) AS k
+  FROM l WHERE status = 'valid'))
+SELECT status, count(*) AS rows FROM (SELECT status FROM l WHERE status <> 'valid'
+  UNION ALL SELECT CASE WHEN r = 1 THEN 'accepted' ELSE 'duplicate' END FROM v) GROUP BY status""",
+)
+def _(spark, sf_dir):
+    folder = streamed_lines(spark, sf_dir)
+    jobs.ingest_stream(
+        spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", near_threshold=None,
+        files_per_batch=1,
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def run_documents(spark, sf_dir, array):
     """Conversations as run documents with one array of traces each."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(

@@ -49,6 +49,7 @@ def ingest(
     lines: DataFrame,
     stored: DataFrame | None = None,
     *,
+    known: DataFrame | None = None,
     run_id: int = 1,
     privacy_mode: str = vocab.DEFAULT_PRIVACY_MODE,
     near_threshold: float | None = dedup.THRESHOLD,
@@ -57,7 +58,8 @@ def ingest(
     """Classified rows with their final status: accepted, duplicate, rejected or malformed.
 
     ``lines`` has ``value`` and a unique ``ordinal``; ``stored`` holds the traces accepted by
-    earlier runs. Accepted rows get their ordinal as trace id within the run. ``decision`` and
+    earlier runs; with their (content_hash, trace_id) in ``known``, its newest rows are enough. Accepted
+    rows get their ordinal as trace id within the run. ``decision`` and
     ``cluster_id`` of the valid rows feed ``dedup.decided_clusters`` and ``dedup.decided_events``.
     """
     classified = durable(
@@ -68,8 +70,9 @@ def ingest(
         firsts = dedup.first_by_hash(valid)
         owners = firsts.select("content_hash", F.col("trace_id").alias("cluster_id"))
         if stored is not None:
-            firsts = dedup.drop_known(firsts, stored)
-            kept = stored.groupBy("content_hash").agg(F.min("trace_id").alias("cluster_id"))
+            earlier = stored if known is None else known
+            firsts = dedup.drop_known(firsts, earlier)
+            kept = earlier.groupBy("content_hash").agg(F.min("trace_id").alias("cluster_id"))
             owners = kept.unionByName(owners.join(kept, "content_hash", "left_anti"))
         decided = (
             valid.select("ordinal", "content_hash")
@@ -87,7 +90,7 @@ def ingest(
         dense = with_row_index(valid.withColumn("__line", F.col("ordinal")).drop("ordinal"),
                                "__line", name="ordinal")
         decided = dedup.accept_in_order(
-            dense, stored, threshold=near_threshold, chunk_rows=chunk_rows
+            dense, stored, known=known, threshold=near_threshold, chunk_rows=chunk_rows
         ).select(F.col("trace_id").alias("ordinal"), "decision", "match_id", "match_score", "cluster_id")
     status = F.when(F.col("decision") == "accepted", "accepted").when(
         F.col("decision").isNotNull(), "duplicate"

@@ -12,22 +12,28 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from traceloom import vocab
 from traceloom.functions import numeric as nx
+from traceloom.operators.dedup import COMPARE_WINDOW
 from traceloom.operators.health import HEALTH_DEFAULTS
 from traceloom.session import with_row_index
 from traceloom.sources.logs import ingest
 
+_KNOWN = "content_hash string, trace_id long, batch long"
 STORED = ("trace_id", "ordinal", "task_id", "objective", "prompt", "response", "content_hash")
 
 
 def ingest_stream(
     spark: SparkSession, source: str, table: str, checkpoint: str, *,
     privacy_mode: str = vocab.DEFAULT_PRIVACY_MODE, near_threshold: float | None = 0.82,
-    chunk_rows: int = 20_000, files_per_batch: int = 1000,
+    chunk_rows: int = 20_000, files_per_batch: int = 1000, window: int = COMPARE_WINDOW,
 ) -> StreamingQuery:
     """Ingest new log files as they land, each batch against everything accepted before.
 
-    Every micro-batch runs the batch plan. Its rows go to a folder of its own, named by batch
-    id and overwritten on a retry, so a batch that ran twice leaves one copy.
+    Every micro-batch runs the batch plan against two states beside the table. The tail is the newest
+    ``window`` accepted rows with their texts: a batch reads the one before it and writes its own. The
+    hash table has one (content_hash, trace_id) per accepted row; a batch
+    reads these two narrow columns and adds its own rows, and never the history's texts. Table, tail
+    and hashes of a batch go to folders named by its id, which a retry overwrites, and a batch reads
+    only folders of smaller ids, so a batch that ran twice leaves one copy.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -36,19 +42,29 @@ def ingest_stream(
             batch.withColumn("__at", F.monotonically_increasing_id()), "file", "start", "__at",
             name="ordinal",
         ).withColumn("ordinal", F.col("ordinal") + F.lit(base))
-        earlier = None
+        tail = known = None
         if batch_id > 0:
-            kept = session.read.option("basePath", table).parquet(f"{table}/batch=*")
-            earlier = kept.filter(
-                (F.col("status") == "accepted") & (F.col("batch") < batch_id)
-            ).select(*STORED)
+            tail = session.read.parquet(f"{table}_tail/batch={batch_id - 1}")
+            known = session.read.schema(_KNOWN).option("basePath", f"{table}_hashes").parquet(
+                f"{table}_hashes"
+            ).filter(F.col("batch") < batch_id).select("content_hash", "trace_id")
         rows = ingest(
-            ordered.select("value", "ordinal"), earlier, run_id=batch_id,
+            ordered.select("value", "ordinal"), tail, known=known, run_id=batch_id,
             privacy_mode=privacy_mode, near_threshold=near_threshold, chunk_rows=chunk_rows,
         )
         rows.withColumn("trace_id", F.col("ordinal")).write.mode("overwrite").parquet(
             f"{table}/batch={batch_id}"
         )
+        accepted = session.read.parquet(f"{table}/batch={batch_id}").filter("status = 'accepted'")
+        newest = accepted.select(*STORED)
+        if tail is not None:
+            newest = newest.unionByName(tail)
+        newest.orderBy(F.col("ordinal").desc()).limit(window).write.mode("overwrite").parquet(
+            f"{table}_tail/batch={batch_id}"
+        )
+        accepted.select("content_hash", "trace_id").repartition(
+            session.sparkContext.defaultParallelism, "content_hash"
+        ).write.mode("overwrite").parquet(f"{table}_hashes/batch={batch_id}")
 
     lines = (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(source)
@@ -66,6 +82,8 @@ def distinct_lines(lines: DataFrame, time: str, lateness: str) -> DataFrame:
     return lines.withWatermark(time, lateness).dropDuplicatesWithinWatermark(["content_hash"])
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HEALTH_COLUMNS = (
     "kl_divergence", "zero_variance_group", "completion_diversity", "hard_limit_fraction"
 )
@@ -79,10 +97,17 @@ ABORT_SCHEMA = T.StructType(
 
 
 class HealthProcessor(StatefulProcessor):
-    """Keeps the last rows of each job and reports the first broken rule of every update."""
+    """Keeps the last rows of each job and reports the first broken rule of every update.
+
+    Updates are judged in their own order, whatever the order they come in: one that comes before its
+    predecessor waits for it. At most ``waiting`` updates of a job wait; beyond that the missing ones
+    count as lost and the next that came is judged as if it followed. An update that comes twice, or
+    after it was given up, is not judged again.
+    """
 
-    def __init__(self, limits: dict | None = None) -> None:
+    def __init__(self, limits: dict | None = None, waiting: int = 10_000) -> None:
         self.limits = {**HEALTH_DEFAULTS, **(limits or {})}
+        self.waiting = waiting
         self.mean_kl = self.limits.get("kl_abort_window")
         self.kl_rows = int(self.mean_kl or self.limits["kl_abort_consecutive"])
         self.depth = max(
@@ -96,17 +121,29 @@ class HealthProcessor(StatefulProcessor):
              *[T.StructField(name, T.DoubleType()) for name in HEALTH_COLUMNS]]
         )
         self.recent = handle.getListState("recent", row)
+        self.early = handle.getListState("early", row)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ring = [tuple(item) for item in self.recent.get()]
-        fresh = pd.concat(list(rows)).sort_values("update")
+        early = {item[0]: tuple(item) for item in self.early.get()}
+        due = ring[-1][0] + 1 if ring else 0
+        for values in pd.concat(list(rows))[["update", *HEALTH_COLUMNS]].itertuples(index=False, name=None):
+            if values[0] >= due:
+                early.setdefault(int(values[0]), (int(values[0]), *map(float, values[1:])))
         found = []
-        for values in fresh[["update", *HEALTH_COLUMNS]].itertuples(index=False, name=None):
-            ring = [*ring, (int(values[0]), *map(float, values[1:]))][-self.depth:]
+        for update in sorted(early):
+            if update > due and len(early) <= self.waiting:
+                break
+            ring = [*ring, early.pop(update)][-self.depth:]
+            due = update + 1
             reason = self._reason(ring)
             if reason is not None:
-                found.append((key[0], int(values[0]), reason))
-        self.recent.put(ring)
+                found.append((key[0], update, reason))
+        for state, held in ((self.recent, ring), (self.early, list(early.values()))):
+            if held:
+                state.put(held)
+            else:
+                state.clear()
         yield pd.DataFrame(found, columns=["job_id", "update", "abort_reason"])
 
     def _reason(self, ring: list) -> str | None:
@@ -136,9 +173,10 @@ class HealthProcessor(StatefulProcessor):
 
 
 def health_stream(log: DataFrame, limits: dict | None = None) -> DataFrame:
-    """Abort reasons as they appear; state is one short ring of rows per job.
+    """Abort reasons as they appear; ``update`` is the dense position in the job, in any order of
+    arrival. State is one short ring of rows per job and the updates that wait for one before them.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``), see :func:`drained`.
     """
     return log.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=HealthProcessor(limits), outputStructType=ABORT_SCHEMA,
@@ -146,6 +184,36 @@ def health_stream(log: DataFrame, limits: dict | None = None) -> DataFrame:
     )
 
 
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream yields until its source is read to the end, as a table under ``folder``.
+
+    Every micro-batch writes a folder of its own number, so one that runs again replaces what it wrote.
+    State is kept by RocksDB. In ``complete`` mode the last micro-batch holds the whole result.
+    """
+    session = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    before = session.conf.get(_PROVIDER)
+    session.conf.set(_PROVIDER, _ROCKS)
+    try:
+        query = (
+            stream.writeStream.foreachBatch(keep).outputMode(mode)
+            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        session.conf.set(_PROVIDER, before)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    rows = session.read.schema(f"{fields}, batch long").option("basePath", f"{folder}/rows").parquet(
+        f"{folder}/rows"
+    )
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
+
+
 def conformance_stream(events: DataFrame, window: str = "5 minutes",
                        lateness: str = "10 minutes") -> DataFrame:
     """Adherence rates per time window and workflow over a stream of events."""
