@@ -56,3 +56,27 @@ def test_budget_skips_what_does_not_fit(spark):
     budgets = spark.createDataFrame([("c", 100)], "candidate_id string, parameter_budget int")
     row = health.select_entries(rows, budgets, 0.9).first()
     assert row["selected"] == ["a", "d", "r"] and row["used_parameters"] == 100
+
+
+def test_selection_of_a_long_list_carries_what_is_used(spark):
+
+    count = 200_000
+    rows = spark.range(count).select(
+        F.lit("c").alias("candidate_id"), F.format_string("e%06d", "id").alias("entry_key"),
+        ((F.col("id") * 7919) % 1_000_003).cast("double").alias("cost_adjusted_score"),
+        (F.col("id") % 97 + 1).alias("parameter_count"), (F.col("id") % 50_000 == 0).alias("required"),
+        (F.col("id") % 3 == 0).alias("current"))
+    budgets = spark.createDataFrame([("c", 60_000)], "candidate_id string, parameter_budget long")
+    got = {r.entry_key for r in health.selected_entries(rows, budgets, 0.9, block=60_000).collect()}
+    used, want, rest = 0, set(), []
+    for k in range(count):
+        if k % 50_000 == 0:
+            used += k % 97 + 1
+            want.add(f"e{k:06d}")
+        else:
+            rest.append((-(k * 7919 % 1_000_003) / (0.9 if k % 3 == 0 else 1.0), f"e{k:06d}", k % 97 + 1))
+    for _, key, size in sorted(rest):
+        if used + size <= 60_000:
+            used += size
+            want.add(key)
+    assert got == want

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import numeric as nx
 from traceloom.functions import text as tx
 from traceloom.operators.normalize import literal_map
+from traceloom.session import durable, with_position
 
 # Windows and limits of the health rules.
 HEALTH_DEFAULTS = {
@@ -305,6 +308,55 @@ def select_entries(scored: DataFrame, budgets: DataFrame, hysteresis: float) ->
     )
 
 
+def selected_entries(
+    scored: DataFrame, budgets: DataFrame, hysteresis: float, block: int = 50_000
+) -> DataFrame:
+    """The rows of the entries each candidate keeps, by the rule of :func:`select_entries`.
+
+    A candidate may have any number of entries: its sorted list is cut into blocks of positions, the
+    first blocks of all candidates are folded side by side, and what each has used is carried into its
+    next one. There are as many rounds as blocks in the longest list. Equal scores go by entry key.
+    """
+    score = F.when(F.col("current"), F.col("cost_adjusted_score") / hysteresis).otherwise(
+        F.col("cost_adjusted_score")
+    )
+    rows = scored.join(budgets, "candidate_id")
+    required = rows.filter("required")
+    optional = with_position(
+        rows.filter("NOT required").withColumn("__s", -score), ["candidate_id"], "__s", "entry_key",
+        "parameter_count", name="__n",
+    )
+    optional = durable(optional.withColumn("__b", F.floor(F.col("__n") / block)))
+    state = durable(rows.groupBy("candidate_id").agg(
+        F.first("parameter_budget").alias("budget"),
+        F.sum(F.when(F.col("required"), F.col("parameter_count")).otherwise(0)).cast("long").alias("used"),
+    ))
+    taken = []
+    for turn in range((optional.agg(F.max("__b")).first()[0] or 0) + 1):
+        packed = optional.filter(F.col("__b") == turn).groupBy("candidate_id").agg(
+            F.array_sort(F.collect_list(F.struct("__n", "parameter_count"))).alias("block")
+        )
+        fold = F.aggregate(
+            "block",
+            F.struct(F.col("used"), F.array().cast("array<bigint>").alias("kept")),
+            lambda acc, e: F.when(
+                acc["used"] + e["parameter_count"] <= F.col("budget"),
+                F.struct(
+                    (acc["used"] + e["parameter_count"]).cast("long").alias("used"),
+                    F.concat(acc["kept"], F.array(e["__n"])).alias("kept"),
+                ),
+            ).otherwise(acc),
+        )
+        done = durable(state.join(packed, "candidate_id").select("candidate_id", "budget", fold.alias("f")))
+        taken.append(done.select("candidate_id", F.explode("f.kept").alias("__n")))
+        moved = done.select("candidate_id", F.col("f.used").alias("__used"))
+        state = state.join(moved, "candidate_id", "left").select(
+            "candidate_id", "budget", F.coalesce("__used", "used").alias("used")
+        )
+    chosen = optional.join(reduce(DataFrame.unionByName, taken), ["candidate_id", "__n"], "left_semi")
+    return chosen.select(required.columns).unionByName(required)
+
+
 def protected_entries(norms: DataFrame, count: int) -> DataFrame:
     """Entries most specific to the protected task: by share of norm, then by norm."""
     share = F.col("protected_norm") / F.greatest(

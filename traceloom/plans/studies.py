@@ -319,7 +319,30 @@ def _(spark, sf_dir):
                       "profile")
 
 
-@query("win_09_select_entries")
+# Greedy selection as recursion: one entry per step and candidate, in the order of scores.
+_GREEDY = """sc AS MATERIALIZED (SELECT p_brand AS b, p_partkey % 40 = 0 AS required, p_partkey % 50 + 1 AS cnt,
+    'layer-' || (p_size - 1) || ':family-' || p_partkey AS entry_key,
+    p_retailprice * (p_partkey % 13) / sqrt(p_partkey % 50 + 1)
+      / (0.5::DOUBLE + 0.5::DOUBLE * (60 - (p_size - 1)) / 60::DOUBLE)
+      / CASE WHEN p_partkey % 3 = 0 THEN 0.9::DOUBLE ELSE 1::DOUBLE END AS s FROM part),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY b ORDER BY s DESC, entry_key) AS n
+  FROM sc WHERE NOT required),
+begun AS (SELECT b, sum(CASE WHEN required THEN cnt ELSE 0 END)::BIGINT AS used FROM sc GROUP BY b),
+walk AS (
+  SELECT b, 0::BIGINT AS n, used, NULL::VARCHAR AS taken FROM begun
+  UNION ALL
+  SELECT o.b, o.n, CASE WHEN used + cnt <= 600 THEN used + cnt ELSE used END,
+    CASE WHEN used + cnt <= 600 THEN entry_key END
+  FROM walk w JOIN ordered o ON o.b = w.b AND o.n = w.n + 1)"""
+
+
+@query(
+    "win_09_select_entries",
+    f"""WITH RECURSIVE {_GREEDY} SELECT b AS candidate_id,
+  (count(taken) + (SELECT count(*) FROM sc WHERE sc.b = walk.b AND required))::INT AS selected,
+  max(used) AS used_parameters,
+  (SELECT used > 600 FROM begun WHERE begun.b = walk.b) AS required_exceed_budget FROM walk GROUP BY b""",
+)
 def _(spark, sf_dir):
     scored = hl.entry_scores(entries(spark, sf_dir), 60)
     budgets = scored.select("candidate_id").distinct().withColumn("parameter_budget", F.lit(600))
@@ -328,6 +351,17 @@ def _(spark, sf_dir):
                       "required_exceed_budget")
 
 
+@query(
+    "win_09_selected_rows",
+    f"""WITH RECURSIVE {_GREEDY} SELECT b AS candidate_id, taken AS entry_key FROM walk WHERE taken IS NOT NULL
+UNION ALL SELECT b, entry_key FROM sc WHERE required""",
+)
+def _(spark, sf_dir):
+    scored = hl.entry_scores(entries(spark, sf_dir), 60)
+    budgets = scored.select("candidate_id").distinct().withColumn("parameter_budget", F.lit(600))
+    return hl.selected_entries(scored, budgets, 0.9, block=25).select("candidate_id", "entry_key")
+
+
 @query(
     "top_05_protected_entries",
     f"""WITH {_ENT} SELECT entry_key FROM (SELECT *, norm / greatest(1e-12, norm + cnt * 100) AS sh FROM en)
