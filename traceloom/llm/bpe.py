@@ -23,9 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces, and stretches between spaces, kept encoded per worker and generation, of so many characters
-#: at most each.
-PIECES, STRETCHES, KEPT_CHARS = 200_000, 100_000, 32
+#: Pieces kept encoded per worker and generation, of at most so many characters each.
+KEPT, KEPT_CHARS = 300_000, 32
 _BLOCK = 50_000
 _ENCODED = "struct<n_tokens: bigint, ids: binary>"
 
@@ -40,8 +39,10 @@ class Ranks:
     def __init__(self, of: dict[bytes, int]):
         self.of = of
         self.longest = max(map(len, of), default=0)
-        self.width = isqrt(max(of.values(), default=0)) + 1
-        self.words = [0] * self.width
+        most = max(of.values(), default=0)
+        width = isqrt(most) + 1
+        self.words = [0] * width
+        self.places = [(rank // width, 1 << rank % width, 1 << rank // width) for rank in range(most + 1)]
 
 
 def merge(piece: bytes, ranks: Ranks) -> list[int]:
@@ -52,7 +53,8 @@ def merge(piece: bytes, ranks: Ranks) -> list[int]:
     position begins no part any more or the pair there has another rank by now. Calls are written out:
     a piece costs some microseconds, and a corpus has as many pieces as distinct words.
     """
-    of, longest, words, width = ranks.of, ranks.longest, ranks.words, ranks.width
+    of, longest, words, places = ranks.of, ranks.longest, ranks.words, ranks.places
+    width = len(words)
     find = of.get
     whole = find(piece)
     if whole is not None:
@@ -68,9 +70,9 @@ def merge(piece: bytes, ranks: Ranks) -> list[int]:
             bucket = buckets.get(rank)
             if bucket is None:
                 buckets[rank] = [at]
-                word = rank // width
-                words[word] |= 1 << rank % width
-                top |= 1 << word
+                word, bit, mark = places[rank]
+                words[word] |= bit
+                top |= mark
             else:
                 bucket.append(at)  # positions rise, so this is a heap
     while top:
@@ -93,23 +95,29 @@ def merge(piece: bytes, ranks: Ranks) -> list[int]:
         middle = after[at] = after[gone]
         before[middle] = at
         pair[gone] = pair[at] = None
+        if middle < end and (stop := after[middle]) - at <= longest:
+            pair[at] = rank = find(piece[at:stop])
+            if rank is not None:
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [at]
+                    word, bit, mark = places[rank]
+                    words[word] |= bit
+                    top |= mark
+                else:
+                    heappush(bucket, at)
         left = before[at]
-        for start, stop in ((at, after[middle] if middle < end else 0), (left, middle)):
-            if start < 0 or not 0 < stop - start <= longest:
-                if start >= 0:
-                    pair[start] = None
-                continue
-            pair[start] = rank = find(piece[start:stop])
-            if rank is None:
-                continue
-            bucket = buckets.get(rank)
-            if bucket is None:
-                buckets[rank] = [start]
-                word = rank // width
-                words[word] |= 1 << rank % width
-                top |= 1 << word
-            else:
-                heappush(bucket, start)
+        if left >= 0:
+            pair[left] = rank = find(piece[left:middle]) if middle - left <= longest else None
+            if rank is not None:
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [left]
+                    word, bit, mark = places[rank]
+                    words[word] |= bit
+                    top |= mark
+                else:
+                    heappush(bucket, left)
     out, at = [], 0
     while at < end:
         out.append(of[piece[at : after[at]]])
@@ -144,14 +152,9 @@ def stand_ins(pattern: str) -> bytes:
 
 
 class Vocabulary:
-    """Ranks of byte strings, the pattern that cuts texts, and what was encoded lately.
-
-    ``apart`` says that the pattern never cuts otherwise behind a space between two visible characters
-    than at the beginning of a text, so the stretches between spaces can be encoded, and kept, each on
-    its own; texts with other white space around a space are cut as a whole.
-    """
+    """Ranks of byte strings, the pattern that cuts texts, and the pieces encoded lately."""
 
-    def __init__(self, lines: bytes, pattern: str, stand: bytes = b"", apart: bool = False):
+    def __init__(self, lines: bytes, pattern: str, stand: bytes = b""):
         self.ranks = Ranks({
             base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines()) if token
         })
@@ -163,29 +166,14 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.stand = dict(np.frombuffer(stand, dtype=np.uint32).reshape(-1, 2).tolist())
         self.odd = _any_of(list(self.stand))
-        self.apart = apart
-        self.known = _Kept(PIECES, self._piece)
-        self.stretches = _Kept(STRETCHES, self._stretch)
+        self.known = _Kept(KEPT, self._piece)
 
     def _piece(self, piece: str) -> bytes:
         found = merge(piece.encode(), self.ranks)
         return pack(f"<{len(found)}I", *found)
 
-    def _stretch(self, text: str) -> bytes:
-        if not text or text[0].isspace() or text[-1].isspace():
-            raise _Spaced
-        return b"".join(map(self.known.__getitem__, self.pieces(" " + text)))
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; pieces of long texts are held in blocks."""
-        if self.apart and len(text) <= _BLOCK:
-            first, *rest = text.split(" ")
-            if first and not first[-1].isspace():
-                try:
-                    begun = b"".join(map(self.known.__getitem__, self.pieces(first)))
-                    return begun + b"".join(map(self.stretches.__getitem__, rest))
-                except _Spaced:
-                    pass
         pieces = self.pieces(text)
         if isinstance(pieces, list):
             return b"".join(map(self.known.__getitem__, pieces))
@@ -196,7 +184,7 @@ class Vocabulary:
 
     def pieces(self, text: str) -> list[str] | Iterator[str]:
         """The text's pieces; its odd code points are judged by their stand-ins."""
-        if self.odd is not None and not text.isascii() and self.odd.search(text):
+        if self.odd is not None and not _latin(text) and self.odd.search(text):
             spans = self.pattern.finditer(text.translate(self.stand))
             return (text[m.start() : m.end()] for m in spans)
         if len(text) > _BLOCK:
@@ -217,11 +205,13 @@ class Vocabulary:
         return bytes(out)
 
 
-def cuts_apart(pattern: str) -> bool:
-    """Whether every alternative of a pattern takes a space only as its first character, or is one of
-    the two for white space. Told from the pattern's text; a pattern of another shape counts as not."""
-    simple = r"'\w+| \?(?:\\p\{\w+\}|\[\^\\s(?:\\p\{\w+\})*\])\+|\\s\+\(\?!\\S\)|\\s\+"
-    return all(regex.fullmatch(simple, part) for part in pattern.split("|"))
+def _latin(text: str) -> bool:
+    """Whether all code points are below 256, where libraries agree; told by a copy, faster than a search."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def _any_of(points: list[int]) -> re.Pattern | None:
@@ -255,14 +245,10 @@ class _Kept(dict):
         return ids
 
 
-class _Spaced(Exception):
-    """A stretch begins or ends with white space, or is empty."""
-
-
 @lru_cache(maxsize=2)
 def vocabulary(lines: bytes, pattern: str, stand: bytes) -> Vocabulary:
     """Parsed once per worker."""
-    return Vocabulary(lines, pattern, stand, cuts_apart(pattern))
+    return Vocabulary(lines, pattern, stand)
 
 
 def _shared(spark, path: str, pattern: str):
