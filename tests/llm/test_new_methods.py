@@ -52,8 +52,7 @@ def test_residues_of_matrices_with_zero_pivots():
 
 
 def test_repeated_and_zero_roots():
-    poly = [0, 0, -36, 60, -37, 10, -1][::-1] and np.polynomial.polynomial.polyfromroots([0, 0, 2, 2, 3, 4])
-    poly = [round(c) for c in poly]
+    poly = [round(c) for c in np.polynomial.polynomial.polyfromroots([0, 0, 2, 2, 3, 4])]
     found = [charpoly.isolate(poly, place, 20) for place in range(1, 7)]
     assert [(round(float(root), 9), first, last) for root, first, last in found[:4]] == [
         (4, 1, 1), (3, 2, 2), (2, 3, 4), (2, 3, 4)]
