@@ -7,14 +7,12 @@ and maxima that Parquet keeps per file let a reader skip most files for a filter
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.session import with_row_index
+from traceloom.session import durable, with_row_index
 
 BITS = 4
-#: Bytes of a text dimension, after the prefix that all values share, that decide its order.
-_KEY_BYTES = 7
 
 
 def _curve_table(dims: int) -> list[int]:
@@ -73,41 +71,57 @@ def curve_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(levels, start, descend)["index"]
 
 
-def _shared_prefix(low: str | None, high: str | None) -> int:
-    """Bytes that the least and the greatest value, and so all values, begin with."""
-    a, b = (low or "").encode(), (high or "").encode()
-    same = 0
-    while same < min(len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return same
+def _text_cuts(df: DataFrame, name: str, cells: int) -> list[str]:
+    """The values at which the running row share of the ordered distinct values passes i / cells.
 
-
-def _ordered_number(name: str, kind: str, skip: int) -> Column:
-    if kind != "string":
-        return F.col(name).cast("double")
-    tail = F.substring(F.encode(F.col(name), "utf-8"), skip + 1, _KEY_BYTES)
-    return F.conv(F.rpad(F.hex(tail), 2 * _KEY_BYTES, "0"), 16, 10).cast("double")
+    Rows are counted per value first, so a value that many rows hold is one row. The values are cut
+    into ranges; a value's running count is that of the ranges before plus the values before in its
+    own range, and only ``cells`` - 1 values come back.
+    """
+    counts = durable(
+        df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        .repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per shuffle partition: bounded by the partition count, not by the data.
+    ranges = counts.groupBy("part").agg(F.sum("n").alias("rows")).select(
+        "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.join(F.broadcast(ranges), "part").select(
+        "value", (F.col("first") + F.sum("n").over(inside)).alias("upto"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    row = reached.agg(*[
+        F.min(F.when(F.col("upto") * cells > F.lit(total * i), F.col("value"))) for i in range(1, cells)
+    ]).first()
+    return [cut for cut in row if cut is not None]
+
+
+def cell_cuts(df: DataFrame, dims: list[str], bits: int = BITS) -> dict[str, list]:
+    """Ascending cuts of every dimension, at most 2**bits - 1, whatever the size of the table.
+
+    Numbers are cut at approximate quantiles over all rows; texts at exact ones, compared as whole
+    values in byte order.
+    """
+    kinds = dict(df.dtypes)
+    cells = 1 << bits
+    numbers = [d for d in dims if kinds[d] != "string"]
+    shares = [i / cells for i in range(1, cells)]
+    near = df.agg(F.count(F.lit(1)), *[
+        F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(f"cuts_{d}") for d in numbers]).first()
+    return {d: list(near[f"cuts_{d}"] or []) if d in numbers else _text_cuts(df, d, cells) for d in dims}
 
 
-def with_cells(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """Add ``<dim>_cell`` for every dimension and ``curve``.
+def with_cells(df: DataFrame, dims: list[str], bits: int = BITS, cuts: dict[str, list] | None = None) -> DataFrame:
+    """Add ``<dim>_cell`` for every dimension and ``curve``; a null falls into cell 0.
 
-    Quantiles cover all rows; what comes back to the driver is two values per text dimension and
-    2**bits - 1 cuts per dimension, whatever the size of the table. A null falls into cell 0.
+    Tables that must agree row by row take the same ``cuts``.
     """
+    cuts = cell_cuts(df, dims, bits) if cuts is None else cuts
     kinds = dict(df.dtypes)
-    texts = [d for d in dims if kinds[d] == "string"]
-    ends = df.agg(
-        F.count(F.lit(1)), *[f(d).alias(f"{f.__name__}_{d}") for d in texts for f in (F.min, F.max)]
-    ).first()
-    skip = {d: _shared_prefix(ends[f"min_{d}"], ends[f"max_{d}"]) for d in texts}
-    numbers = {d: _ordered_number(d, kinds[d], skip.get(d, 0)) for d in dims}
-    cells = 1 << bits
-    shares = [i / cells for i in range(1, cells)]
-    cuts = df.agg(*[F.percentile_approx(numbers[d], shares, 10_000).alias(d) for d in dims]).first()
+    value = {d: F.col(d) if kinds[d] == "string" else F.col(d).cast("double") for d in dims}
     cell = {
         d: sum(
-            (F.coalesce((numbers[d] >= F.lit(cut)).cast("int"), F.lit(0)) for cut in cuts[d] or []),
+            (F.coalesce((value[d] >= F.lit(cut)).cast("int"), F.lit(0)) for cut in cuts[d]),
             F.lit(0),
         )
         for d in dims
@@ -117,7 +131,8 @@ def with_cells(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
 
 
 def shard_rows(
-    df: DataFrame, dims: list[str], tie: list[str], shards: int = 16, bits: int = BITS
+    df: DataFrame, dims: list[str], tie: list[str], shards: int = 16, bits: int = BITS,
+    cuts: dict[str, list] | None = None,
 ) -> DataFrame:
     """Add ``curve``, ``shard`` and ``slot``: runs of the curve whose row counts differ by one at most.
 
@@ -126,7 +141,7 @@ def shard_rows(
     narrow: it is sorted and checkpointed once. Repeated rows get slots of their own, nulls sort
     first, an empty table gives an empty result.
     """
-    placed = with_row_index(with_cells(df, dims, bits), "curve", *tie, name="__row")
+    placed = with_row_index(with_cells(df, dims, bits, cuts), "curve", *tie, name="__row")
     total = placed.count()
     shard = F.expr(f"(__row * {shards}) div {max(total, 1)}").cast("int")
     first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
@@ -196,12 +211,15 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 def with_document_shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Whole documents with ``curve`` and ``shard``, cut where :func:`shard_documents` cuts.
 
-    Copies that agree in all ordering columns stay in one shard. Columns of these two names that the
+    Both read the same quantiles. Copies that agree in all ordering columns stay in one shard, so row
+    counts may differ by the copies at a cut. Nulls fall into the lowest cells, an empty table gives
+    no rows. Columns of these two names that the
     documents already have are replaced; all others are carried along untouched.
     """
-    placed = shard_documents(docs, shards)
-    points = cut_points(placed, _TIE)
+    metadata = document_metadata(docs)
+    cuts = cell_cuts(metadata, DOCUMENT_DIMS)
+    points = cut_points(shard_rows(metadata, DOCUMENT_DIMS, _TIE, shards, cuts=cuts), _TIE)
     rest = [c for c in docs.columns if c.lower() not in ("curve", "shard")]
     whole = docs.withColumn("__doc", F.struct(*rest))
-    cells = with_cells(document_metadata(whole, "__doc"), DOCUMENT_DIMS)
+    cells = with_cells(document_metadata(whole, "__doc"), DOCUMENT_DIMS, cuts=cuts)
     return cells.withColumn("shard", shard_of(points, _TIE)).select("__doc.*", "curve", "shard")
