@@ -21,9 +21,12 @@ from traceloom.llm.common import durable, pieces
 #: Labelled documents that the classifiers are fitted on, taken by a hash of their ids.
 FIT_ROWS = 10_000
 ROUNDS = 3
-#: Documents that each view labels for the other per class and round, and how sure it must be.
-PER_ROUND = 500
+#: How sure a view must be of a document to label it for the other view.
 SURE = 0.95
+#: Weight of all pseudo-labels of a view together, in labelled rows; each has weight 1 at most.
+TRUST = 1.0
+#: Newton steps of a round at most; each is one pass over all documents.
+STEPS = 5
 _TRIGRAMS = 256
 _SOURCES, _LANGS = 32, 8
 #: Raw counts of a page, in this order.
@@ -125,27 +128,41 @@ class Linear(NamedTuple):
         return self.slope * (z @ self.weights[:-1] + self.weights[-1]) + self.shift
 
 
-def _newton(x: np.ndarray, y: np.ndarray, penalty: float, mean=0.0, scale=1.0, steps: int = 12) -> np.ndarray:
-    """Weights and bias for standardised features, by Newton steps summed over blocks of rows."""
-    width = x.shape[1] + 1
-    hold = np.full(width, penalty)
+def _curve_slope(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Second and first derivative of the log-likelihood of standardised rows, summed over blocks."""
+    curve, slope = np.zeros((len(w), len(w))), np.zeros(len(w))
+    for at in range(0, len(z), 1024):
+        block = np.c_[z[at : at + 1024], np.ones(len(z[at : at + 1024]))]
+        p = 1 / (1 + np.exp(-np.clip(block @ w, -30, 30)))
+        curve += (block * (p * (1 - p) + 1e-6)[:, None]).T @ block
+        slope += block.T @ (y[at : at + 1024] - p)
+    return curve, slope
+
+
+def _moved(w: np.ndarray, curve: np.ndarray, slope: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights after one penalised Newton step, and the largest move."""
+    hold = np.full(len(w), penalty)
     hold[-1] = 1e-6
-    w = np.zeros(width)
+    move = np.linalg.solve(curve + np.diag(hold), slope - hold * w)
+    size = float(np.abs(move).max())
+    return w + move * min(1.0, 5 / max(1e-9, size)), size
+
+
+def _newton(x: np.ndarray, y: np.ndarray, penalty: float, mean=0.0, scale=1.0, steps: int = 12) -> np.ndarray:
+    """Weights and bias for standardised features."""
+    w = np.zeros(x.shape[1] + 1)
+    z = (x - mean) / scale
     for _ in range(steps):
-        curve, slope = np.diag(hold), -hold * w
-        for at in range(0, len(x), 1024):
-            block = np.c_[(x[at : at + 1024] - mean) / scale, np.ones(len(x[at : at + 1024]))]
-            p = 1 / (1 + np.exp(-np.clip(block @ w, -30, 30)))
-            curve += (block * (p * (1 - p) + 1e-6)[:, None]).T @ block
-            slope += block.T @ (y[at : at + 1024] - p)
-        move = np.linalg.solve(curve, slope)
-        w = w + move * min(1.0, 5 / max(1e-9, np.abs(move).max()))
-        if np.abs(move).max() < 1e-6:
+        w, size = _moved(w, *_curve_slope(z, y, w), penalty)
+        if size < 1e-6:
             break
     return w
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 5.0) -> Linear:
+_PENALTY = 5.0
+
+
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = _PENALTY) -> Linear:
     mean, scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float) + 1e-3
     return Linear(mean, scale, _newton(x, y, penalty, mean, scale))
 
@@ -216,36 +233,104 @@ def _scored(table: DataFrame, model: Model) -> DataFrame:
     return table.mapInArrow(run, kind)
 
 
-def _sure(scored: DataFrame, turn: int) -> DataFrame:
-    """Rows of which a view is sure: some per view and class, equal texts once, by a hash."""
-    picks = None
-    for view in ("p_text", "p_page"):
-        for label in (0, 1):
-            sure = F.col(view) >= SURE if label else F.col(view) <= 1 - SURE
-            one = (
-                scored.filter(sure).groupBy("same").agg(F.min("row").alias("row"))
-                .orderBy(F.xxhash64("same", F.lit(turn)), "same").limit(PER_ROUND)
-                .select("row", F.lit(view).alias("view"), F.lit(label).alias("label"))
-            )
-            picks = one if picks is None else picks.union(one)
-    return picks
+def _texts_once(table: DataFrame) -> DataFrame:
+    """Both views of every different text; of copies with other pages the least page stands."""
+    return durable(table.groupBy("same").agg(F.min(F.struct("page", "text")).alias("v")).select("v.*"))
+
+
+def _sums_width(models) -> list[int]:
+    return [len(m.weights) for m in models]
+
+
+def _told_sums(texts: DataFrame, judge: Model, now: tuple[Linear, Linear]) -> list[tuple]:
+    """For text and page view: number, curve and slope over all texts that the other view is sure of.
+
+    A task adds up its rows, tasks are added up in a second level, and what reaches the driver are
+    sums of fixed size: no text is left out, however many there are.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((judge, now))
+
+    def own(batches):
+        judge, now = shared.value
+        total = [[0.0, np.zeros((n, n)), np.zeros(n)] for n in _sums_width(now)]
+        for batch in pieces(batches):
+            text, page = _read(batch.column("text").to_pylist(), batch.column("page").to_pylist())
+            by_text, by_page, _ = judge.score(text, page)
+            features = (judge.scale.text_features(text, page), judge.scale.page_features(page))
+            for part, model, x, told in zip(total, now, features, (by_page, by_text), strict=True):
+                sure = (told >= SURE) | (told <= 1 - SURE)
+                z = (x[sure] - model.mean) / model.scale
+                curve, slope = _curve_slope(z, (told[sure] >= SURE).astype(float), model.weights)
+                part[0] += float(sure.sum())
+                part[1] += curve
+                part[2] += slope
+        flat = np.concatenate([np.r_[n, c[np.triu_indices(len(c))], s] for n, c, s in total])
+        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["sums"])
+
+    def added(batches):
+        total = None
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                one = np.frombuffer(raw)
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    rows = texts.mapInArrow(own, "sums binary").repartition(8).mapInArrow(added, "sums binary").collect()
+    shared.unpersist()
+    out, at = [], 0
+    flat = sum((np.frombuffer(bytes(r.sums)) for r in rows), np.zeros(1))
+    for n in _sums_width(now):
+        half = n * (n + 1) // 2
+        if len(flat) == 1:  # no partition, no sums
+            out.append((0.0, np.zeros((n, n)), np.zeros(n)))
+            continue
+        upper = np.zeros((n, n))
+        upper[np.triu_indices(n)] = flat[at + 1 : at + 1 + half]
+        curve = upper + upper.T - np.diag(np.diag(upper))
+        out.append((flat[at], curve, flat[at + 1 + half : at + 1 + half + n]))
+        at += 1 + half + n
+    return out
+
+
+def _taught(texts: DataFrame, model: Model, sample: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Both views fitted to the labelled rows and to what the other view of ``model`` is sure of."""
+    now = (model.text, model.page)
+    for _ in range(STEPS):
+        moves, after = [], []
+        for one, (x, y), (n, curve, slope) in zip(now, sample, _told_sums(texts, model, now), strict=True):
+            share = min(1.0, TRUST * len(y) / max(1.0, n))
+            own_curve, own_slope = _curve_slope((x - one.mean) / one.scale, y, one.weights)
+            w, size = _moved(one.weights, own_curve + share * curve, own_slope + share * slope, _PENALTY)
+            # Rounded, so that sums added in another order after a lost executor end alike.
+            after.append(one._replace(weights=np.round(w, 9)))
+            moves.append(size)
+        now = tuple(after)
+        if max(moves) < 1e-3:
+            break
+    return model._replace(text=now[0], page=now[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, label: str = "quality",
           table: DataFrame | None = None) -> Model:
     """Model from labelled documents and, by co-training, from all documents.
 
-    The driver holds the bounded labelled sample and ``PER_ROUND`` examples per view, class and
-    round; every round's candidates are all documents. Null labels don't count, of several labels of
-    a document the lowest does. Without labels every score is 0.5; with labels of one class only,
-    all documents score alike.
+    In every round each view is fitted again to the labelled sample and to all documents of which
+    the other view is sure, equal texts once; the pseudo-labels together weigh as much as ``TRUST``
+    times the sample, so the fit is alike at every size. The driver holds the bounded labelled sample,
+    one row per labelled id (of several with one id the least text hash), and sums of fixed size.
+    Null labels don't count, of several labels of a document the lowest does. Without labels every
+    score is 0.5; with labels of one class only, all documents score alike.
     """
     table = view_table(docs) if table is None else table
     per_doc = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         "doc_id").agg(F.min(label).alias("label"))
     sample = durable(per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
-    rows = table.join(F.broadcast(sample), "doc_id").select(
-        "row", "same", "text", "page", "label").collect()
+    rows = (
+        table.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label")
+        .agg(F.min(F.struct("same", "page", "text")).alias("v"))
+        .select("v.*", "label").orderBy("same", "page", "label").collect()
+    )
     if not rows:
         return Model(None, None, 0.0)
     text, page = _read([r.text for r in rows], [r.page for r in rows])
@@ -255,33 +340,21 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, label: str =
     if len(set(y[~held].tolist())) < 2:
         return Model(None, None, prior)
     scale = Scale.of(text, page)
-
-    def features(text, page) -> dict:
-        cuts = range(0, len(text), 1024)
-        return {
-            "p_text": np.concatenate([scale.text_features(text[i : i + 1024], page[i : i + 1024]).astype(np.float32)
-                                      for i in cuts]),
-            "p_page": scale.page_features(page).astype(np.float32)}
-
-    own = features(text, page)
-    seen = {view: [(x[~held], y[~held])] for view, x in own.items()}
-
-    def fitted() -> Model:
-        text_model, page_model = (
-            calibrated(fit_linear(*[np.concatenate(z) for z in zip(*seen[view], strict=True)]),
-                       own[view][held], y[held]) for view in ("p_text", "p_page"))
-        return Model(text_model, page_model, prior, scale)
-
-    model = fitted()
-    for turn in range(rounds):
-        picks = durable(_sure(_scored(table, model), turn))
-        more = table.join(F.broadcast(picks), "row").select("view", "label", "text", "page").collect()
-        for view, other in (("p_text", "p_page"), ("p_page", "p_text")):
-            told = [r for r in more if r.view == view]
-            if told:
-                x = features(*_read([r.text for r in told], [r.page for r in told]))
-                seen[other].append((x[other], np.array([float(r.label) for r in told])))
-        model = fitted()
+    cuts = range(0, len(text), 1024)
+    own = [
+        np.concatenate([scale.text_features(text[i : i + 1024], page[i : i + 1024]) for i in cuts]),
+        scale.page_features(page)]
+
+    def settled(model: Model) -> Model:
+        plain = [one._replace(slope=1.0, shift=0.0) for one in (model.text, model.page)]
+        a, b = (calibrated(one, x[held], y[held]) for one, x in zip(plain, own, strict=True))
+        return model._replace(text=a, page=b)
+
+    model = settled(Model(*[fit_linear(x[~held], y[~held]) for x in own], prior, scale))
+    if rounds:
+        texts = _texts_once(table)
+        for _ in range(rounds):
+            model = settled(_taught(texts, model, [(x[~held], y[~held]) for x in own]))
     return model
 
 
@@ -297,7 +370,11 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, label: str =
 
 
 def kept(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, label: str = "quality") -> DataFrame:
-    """Documents with a score of 0.5 or more, with their own columns; texts are not moved."""
+    """Documents with a score of 0.5 or more, with their own columns; texts are not moved.
+
+    Null and empty texts are scored by their page view and the bias, repeated rows alike; columns of
+    any name are carried along untouched, an empty table gives no rows. Without labels all stay.
+    """
     model = train(docs, labels, rounds, label)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
