@@ -12,26 +12,35 @@ import hashlib
 import html as entities
 import re
 import uuid
+from bisect import bisect_left
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.llm.common import pieces
+
 DATE = "2024-01-01T00:00:00Z"
 VERSION = "WARC/1.1"
 
-_DROP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-    r".*?(?:</\1\s*>|\Z)", re.I | re.S)
 _BLOCK = ("address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|"
           "main|nav|ol|p|pre|section|table|tbody|td|th|thead|tr|ul")
-_TAG = re.compile(
-    rf"</?(?:(?P<block>{_BLOCK})(?=[\s/>])|[a-zA-Z!?])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_DROPPED = ("script", "style", "noscript", "template", "head", "svg")
+_DROP_OPEN = re.compile(rf"<!--|<({'|'.join(_DROPPED)})\b", re.I)
+_DROP_CLOSE = {name: re.compile(rf"</{name}\s*+>", re.I) for name in _DROPPED}
+_TAG_OPEN = re.compile(rf"</?(?:(?P<block>{_BLOCK})(?=[\s/>])|[a-zA-Z!?])", re.I)
+#: What follows a tag's name, to its end: a quote holds everything up to the next one like it.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_MARKS = re.compile(r"[>\"']")
+_TITLE_OPEN = re.compile(r"<title\b", re.I)
+_TITLE_CLOSE = re.compile(r"</title\s*+>", re.I)
+_HTML_OPEN, _META_OPEN = re.compile(r"<html\b", re.I), re.compile(r"<meta\b", re.I)
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?([\w-]+)", re.I)
+_CHARSET = re.compile(r"\bcharset\s*+=\s*+[\"']?([\w-]+)", re.I)
+_LINK_OPEN = re.compile(r"<a\s", re.I)
+_HREF = re.compile(r"\bhref\s*+=\s*+", re.I)
+_VALUE = re.compile(r"\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)")
 _SPACE = re.compile(r"[^\S\n]+")
 
 
@@ -39,9 +48,78 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+class _Ends:
+    """End of the tag whose name ends at a place, or None; linear over all places of a page.
+
+    A match costs what it consumes. The first tag without an end makes a table of the ends from every
+    ``>`` and quote, filled from the back, so that a page of unclosed tags is not read once per tag.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.places: list[int] | None = None
+        self.ends: list[int | None] = []
+
+    def __call__(self, at: int) -> int | None:
+        if self.places is None:
+            if m := _REST.match(self.page, at):
+                return m.end()
+            self._fill()
+        own = bisect_left(self.places, at)
+        return self.ends[own] if own < len(self.places) else None
+
+    def _fill(self) -> None:
+        self.places = [m.start() for m in _MARKS.finditer(self.page)]
+        self.ends = [None] * len(self.places)
+        later: dict[str, int] = {}
+        for i in range(len(self.places) - 1, -1, -1):
+            mark = self.page[self.places[i]]
+            if mark == ">":
+                self.ends[i] = self.places[i] + 1
+                continue
+            closing = later.get(mark)
+            if closing is not None and closing + 1 < len(self.places):
+                self.ends[i] = self.ends[closing + 1]
+            later[mark] = i
+
+
+def _without_dropped(page: str) -> str:
+    """The page without comments, scripts, styles and the like; what is never closed goes to the end."""
+    ends, kept, from_, at = _Ends(page), [], 0, 0
+    while m := _DROP_OPEN.search(page, at):
+        if m.group(1) is None:
+            close = page.find("-->", m.end())
+            upto = len(page) if close < 0 else close + 3
+        else:
+            inside = ends(m.end())
+            if inside is None:
+                at = m.end()
+                continue
+            close = _DROP_CLOSE[m.group(1).lower()].search(page, inside)
+            upto = close.end() if close else len(page)
+        kept.append(page[from_ : m.start()])
+        from_ = at = upto
+    return "".join([*kept, page[from_:]])
+
+
+def _without_tags(page: str, line: str = "\n") -> str:
+    """The page without tags, with ``line`` in the place of those that end a line."""
+    ends, kept, from_, at = _Ends(page), [], 0, 0
+    while m := _TAG_OPEN.search(page, at):
+        upto = ends(m.end())
+        if upto is None:
+            at = m.end()
+            continue
+        kept.append(page[from_ : m.start()])
+        if m.group("block"):
+            kept.append(line)
+        from_ = at = upto
+    return "".join([*kept, page[from_:]])
+
+
 def plain_text(page: str) -> str:
     """Text of a page: no scripts, styles or head, one line per block, single spaces."""
-    bare = _TAG.sub(lambda m: "\n" if m.group("block") else "", _DROP.sub("", page))
+    bare = _without_tags(_without_dropped(page))
     lines = (_SPACE.sub(" ", line).strip() for line in entities.unescape(bare).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -50,14 +128,47 @@ def _one_line(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
+def _tags(page: str, opening: re.Pattern):
+    """(begin, end) of what a tag's name is followed by up to the next ``>``; openings inside count once."""
+    at = 0
+    while m := opening.search(page, at):
+        close = page.find(">", m.end())
+        at = len(page) if close < 0 else close
+        yield m.end(), at
+
+
+def _title(page: str) -> str | None:
+    m = _TITLE_OPEN.search(page)
+    begin = page.find(">", m.end()) + 1 if m else 0
+    close = _TITLE_CLOSE.search(page, begin) if begin else None
+    return _without_tags(page[begin : close.start()], "") if close else None
+
+
+def _attribute(page: str, opening: re.Pattern, pattern: re.Pattern) -> str | None:
+    found = (pattern.search(page, begin, end) for begin, end in _tags(page, opening))
+    return next((m.group(1) for m in found if m), None)
+
+
+def _links(page: str):
+    """Values of the first ``href`` of every anchor that has one."""
+    past = 0
+    for begin, end in _tags(page, _LINK_OPEN):
+        at = max(begin, past)
+        while at < end and (m := _HREF.search(page, at, end)):
+            if value := _VALUE.match(page, m.end()):
+                yield next(g for g in value.groups() if g is not None)
+                past = value.end()
+                break
+            at = m.end()
+
+
 def page_facts(page: str, uri: str | None) -> list[tuple[str, str]]:
     """Title, language, charset and outlinks of a page, as named fields."""
-    facts = []
-    for name, pattern in (("title", _TITLE), ("language", _LANG), ("charset", _CHARSET)):
-        if m := pattern.search(page):
-            facts.append((name, _one_line(_TAG.sub("", m.group(1)))))
-    for m in _LINK.finditer(page):
-        link = _one_line(next(g for g in m.groups() if g is not None))
+    said = (("title", _title(page)), ("language", _attribute(page, _HTML_OPEN, _LANG)),
+            ("charset", _attribute(page, _META_OPEN, _CHARSET)))
+    facts = [(name, _one_line(value)) for name, value in said if value is not None]
+    for value in _links(page):
+        link = _one_line(value)
         try:
             facts.append(("outlink", urljoin(uri, link) if uri else link))
         except ValueError:
@@ -122,11 +233,12 @@ def derive(records: DataFrame) -> DataFrame:
     """Two rows per response: page_id, the record's fields, its header and its body.
 
     Every response is handled where it is read; nothing is shuffled. Repeated responses give repeated
-    records with the same identifiers, an empty page an empty conversion record.
+    records with the same identifiers, an empty or null page an empty conversion record, an empty
+    table no rows. Other columns are not carried along. Markup is scanned in time linear in the page.
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column("page_id").to_pylist()
             columns = (batch.column(c).to_pylist() for c in ("uri", "date", "http_header", "payload"))
             made = [derived("" if i is None else str(i), *rest) for i, *rest in zip(ids, *columns, strict=True)]
