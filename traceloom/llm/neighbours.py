@@ -151,7 +151,7 @@ def distinct_vectors(table: DataFrame, id_col: str, vector: str, every: int, mos
 
     Copies are folded where they are read: a task passes on at most ``most`` ids of a vector. Null,
     empty and zero vectors and those with null or non-finite components take no part, nor do ids that
-    are null; vectors of another length than most of the table's are never compared with it.
+    are null.
     """
 
     def run(batches):
@@ -206,11 +206,13 @@ def _routed(vectors: DataFrame, shared, probes: int, extra: str) -> DataFrame:
 
 
 def _ranker(k: int):
-    """Nearest stored vectors of every query of a block pair, in one row per query."""
+    """Nearest stored vectors of every query of a block pair, in one row per query; ``own`` marks copies of it."""
 
     def run(key, queries: pa.Table, stored: pa.Table) -> pa.Table:
         q, v = _matrix(queries.column("vector").combine_chunks()), _matrix(stored.column("vector").combine_chunks())
         ids = stored.column("ids").to_pylist()
+        place = {raw: j for j, raw in enumerate(stored.column("vector").to_pylist())}
+        own = [place.get(raw, -1) for raw in queries.column("vector").to_pylist()]
         found = []
         if len(v):
             for at in range(0, len(q), 256):
@@ -220,16 +222,17 @@ def _ranker(k: int):
                 least = np.take_along_axis(products, best, axis=1).min(axis=1)
                 for row, floor in enumerate(least):
                     at_least = np.flatnonzero(products[row] >= floor)  # with all that tie
-                    pairs = sorted((-float(products[row, j]), i) for j in at_least for i in ids[j])[:k]
-                    found.append([{"score": -s, "vec_id": i} for s, i in pairs])
-        kind = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
+                    pairs = sorted((-float(products[row, j]), i, bool(j == own[at + row]))
+                                   for j in at_least for i in ids[j])[:k]
+                    found.append([{"score": -s, "vec_id": i, "own": o} for s, i, o in pairs])
+        kind = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64()), ("own", pa.bool_())]))
         vectors = queries.column("vector").combine_chunks() if len(v) else pa.array([], pa.binary())
         return pa.table([vectors, pa.array(found, kind)], names=["vector", "found"])
 
     return run
 
 
-_FOUND = "array<struct<score:double,vec_id:long>>"
+_FOUND = "array<struct<score:double,vec_id:long,own:boolean>>"
 
 
 def _best(found, k: int):
@@ -240,22 +243,9 @@ def _best(found, k: int):
     return F.slice(order, 1, k)
 
 
-def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
-           vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row whose id ``every`` divides.
-
-    Equal vectors are stored and asked once with their k + 1 smallest ids, which is all that a
-    ranking with ties to smaller ids can use. A part that holds many vectors is cut into blocks, and
-    so are its queries, so a task holds one block of each. An empty table gives no rows.
-    """
-    found = distinct_vectors(table, id_col, vector, every, k + 1)
-    usual = found.groupBy(F.octet_length("vector").alias("size")).count().orderBy(
-        F.desc("count"), "size").first()
-    spark = table.sparkSession
-    if usual is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = found.filter(F.octet_length("vector") == usual["size"])
-    rows = usual["count"]
+def _nearest(found: DataFrame, rows: int, k: int) -> DataFrame:
+    """The k + 1 best of every asked vector among ``rows`` distinct vectors of one length."""
+    spark = found.sparkSession
     share = F.pmod(F.xxhash64("vector"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, FIT_ROWS / rows))
     sample = found.filter(share).select("vector").orderBy("vector").collect()
     x = np.frombuffer(b"".join(bytes(r.vector) for r in sample), dtype=np.float64).reshape(len(sample), -1)
@@ -276,7 +266,30 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
         _ranker(k + 1), f"vector binary, found {_FOUND}")
     per_part = hits.groupBy("vector", F.pmod(F.spark_partition_id(), F.lit(16)).alias("of")).agg(
         _best("found", k + 1).alias("found"))
-    best = durable(per_part.groupBy("vector").agg(_best("found", k + 1).alias("found")))
+    return durable(per_part.groupBy("vector").agg(_best("found", k + 1).alias("found")))
+
+
+def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
+           vector: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row whose id ``every`` divides.
+
+    Equal vectors are stored and asked once with their k + 1 smallest ids, which is all that a
+    ranking with ties to smaller ids can use; a repeated query row gives its rows again, with the
+    other rows of its id among the candidates. Vectors of every length are searched on their own,
+    as no product joins two lengths. A part that holds many vectors is cut into blocks, and so are
+    its queries, so a task holds one block of each. An empty table gives no rows.
+    """
+    found = distinct_vectors(table, id_col, vector, every, k + 1)
+    size = F.octet_length("vector")
+    sizes = found.groupBy(size.alias("size")).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("asked").alias("asked")).orderBy("size").collect()
+    best = None
+    for one in sizes:
+        if one["asked"]:
+            part = _nearest(found.filter(size == one["size"]), one["n"], k)
+            best = part if best is None else best.union(part)
+    if best is None:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def own_vectors(batches):
         for batch in batches:
@@ -290,7 +303,10 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     named = table.select(F.col(id_col).cast("long").alias("query_id"), vector).filter(
         F.col("query_id") % every == 0).mapInArrow(own_vectors, "query_id long, vector binary")
     joined = attach(named, best, "vector", limit=20_000).filter("found is not null")
-    others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k)
+    # Only the query's own row goes, once: other rows with its id are candidates like any other.
+    itself = F.array_position(
+        F.transform("found", lambda f: f["own"] & (f["vec_id"] == F.col("query_id"))), F.lit(True))
+    others = F.slice(F.filter("found", lambda f, i: i + 1 != itself), 1, k)
     return joined.select("query_id", F.posexplode(others).alias("place", "hit")).select(
         "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"),
         F.col("hit.score").alias("score"))
