@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from traceloom.session import durable
 
-__all__ = ["attach", "durable", "pieces", "unit_interval"]
+__all__ = ["attach", "durable", "free_name", "pieces", "unit_interval"]
 
 #: Rows up to which a per-key table may be broadcast; larger ones are joined by a salted shuffle.
 BROADCAST_ROWS = 100_000
@@ -24,6 +24,14 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the table has it in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def unit_interval(seed: str, *keys: str) -> Column:
     """A uniform number in [0, 1) that depends on the seed and the keys alone (52 bits of MD5)."""
     text = F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import BROADCAST_ROWS, durable, pieces
+from traceloom.llm.common import BROADCAST_ROWS, durable, free_name, pieces
 
 # Honorifics that tell a name, with the gender they give (fixed values).
 HONORIFICS = {
@@ -154,26 +154,31 @@ def _same_kind(text: str, random: Iterator[int], hexes: bool = False) -> str:
 
 
 def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
-    """Replacement of a normal form: same type, length and characters; longer names on later tries."""
+    """Replacement of a normal form: same type, length and characters.
+
+    Names grow on later tries. So does everything but an address of the net after every eighth try,
+    so that a form of which every member is a real entity still finds a surrogate.
+    """
     random = _bytes(key, kind, normal, attempt)
+    more = attempt // 8
     if kind == "email":
         local, _, domain = normal.partition("@")
         name, _, top = domain.rpartition(".")
-        return f"{_same_kind(local, random)}@{_same_kind(name, random)}.{top}"
+        return f"{_same_kind('x' * more + local, random)}@{_same_kind(name, random)}.{top}"
     if kind == "secret":
         head = re.match(r"AKIA|gh[pousr]_|sk-|", normal).group()
         rest = normal[len(head):]
-        return head + _same_kind(rest, random, hexes=not head)
+        return head + _same_kind(rest + "0" * more, random, hexes=not head)
     if kind == "ip":
         return ".".join(str(1 + next(random) % 254) for _ in range(4))
     if kind == "iban":
-        return normal[:2] + _same_kind(normal[2:], random)
+        return normal[:2] + _same_kind(normal[2:] + "0" * more, random)
     if kind == "card" and _luhn(normal):
-        body = _same_kind(normal[:-1], random)
+        body = _same_kind(normal[:-1] + "0" * more, random)
         return next(body + str(d) for d in range(10) if _luhn(body + str(d)))
     if kind in ("card", "ssn", "phone"):
         first = str(1 + next(random) % 9) if normal[0] != "0" else "0"
-        return first + _same_kind(normal[1:], random)
+        return first + _same_kind(normal[1:] + "0" * more, random)
     gender = kind.split(":")[1] if kind.startswith("given") else "n"
     consonants, vowels, endings = _LETTERS[kind.rsplit(":", 1)[1]]
     size = max(2, min(4, len(normal) // 3)) + attempt // 3
@@ -187,11 +192,13 @@ def rendered(raw: str, kind: str, new: str) -> str:
     """A surrogate in the form of its mention: separators of numbers, case of letters."""
     if kind in ("phone", "card", "ssn", "iban"):
         left = iter(new)
-        return "".join(next(left, "") if c.isalnum() else c for c in raw)
+        return "".join([*(next(left, "") if c.isalnum() else c for c in raw), *left])
     if kind in ("ip", "secret"):
         return new
     if kind == "email":
-        return "".join(n.upper() if r.isupper() else n for r, n in zip(raw, new, strict=True))
+        longer = len(new) - len(raw)
+        pairs = zip(raw, new[longer:], strict=True)
+        return new[:longer] + "".join(n.upper() if r.isupper() else n for r, n in pairs)
     if raw.isupper() and len(raw) > 1:
         return new.upper()
     return new[0].upper() + new[1:] if raw[0].isupper() else new
@@ -232,7 +239,7 @@ def retries(found: DataFrame, key: bytes) -> DataFrame:
 
     Surrogates are compared within a type. Of those that share one, the entity with the fewest tries
     and then the least normal form keeps it; a surrogate that is itself an entity is taken too.
-    Every round is one aggregate over the entities; it ends when nothing clashes.
+    Every round is one aggregate over the entities; it ends when nothing clashes, as surrogates grow.
     """
 
     def run(batches):
@@ -266,7 +273,8 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
 
     Columns of these two names that the documents already have give way.
     Tries above 0 are few; up to a checked number they go to all tasks, beyond it each document gets
-    its own by a join. Null and empty texts stay as they are; repeated rows are replaced alike.
+    its own by a join. Null and empty texts stay as they are; repeated rows are replaced alike. Where
+    entities tie for a surrogate, the least normal form has it. An empty table gives no rows.
     """
     again = durable(retries(durable(entities(docs)), key))
     if again.count() <= BROADCAST_ROWS:
@@ -284,12 +292,12 @@ def _with(docs: DataFrame) -> str:
     return ", ".join([*kinds, "n_entities int", "kinds array<string>"])
 
 
-def _replacer(docs: DataFrame, key: bytes, shared):
+def _replacer(docs: DataFrame, key: bytes, shared, tries: str | None = None):
     names = [c for c in docs.columns if c not in _ADDED]
 
     def run(batches):
         for batch in pieces(batches):
-            own = batch.column("__again").to_pylist() if "__again" in batch.schema.names else None
+            own = batch.column(tries).to_pylist() if tries else None
             texts, counts, kinds = [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 again = shared.value if own is None else {
@@ -316,9 +324,10 @@ def _joined(docs: DataFrame, again: DataFrame, key: bytes) -> DataFrame:
                 [pa.array([r for r, _, _ in rows], pa.int64()), pa.array([k for _, k, _ in rows], pa.string()),
                  pa.array([n for _, _, n in rows], pa.string())], names=["same", "kind", "normal"])
 
+    tries, hashed = free_name(docs, "__again"), free_name(docs, "__same")
     same = F.xxhash64("text").alias("same")
     held = docs.select(same, "text").mapInArrow(run, "same long, kind string, normal string").distinct()
     own = held.join(again, ["kind", "normal"]).groupBy("same").agg(
-        F.collect_list(F.struct("kind", "normal", "attempt")).alias("__again"))
-    whole = docs.withColumn("__same", same).join(own.withColumnRenamed("same", "__same"), "__same", "left")
-    return whole.drop("__same").mapInArrow(_replacer(docs, key, None), _with(docs))
+        F.collect_list(F.struct("kind", "normal", "attempt")).alias(tries))
+    whole = docs.withColumn(hashed, same).join(own.withColumnRenamed("same", hashed), hashed, "left")
+    return whole.drop(hashed).mapInArrow(_replacer(docs, key, None, tries), _with(docs))
