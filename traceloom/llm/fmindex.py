@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceloom.llm import words as wd
+from traceloom.llm.common import free_name
 
 WINDOW = 10
 #: Benchmark words searched in one pass; a larger benchmark is searched slice by slice.
@@ -317,51 +318,50 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """Documents with all removal spans cut out of their texts; other columns and texts as they were.
 
     Every slice of the benchmark is searched in the whole text, and texts are cut once, at the merged
-    spans. ``n_chars``, where there is one, follows the text of cut documents.
+    spans. ``n_chars``, where there is one, follows the text of cut documents. Null and empty texts
+    hold no span, repeated rows are cut alike, columns of any name are carried along; without
+    documents or without a benchmark nothing changes.
     """
     out, last = docs, None
-    marked = T.StructType([*docs.schema.fields, T.StructField(_MARKS, T.ArrayType(T.LongType()))])
+    name = free_name(docs, "__marks")  # spans found so far, four numbers each
+    marked = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
     for part in _slices(benchmark, limit):
         if last is not None:
-            out = out.mapInArrow(_marker(last, window), marked)
+            out = out.mapInArrow(_marker(last, window, name), marked)
         last = docs.sparkSession.sparkContext.broadcast(part)
-    return out.mapInArrow(_cutter(last, window), docs.schema)
+    return out.mapInArrow(_cutter(last, window, name), docs.schema)
 
 
-#: Spans found so far, four numbers each.
-_MARKS = "__marks"
-
-
-def _marks(batch: pa.RecordBatch, phrases: Phrases) -> dict[int, list]:
+def _marks(batch: pa.RecordBatch, phrases: Phrases, name: str) -> dict[int, list]:
     """Spans of these phrases and those of earlier slices, by row."""
     _, spans, _ = scan(batch.column("text"), phrases)
-    if _MARKS in batch.schema.names:
-        for row, marks in enumerate(batch.column(_MARKS).to_pylist()):
+    if name in batch.schema.names:
+        for row, marks in enumerate(batch.column(name).to_pylist()):
             if marks:
                 spans.setdefault(row, []).extend(zip(*[iter(marks)] * 4, strict=True))
     return spans
 
 
-def _marker(shared, window: int):
+def _marker(shared, window: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(shared.value, window)
         for batch in batches:
-            spans = _marks(batch, phrases)
+            spans = _marks(batch, phrases, name)
             marks = [[n for span in spans.get(row, ()) for n in span] for row in range(batch.num_rows)]
-            columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != _MARKS}
+            columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != name}
             yield pa.RecordBatch.from_arrays(
-                [*columns.values(), pa.array(marks, pa.list_(pa.int64()))], names=[*columns, _MARKS])
+                [*columns.values(), pa.array(marks, pa.list_(pa.int64()))], names=[*columns, name])
 
     return run
 
 
-def _cutter(shared, window: int):
+def _cutter(shared, window: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(shared.value, window)
         for batch in batches:
-            spans = _marks(batch, phrases)
-            if _MARKS in batch.schema.names:
-                batch = batch.drop_columns([_MARKS])
+            spans = _marks(batch, phrases, name)
+            if name in batch.schema.names:
+                batch = batch.drop_columns([name])
             if not spans:
                 yield batch
                 continue
