@@ -16,7 +16,8 @@ def documents(spark):
     from pyspark.sql import functions as F
 
     names = ("row", "key", "n", "hash", "size", "rate", "copies", "target", "source_size", "weight",
-             "curve", "shard", "slot", "label", "kind", "n_entities", "kinds", "score", "same", "page")
+             "curve", "shard", "slot", "label", "kind", "n_entities", "kinds", "score", "same", "page",
+             "__again", "__marks", "__same", "__doc", "__row", "__pos", "__part")
     return spark.createDataFrame(rows, columns).withColumns({c: F.lit(f"own {c}") for c in names})
 
 

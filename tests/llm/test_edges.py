@@ -1,6 +1,9 @@
 """Every operator and stage on nulls, empty and long texts, repeated rows, clashing columns, nothing."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from traceloom.llm import (
@@ -96,3 +99,41 @@ def test_pages(spark):
     assert len(got) == 8 and got[:2] == got[2:4]
     assert [r.body for r in got if r.warc_type == "conversion"] == ["x", "x", "", "a < b & c"]
     assert warc.derive(warc.responses(pages.limit(0))).collect() == []
+
+
+def test_repeated_query_rows_and_every_length(spark):
+    rows = [(0, [1.0, 0.1 * i]) for i in range(4)] + [(i, [1.0, 0.01 * i]) for i in range(1, 60) if i % 20]
+    rows += [(i, [1.0, 2.0, float(i % 7)]) for i in range(100, 106)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    per_query = [r for r in got if r.query_id == 0]
+    assert len(per_query) == 4 * 20 and {r["rank"] for r in per_query} == set(range(1, 21))
+    tops = sorted((round(r.score, 6), r.vec_id) for r in per_query if r["rank"] == 1)
+    assert tops == [(1.0, 0), (1.059, 59), (1.118, 59), (1.177, 59)]
+    other = sorted((r["rank"], r.vec_id) for r in got if r.query_id == 100)
+    assert other == [(1, 104), (2, 103), (3, 102), (4, 101), (5, 105)]
+
+
+def test_used_up_forms_end(spark):
+    texts = [(i, f"write to {i % 10}@{i // 10}.de now") for i in range(100)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("__again", F.lit("own"))
+    got = surrogates.replace(docs, b"k").collect()
+    new = {r.text for r in got}
+    assert len(new) == 100 and not new & {t for _, t in texts} and {r["__again"] for r in got} == {"own"}
+
+
+def test_joined_tries_and_marks_beside_own_columns(spark, documents, benchmark, monkeypatch):
+    sent = surrogates.replace(documents, b"k").select("doc_id", "text", "__again")
+    monkeypatch.setattr(surrogates, "BROADCAST_ROWS", -1)
+    joined = surrogates.replace(documents, b"k").select("doc_id", "text", "__again")
+    assert sorted(map(str, sent.collect())) == sorted(map(str, joined.collect()))
+    whole, sliced = fmindex.cleaned(documents, benchmark), fmindex.cleaned(documents, benchmark, limit=4)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, sliced.collect()))
+    assert {r["__marks"] for r in sliced.collect()} == {"own __marks"}
+
+
+@pytest.mark.parametrize("unit", ["<script ", '<a href="', "<title ", "<title>", "<html ", '<p "', "<!--", "<a "])
+def test_unclosed_markup_is_read_in_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.monotonic()
+    warc.derived("1", "http://a/", warc.DATE, "", page)
+    assert time.monotonic() - began < 10

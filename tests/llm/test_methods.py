@@ -96,6 +96,21 @@ def test_shards_are_even_gapless_and_prune(docs):
 
 # ------------------------------------------------------------------ mixing
 
+def test_texts_are_cut_at_whole_values(spark):
+    rows = [("ftp://one/a",)] + [(f"https://site{i % 40:02d}.example/long/shared/path",) for i in range(1999)]
+    rows += [(None,), ("",)]
+    table = spark.createDataFrame(rows, "source string")
+    got = hilbert.with_cells(table, ["source"]).groupBy("source").agg(
+        F.min("source_cell").alias("cell"), F.count_distinct("source_cell").alias("cells"), F.count("*").alias("n"))
+    cells = {r.source: r.cell for r in got.collect()}
+    assert {r.cells for r in got.collect()} == {1} and len(set(cells.values())) == 16
+    values = sorted(v for v in cells if v is not None)
+    assert [cells[v] for v in values] == sorted(cells[v] for v in values) and cells[None] == 0
+    held = sorted(v for (v,) in rows if v is not None)
+    cuts = [held[len(held) * i // 16] for i in range(1, 16)]
+    assert all(cells[v] == sum(v >= c for c in cuts) for v in values)
+
+
 def test_targets_fill_up_by_weight(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, "d": 300, None: 50, "": 0}
     table = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
@@ -415,6 +430,27 @@ def test_quality_on_labels_kept_apart(spark):
     assert split_accuracy(labels.filter("doc_id % 2 = 1"), "quality", got) > 0.95
 
 
+def test_every_confident_text_teaches(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    table = cotrain.view_table(docs)
+    model = cotrain.train(docs, labels, rounds=1, table=table)
+    texts = cotrain._texts_once(table)
+    rows = texts.collect()
+    assert len(rows) == table.select("same").distinct().count()
+    text, page = cotrain._read([r.text for r in rows], [r.page for r in rows])
+    by_text, by_page, _ = model.score(text, page)
+    views = (model.scale.text_features(text, page), model.scale.page_features(page))
+    sums = cotrain._told_sums(texts, model, (model.text, model.page))
+    for (n, curve, slope), one, x, told in zip(
+            sums, (model.text, model.page), views, (by_page, by_text), strict=True):
+        sure = (told >= cotrain.SURE) | (told <= 1 - cotrain.SURE)
+        z = np.c_[(x[sure] - one.mean) / one.scale, np.ones(sure.sum())]
+        p = 1 / (1 + np.exp(-z @ one.weights))
+        assert n == sure.sum() > 0
+        np.testing.assert_allclose(curve, (z * (p * (1 - p) + 1e-6)[:, None]).T @ z, rtol=1e-6, atol=1e-6)
+        np.testing.assert_allclose(slope, z.T @ ((told[sure] >= cotrain.SURE) - p), rtol=1e-6, atol=1e-6)
+
+
 def test_toxicity_on_labels_kept_apart(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
