@@ -25,6 +25,8 @@ ROUNDS = 3
 SURE = 0.95
 #: Weight of all pseudo-labels of a view together, in labelled rows; each has weight 1 at most.
 TRUST = 1.0
+#: Texts that a task sums up at least, so that its sums are small beside them.
+_TASK_TEXTS = 8192
 #: Newton steps of a round at most; each is one pass over all documents.
 STEPS = 5
 _TRIGRAMS = 256
@@ -235,7 +237,8 @@ def _scored(table: DataFrame, model: Model) -> DataFrame:
 
 def _texts_once(table: DataFrame) -> DataFrame:
     """Both views of every different text; of copies with other pages the least page stands."""
-    return durable(table.groupBy("same").agg(F.min(F.struct("page", "text")).alias("v")).select("v.*"))
+    once = durable(table.groupBy("same").agg(F.min(F.struct("page", "text")).alias("v")).select("v.*"))
+    return once.coalesce(max(1, -(-once.count() // _TASK_TEXTS)))
 
 
 def _sums_width(models) -> list[int]:
