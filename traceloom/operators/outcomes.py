@@ -116,8 +116,9 @@ def normalize_outcomes(rows: DataFrame) -> DataFrame:
         return F.when(F.coalesce(condition, F.lit(True)), F.lit(reason))
 
     def bad_text(name: str) -> Column:
-        plain = F.col(name) == tx.strip(name)
-        return bad(~plain | (F.col(name) == ""), f"{name} is required")
+        # Only the letters at both ends can be stripped.
+        ends = F.concat(F.substring(name, 1, 1), F.substring(name, -1, 1))
+        return bad((ends == "") | ends.rlike(tx.SPACE), f"{name} is required")
 
     def outside_unit(name: str) -> Column:
         return bad(~F.col(name).between(0.0, 1.0), f"{name} must be between 0 and 1")
@@ -207,25 +208,27 @@ def cell_report(
     maximum_recent_regression: float = 0.02,
 ) -> DataFrame:
     """State and evidence of every capability cell."""
-    independent = durable(independent_rows(outcomes))
+
+    def serious(name):
+        return F.size(F.filter(name, lambda v: v["severity"].isin(*vocab.SERIOUS)))
+
+    # Only what the report reads is regrouped and stored; outcome rows are wide.
+    independent = durable(independent_rows(outcomes.select(
+        "capability_cell_id", "task_group", "completed_at", "outcome_id", "risk", "verified",
+        "independent_verifier", "acceptable", "classifier_confidence",
+        (serious("safety_violations") + serious("policy_violations")).alias("serious"))))
     checked = F.col("verified") & F.col("independent_verifier")
     good = checked & F.col("acceptable")
     calibrated = checked & F.col("classifier_confidence").isNotNull()
     # Summed as decimals: the mean does not depend on the order of the rows.
     miss = (F.col("classifier_confidence") - nx.flag(F.col("acceptable"))).cast("decimal(13,12)")
     gap = (miss * miss).cast("decimal(26,24)")
-
-    def serious(name):
-        return F.size(F.filter(name, lambda v: v["severity"].isin(*vocab.SERIOUS)))
-
     stats = independent.groupBy("capability_cell_id").agg(
         F.first("risk").alias("risk"),
         F.count_if(checked).alias("independent_verified_samples"),
         F.count_if(good).alias("accepted_samples"),
         (F.sum(F.when(calibrated, gap)).cast("double") / F.count_if(calibrated)).alias("brier"),
-        F.sum(serious("safety_violations") + serious("policy_violations")).alias(
-            "serious_failure_count"
-        ),
+        F.sum("serious").alias("serious_failure_count"),
     )
     trend = recent_regression(independent.filter(checked))
     n, accepted = F.col("independent_verified_samples"), F.col("accepted_samples")
@@ -549,8 +552,11 @@ def leakage_audit(rows: DataFrame) -> DataFrame:
 
 
 def outcome_job(raw: DataFrame, epochs: int = 0, current_stage: str = "shadow") -> dict[str, DataFrame]:
-    """Normalise once, then cells, targets and rollout from the same stored rows."""
-    checked = durable(normalize_outcomes(raw))
+    """Problems, sound outcomes, cells, targets and rollout of the same raw rows.
+
+    Outcome rows are wide, so they are not stored: each table normalises again what it reads of them.
+    """
+    checked = normalize_outcomes(raw)
     sound = checked.filter(F.col("problem").isNull())
     cells = durable(cell_report(sound))
     totals = cell_totals(cells)

@@ -54,8 +54,9 @@ _INDEPENDENT = """ind AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 @query("win_01_independent_rows",
        with_sql("", "o").rstrip() + f", {_INDEPENDENT} SELECT capability_cell_id, outcome_id FROM ind")
 def _(spark, sf_dir):
-    return oc.independent_rows(base.sound_outcomes(spark, sf_dir)).select(
-        "capability_cell_id", "outcome_id")
+    rows = base.sound_outcomes(spark, sf_dir).select(
+        "capability_cell_id", "task_group", "completed_at", "outcome_id")
+    return oc.independent_rows(rows).select("capability_cell_id", "outcome_id")
 
 
 _TREND = """ver AS (SELECT * FROM ind WHERE verified AND independent_verifier),
@@ -72,8 +73,10 @@ trend AS (SELECT capability_cell_id, CASE WHEN max(n) < 40 THEN 0.0::DOUBLE ELSE
        with_sql("", "o").rstrip() + f""", {_INDEPENDENT}, {_TREND}
 SELECT capability_cell_id, round(reg, 9) AS recent_regression FROM trend""")
 def _(spark, sf_dir):
-    rows = oc.independent_rows(base.sound_outcomes(spark, sf_dir)).filter(
-        "verified and independent_verifier")
+    outcomes = base.sound_outcomes(spark, sf_dir).select(
+        "capability_cell_id", "task_group", "completed_at", "outcome_id", "verified",
+        "independent_verifier", "acceptable")
+    rows = oc.independent_rows(outcomes).filter("verified and independent_verifier")
     return oc.recent_regression(rows).withColumn("recent_regression", F.round("recent_regression", 9))
 
 
