@@ -8,24 +8,33 @@ from pyspark.sql import functions as F
 from traceloom.operators import learning as ml
 from traceloom.operators import routing as rt
 from traceloom.plans.base import query, table, with_sql
-from traceloom.plans.routing import _CHOSEN, _SETS, ranking
+from traceloom.plans.routing import _CHOSEN, _SETS, ranking, sets
 from traceloom.session import durable
 
 FAMILIES = {f"NATION_{i}": ("small", "mid", "top")[i % 3] for i in range(25)}
 
 
 def labelled_rows(spark, sf_dir):
-    """Ranking rows with their features and labels, split by task group."""
+    """Ranking rows with their features and labels, split by task group.
+
+    Option lists are left out, as these rows are stored; :func:`with_options` gives them back.
+    """
     rows = ranking(spark, sf_dir).filter("problem is null")
     signals = F.create_map(*[x for s in ("security", "migration") for x in (F.lit(s), F.col(f"signals.{s}"))])
     family = F.element_at(F.create_map(*[F.lit(x) for p in FAMILIES.items() for x in p]), F.col("chosen_model_id"))
     rows = rows.select(
-        "row_id", "task_group", "risk", "verification_floor", "estimated_input_tokens", "dependency_count",
+        F.concat_ws("/", "task_id", "subtask_id").alias("row_id"), "catalog_hash", "task_group", "risk", "verification_floor", "estimated_input_tokens", "dependency_count",
         F.lit(1).alias("subtask_count"), "eligible_option_count", "required_capabilities", "boundary_states",
-        signals.alias("signals"), "candidates", "chosen_option_id", "chosen_model_id", "chosen_effort",
+        signals.alias("signals"), "chosen_option_id", "chosen_model_id", "chosen_effort",
         family.alias("family"), F.col("chosen_effort").alias("effort"),
         ml.exact_label(F.col("chosen_model_id"), F.col("chosen_effort")).alias("label"))
-    return rt.group_split(ml.feature_columns(rows), rows.select("task_group"))
+    features = ml.feature_columns(rows).drop("verification_floor", "boundary_states", "signals")
+    return rt.group_split(features, rows.select("task_group"))
+
+
+def with_options(spark, sf_dir, rows):
+    """Rows of :func:`labelled_rows` with the options of their requirements."""
+    return sets(spark, sf_dir, subtasks=rows).drop("cell", "rejected_models", "list_hash", "problem")
 
 
 _LABELLED = f"""{_SETS}, {_CHOSEN},
@@ -45,7 +54,8 @@ SELECT count(*) AS rows, TRUE AS ordered FROM le""",
 def _(spark, sf_dir):
     rows = durable(labelled_rows(spark, sf_dir))
     model = ml.fit(rows.filter("split = 'train'"), LogisticRegression(maxIter=20))
-    judged = ml.judge(ml.predict(model, rows.filter("split = 'eval'")))
+    predicted = ml.predict(model, rows.filter("split = 'eval'"))
+    judged = ml.judge(with_options(spark, sf_dir, predicted))
     return rt.prediction_metrics(judged).select(
         "rows", (F.col("option_accuracy") <= F.col("model_accuracy")).alias("ordered"))
 
@@ -54,7 +64,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = durable(labelled_rows(spark, sf_dir))
     model = ml.fit_two_level(rows.filter("split = 'train'"))
-    predicted = ml.predict_two_level(model, rows.filter("split = 'eval'"))
+    predicted = with_options(
+        spark, sf_dir, ml.predict_two_level(model, rows.filter("split = 'eval'")))
     option = ml.resolve_family(F.col("candidates"), FAMILIES, F.col("p_family"), F.col("p_effort"))
     return predicted.select(
         (F.col("confidence") <= F.col("family_confidence") + 1e-9).alias("bounded"),
