@@ -87,3 +87,31 @@ def test_stored_classifier_rows_hold_no_option_lists(spark):
     rows = learning.labelled_rows(spark, SF)
     assert "candidates" not in rows.columns
     assert learning.with_options(spark, SF, rows).filter("size(candidates) < 2").count() == 0
+
+
+def test_decided_rows_and_token_sets_are_stored_narrow(spark, monkeypatch):
+    from traceloom.operators import dedup
+    from traceloom.plans import traces
+
+    stored = []
+    kept = dedup.durable
+    monkeypatch.setattr(dedup, "durable", lambda df: stored.append(kept(df)) or stored[-1])
+    traces.decided_documents(spark, SF, 100)
+    results = [df for df in stored if "decision" in df.columns]
+    assert results
+    for df in results:
+        assert df.schema["prompt_tokens"].dataType.elementType.typeName() == "long"
+        assert df.filter("kind = 'row' and prompt_tokens is not null").count() == 0
+    assert stored[0].filter("task_tokens is not null").count() == 0
+
+
+def test_postings_of_pairs_hold_no_other_tokens(spark):
+    from traceloom.operators import pairs
+
+    rows = spark.range(200).select(
+        "id", F.lit(0).alias("kind"), F.array().cast("array<boolean>").alias("flags"),
+        F.array(F.lit("a"), F.concat(F.lit("b"), F.col("id") % 50), F.lit("c"), F.lit("d")).alias("t"))
+    found = pairs.overlap_candidates(rows, "t", 0.7, False, 16, hot=40)
+    assert not {"prefix", "ordered"} & shuffled_columns(found)
+    exact = {(i, j) for i in range(200) for j in range(i + 1, 200) if i % 50 == j % 50}
+    assert exact <= {tuple(r) for r in found.collect()}
