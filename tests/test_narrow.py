@@ -115,3 +115,34 @@ def test_postings_of_pairs_hold_no_other_tokens(spark):
     assert not {"prefix", "ordered"} & shuffled_columns(found)
     exact = {(i, j) for i in range(200) for j in range(i + 1, 200) if i % 50 == j % 50}
     assert exact <= {tuple(r) for r in found.collect()}
+
+
+def test_selection_rounds_follow_what_is_taken(spark, monkeypatch):
+    from traceloom.operators import health
+
+    stored = []
+    kept = health.durable
+    monkeypatch.setattr(health, "durable", lambda df: stored.append(1) or kept(df))
+    rows = spark.range(1200).select(
+        F.concat(F.lit("c"), F.col("id") % 3).alias("candidate_id"), F.format_string("e%04d", "id").alias("entry_key"),
+        ((F.col("id") * 7919) % 1009).cast("double").alias("cost_adjusted_score"),
+        F.when((F.col("id") % 3 == 2) & (F.col("id") % 10 == 0), -2).otherwise(F.col("id") % 29 + 1)
+        .cast("long").alias("parameter_count"),
+        (F.col("id") % 300 == 0).alias("required"), F.lit(False).alias("current"))
+    budgets = spark.createDataFrame([("c0", 40), ("c1", 90), ("c2", 60)], "candidate_id string, parameter_budget long")
+    want = set()
+    data = [r.asDict() for r in rows.collect()]
+    for candidate, budget in (("c0", 40), ("c1", 90), ("c2", 60)):
+        own = [r for r in data if r["candidate_id"] == candidate]
+        used = sum(r["parameter_count"] for r in own if r["required"])
+        want |= {r["entry_key"] for r in own if r["required"]}
+        for r in sorted((r for r in own if not r["required"]), key=lambda r: (-r["cost_adjusted_score"], r["entry_key"])):
+            if used + r["parameter_count"] <= budget:
+                used += r["parameter_count"]
+                want.add(r["entry_key"])
+    assert {r.entry_key for r in health.selected_entries(rows, budgets, 0.9, block=50).collect()} == want
+    few = rows.filter("candidate_id <> 'c2'")
+    stored.clear()
+    got = {r.entry_key for r in health.selected_entries(few, budgets, 0.9, block=5).collect()}
+    assert got == {k for k in want if int(k[1:]) % 3 != 2}
+    assert len(stored) < 20
