@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from traceloom.functions import text as tx
 
 VALUES_PER_TASK = 20_000
+# Lists of pairs up to this length are sent to the outcomes.
+_SENT_PAIRS = 10_000
 
 
 def _resample(draws: int, seed: int):
@@ -117,7 +119,8 @@ def paired_deltas(outcomes: DataFrame, pairs: DataFrame, position: list[str]) ->
     """Differences left minus right at equal positions for every listed pair of methods.
 
     ``outcomes`` has (method, *position, value), ``pairs`` (pair, left_method, right_method).
-    The sum of signed values per (pair, position) replaces a join of the two sides.
+    The sum of signed values per (pair, position) replaces a join of the two sides. A method may have
+    most of the rows, so the list of pairs, when short, is sent to them instead of a shuffle by method.
     """
     signed = pairs.select(
         "pair",
@@ -128,6 +131,8 @@ def paired_deltas(outcomes: DataFrame, pairs: DataFrame, position: list[str]) ->
             )
         ).alias("s"),
     ).select("pair", "s.method", "s.sign")
+    if pairs.count() <= _SENT_PAIRS:
+        signed = F.broadcast(signed)
     return (
         outcomes.join(signed, "method")
         .groupBy("pair", *position)
