@@ -9,7 +9,7 @@ from traceloom import vocab
 from traceloom.functions import hashing as hx
 from traceloom.functions import numeric as nx
 from traceloom.functions import text as tx
-from traceloom.session import durable, with_position
+from traceloom.session import durable, sent_if_few, with_position
 
 VIOLATIONS = "array<struct<code:string,severity:string>>"
 HASHES = (
@@ -143,7 +143,7 @@ def normalize_outcomes(rows: DataFrame) -> DataFrame:
             "estimated_input_tokens", "cost_amount", "latency_ms", "retries", "completed_at")],
         F.when(F.col("__supplied") != F.col("capability_cell_id"), "capability cell mismatch"),
     ]
-    repeated = (
+    repeated = sent_if_few(
         rows.groupBy("outcome_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         .select("outcome_id", F.lit("duplicate outcome_id").alias("__repeat"))
     )
