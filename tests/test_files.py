@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from traceloom.functions import text as tx
@@ -174,3 +175,47 @@ def test_redaction_edges(spark):
     got = [r[0] for r in rows.orderBy("i").select(tx.redact_text("t")).collect()]
     assert got == ["mail [REDACTED_EMAIL]", "Authorization=[REDACTED_SECRET] [REDACTED_TOKEN]",
                    "api_key=[REDACTED_SECRET]'", "[REDACTED_KEY]", "[REDACTED_KEY]"]
+
+
+def test_a_job_costs_one_read_and_one_write_of_state_a_batch():
+    class Held:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema, ttlDurationMs=None):
+            return Held()
+
+    judge = jobs.HealthProcessor()
+    judge.init(Handle())
+    row = Row("job_id", "update", *jobs.HEALTH_COLUMNS)
+    late = [row("j", i, 0.9, 0.0, 0.8, 0.0) for i in range(300, 0, -1)]
+    assert list(judge.handleInputRows(("j",), iter(late), None)) == []  # all wait for update 0
+    found = list(judge.handleInputRows(("j",), iter([row("j", 0, 0.9, 0.0, 0.8, 0.0)]), None))
+    assert [r["update"] for r in found] == list(range(2, 301))
+    assert Held.calls == ["get", "update"] * 2
+
+
+def test_live_rules_skip_nulls_as_the_batch_rules_do(spark, tmp_path):
+    from traceloom.operators import health
+
+    log = spark.createDataFrame(
+        [("j", i, None if i % 3 == 0 else 0.9, None if i % 2 else 1.0, None if i < 30 else 0.1, None)
+         for i in range(60)] + [("k", i, None, None, None, None if i % 4 else 1.0) for i in range(20)],
+        "job_id string, update long, kl_divergence double, zero_variance_group double, "
+        "completion_diversity double, hard_limit_fraction double")
+    log.coalesce(1).write.parquet(str(tmp_path / "log"))
+    arrivals = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
+    for name, limits in (("least", {}), ("mean", {"kl_abort_window": 25})):
+        got = jobs.drained(jobs.health_stream(arrivals, limits), str(tmp_path / name))
+        want = health.health_abort(log, limits).filter("abort_reason is not null")
+        rows = sorted(map(tuple, got.collect()))
+        assert rows == sorted(map(tuple, want.select("job_id", "update", "abort_reason").collect()))
+        assert {r[0] for r in rows} == {"j", "k"}
