@@ -219,3 +219,76 @@ def test_live_rules_skip_nulls_as_the_batch_rules_do(spark, tmp_path):
         rows = sorted(map(tuple, got.collect()))
         assert rows == sorted(map(tuple, want.select("job_id", "update", "abort_reason").collect()))
         assert {r[0] for r in rows} == {"j", "k"}
+
+
+_EDGE = tx._EDGE
+RULES = (  # as they read when every position is tried in full
+    (rf"(?iu){_EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{_EDGE}", "[REDACTED_EMAIL]"),
+    (rf"(?iu){_EDGE}Bearer{tx.SPACE}+[A-Za-z0-9._~+/=-]{{12,}}", "Bearer [REDACTED_TOKEN]"),
+    (rf"(?iu){_EDGE}(api[_-]?key|token|secret|password|passwd|authorization|bearer){_EDGE}"
+     rf"{tx.SPACE}*[:=]{tx.SPACE}*['\"]?([^'\"\s\x0B\x1C-\x1F\x85\p{{Z}},;]+)", "$1=[REDACTED_SECRET]"),
+    (rf"{_EDGE}(?:sk-[A-Za-z0-9_-]{{12,}}|[A-Za-z0-9_-]{{20,}}\.[A-Za-z0-9_-]{{20,}}\.[A-Za-z0-9_-]{{20,}}"
+     rf"|[A-Za-z0-9_-]{{32,}}){_EDGE}", "[REDACTED_KEY]"),
+)
+
+
+def in_full(value):
+    for rule, replacement in RULES:
+        value = F.regexp_replace(value, rule, replacement)
+    return value
+
+
+def odd_texts(count):
+    import random
+
+    parts = ["api", "apı", "_", "-", "key", "toKen", "ſecret", "SECRET", "paſsword", "passwd", "authorızation",
+             "AUTHORİZATION", "Bearer", "bearer", " ", "\x1c", "\n", ":", "=", "'", "@", "a@b.co", "x.y+z@",
+             "K@mail.org", ".", ",", "é", "é", "中", "𝒜", "sk-", "abcdefghijkl", "a" * 20, "B" * 32,
+             "-" * 15, "9" * 19, "/", "~", "i̇", "." + "q" * 20 + "." + "r" * 20, "task-"]
+    draw = random.Random(11)
+    return ["".join(draw.choice(parts) for _ in range(draw.randint(1, 14))) for _ in range(count)]
+
+
+def test_redaction_is_that_of_the_rules_in_full(spark):
+    from traceloom.functions import jsonx as jx
+
+    texts = odd_texts(20_000)
+    rows = spark.createDataFrame([(t,) for t in [None, "", *texts]], "t string")
+    both = rows.select("t", tx.redact_text("t").alias("a"), in_full(F.col("t")).alias("b"))
+    assert both.filter("not (a <=> b)").count() == 0 and both.filter("a <> t").count() > 1000
+    for text in texts:
+        plain = text
+        for rule, replacement in jx._PY_RULES:
+            plain = rule.sub(replacement, plain)
+        assert jx._clean(text) == plain
+
+
+def test_redaction_passes_over_plain_prose_cheaply(spark):
+    import time
+
+    from traceloom.functions import jsonx as jx
+
+    prose = "The quiet garden behind the station, where nothing is kept, was described twice. " * 400
+    rows = spark.range(640).select(F.concat(F.lit(prose), F.col("id").cast("string")).alias("t")).persist()
+    assert rows.count() == 640
+
+    def least(run):
+        taken = []
+        for _ in range(4):
+            start = time.perf_counter()
+            run()
+            taken.append(time.perf_counter() - start)
+        return min(taken)
+
+    def read(value):
+        return lambda: rows.select(F.sum(F.length(value))).first()
+
+    def all_rules():
+        for rule, replacement in jx._PY_RULES:
+            rule.sub(replacement, prose)
+
+    spent, full = least(read(tx.redact_text("t"))), least(read(in_full(F.col("t"))))
+    rows.unpersist()
+    assert spent < 0.7 * full, (spent, full)
+    spent, full = least(lambda: jx._clean(prose)), least(all_rules)
+    assert spent < 0.7 * full, (spent, full)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 import regex
@@ -75,13 +76,41 @@ _PY_RULES = (
     ),
 )
 _PY_SECRET_KEY = regex.compile(tx.SECRET_KEY_NAME)
+_PY_KEY_NAMES = ("key", "token", "secret", "password", "passwd", "authorization", "bearer")
+# A run that only a text with a long key can hold.
+_PY_RUN = re.compile(r"[A-Za-z0-9_-]{20}|sk-")
+
+
+def _folded(text: str) -> str:
+    """Lower case, with the letters that a rule takes for i, k or s although their lower case is another."""
+    text = text.lower()
+    if not text.isascii():
+        for letter, plain in (("\u0130", "i"), ("\u0131", "i"), ("i\u0307", "i"), ("\u017f", "s")):
+            text = text.replace(letter, plain)
+    return text
+
+
+def _redacted(text: str) -> str:
+    """The rules, each only where the text holds what its matches cannot do without."""
+    def run(place: int) -> str:
+        rule, replacement = _PY_RULES[place]
+        return rule.sub(replacement, text)
+
+    if "@" in text:
+        text = run(0)
+    folded = _folded(text)
+    if "bearer" in folded:
+        text = run(1)
+    if any(name in folded for name in _PY_KEY_NAMES):
+        text = run(2)
+    if _PY_RUN.search(text):
+        text = run(3)
+    return text
 
 
 def _clean(node):
     if isinstance(node, str):
-        for rule, replacement in _PY_RULES:
-            node = rule.sub(replacement, node)
-        return node
+        return _redacted(node)
     if isinstance(node, list):
         return [_clean(item) for item in node]
     if isinstance(node, dict):

@@ -13,15 +13,17 @@ _WORD = r"[\p{L}\p{N}_]"
 # A word border that is Unicode-aware on every Java version.
 _EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
-# The four redaction rules, in the order they must run.
-_EMAIL = rf"(?iu){_EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{_EDGE}"
-_BEARER = rf"(?iu){_EDGE}Bearer{SPACE}+[A-Za-z0-9._~+/=-]{{12,}}"
+# The four redaction rules, in the order they must run. A matcher tries every position,
+# so each rule rules most of them out by the next characters before it looks for a border.
+_EMAIL = rf"(?iu){_EDGE}[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{{2,}}{_EDGE}"
+_BEARER = rf"(?iu)(?-iu:(?=[Bb]))(?<!{_WORD})Bearer{SPACE}+[A-Za-z0-9._~+/=-]{{12,}}"
 _ASSIGNMENT = (
-    rf"(?iu){_EDGE}(api[_-]?key|token|secret|password|passwd|authorization|bearer){_EDGE}"
+    rf"(?iu)(?-iu:(?=[AaBbPpSsTtſ][AaEeOoPpUu]))(?<!{_WORD})"
+    rf"(api[_-]?key|token|secret|password|passwd|authorization|bearer)(?!{_WORD})"
     rf"{SPACE}*[:=]{SPACE}*['\"]?([^'\"\s\x0B\x1C-\x1F\x85\p{{Z}},;]+)"
 )
 _LONG_KEY = (
-    rf"{_EDGE}(?:sk-[A-Za-z0-9_-]{{12,}}"
+    rf"(?=[A-Za-z0-9_-]{{15}}){_EDGE}(?:sk-[A-Za-z0-9_-]{{12,}}"
     rf"|[A-Za-z0-9_-]{{20,}}\.[A-Za-z0-9_-]{{20,}}\.[A-Za-z0-9_-]{{20,}}"
     rf"|[A-Za-z0-9_-]{{32,}}){_EDGE}"
 )
@@ -105,7 +107,8 @@ def jaccard(left: Column, right: Column) -> Column:
 
 
 def redact_text(value: Column | str) -> Column:
-    text = F.regexp_replace(as_col(value), _EMAIL, "[REDACTED_EMAIL]")
+    text = as_col(value)
+    text = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, _EMAIL, "[REDACTED_EMAIL]")).otherwise(text)
     text = F.regexp_replace(text, _BEARER, "Bearer [REDACTED_TOKEN]")
     text = F.regexp_replace(text, _ASSIGNMENT, f"$1={REDACTED_SECRET}")
     return F.regexp_replace(text, _LONG_KEY, "[REDACTED_KEY]")
