@@ -5,10 +5,13 @@ import hashlib
 import itertools
 import random
 import re
+import sys
+from unittest import mock
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -201,6 +204,51 @@ def test_coded_documents(spark, documents, library):
     assert bpe.digests(none, RANKS, PATTERN).collect() == []
 
 
+def test_digests_take_one_worker_per_task_and_equal_the_two_steps(spark, documents):
+    once = bpe.digests(documents, RANKS, PATTERN)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[", plan)) == 1
+    both = bpe.decode(bpe.encode(documents, RANKS, PATTERN), RANKS, PATTERN).select(
+        "doc_id", "encoded.n_tokens", F.sha2("encoded.ids", 256), F.sha2("decoded", 256))
+    assert sorted(map(str, map(tuple, once.collect()))) == sorted(map(str, map(tuple, both.collect())))
+
+
+def test_workers_send_results_on_before_a_batch_ends(own):
+    texts = pa.array([f"{k} " + "word, " * 2000 for k in range(2000)] + [None, ""])
+    packed = pa.array([own.encode(t or "") for t in texts.to_pylist()], pa.binary())
+    for step, column in (("encode", texts), ("decode", packed), ("round_trip", texts)):
+        sent = list(results_of(step, column))
+        assert len(sent) > 1 and max(x.nbytes for x in sent) < 2 * bpe.SENT_BYTES
+        whole = pa.concat_arrays(sent)
+        want = [("" if t is None else t).encode() for t in texts.to_pylist()]
+        if step != "decode":
+            assert whole.field("ids").to_pylist() == packed.to_pylist()
+            assert whole.field("n_tokens").to_pylist() == [len(x) // 4 for x in packed.to_pylist()]
+        if step != "encode":
+            assert (whole if step == "decode" else whole.field("decoded")).to_pylist() == want
+
+
+def results_of(step, column):
+    """What the operator's worker yields for one batch, run here without Spark."""
+    made = {}
+    table = mock.MagicMock()
+    with open(RANKS, "rb") as file:
+        table.sparkSession.sparkContext.broadcast.return_value.value = (file.read(), PATTERN, bpe.stand_ins(PATTERN))
+    with mock.patch.object(bpe.F, "arrow_udf", lambda kind: lambda f: made.setdefault("f", f) and mock.MagicMock()), \
+            mock.patch.object(bpe.F, "col"):
+        getattr(bpe, step)(table, RANKS, PATTERN)
+    return made["f"](iter([column]))
+
+
+def test_kept_pieces_are_bounded_in_bytes():
+    """Pieces of scripts with many tokens a letter fill the store before it holds its number of pieces."""
+    kept = bpe._Kept(bpe.KEPT, lambda text: bytes(512))
+    for k in range(200_000):
+        assert kept[f"{k:032d}"] == bytes(512)
+    size = sum(sys.getsizeof(a) + sys.getsizeof(b) for part in (kept, kept.older) for a, b in part.items())
+    assert size <= 2 * bpe.KEPT_BYTES + 2000
+
+
 # ---------------------------------------------------------------- filter audit
 
 

@@ -16,6 +16,7 @@ from heapq import heappop, heappush
 from itertools import islice
 from math import isqrt
 from struct import pack
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,13 @@ from pyspark.sql import functions as F
 
 #: Pieces kept encoded per worker and generation, of at most so many characters each.
 KEPT, KEPT_CHARS = 300_000, 32
+#: Bytes of pieces and ids of a generation, whatever the script; common words stay below with ``KEPT`` pieces.
+KEPT_BYTES = 48 << 20
+#: Bytes of results at which a worker sends them on; a batch of Spark's may hold 10,000 texts.
+SENT_BYTES = 4 << 20
 _BLOCK = 50_000
 _ENCODED = "struct<n_tokens: bigint, ids: binary>"
+_BOTH = "struct<n_tokens: bigint, ids: binary, decoded: binary>"
 
 
 class Ranks:
@@ -225,12 +231,12 @@ def _any_of(points: list[int]) -> re.Pattern | None:
 
 
 class _Kept(dict):
-    """Encoded short texts in two generations of fixed size: the older one goes when this one is full,
-    and texts that are met again come over from it, so frequent ones stay."""
+    """Encoded short texts in two generations of fixed size, in texts and in bytes: the older one goes when
+    this one is full, and texts that are met again come over from it, so frequent ones stay."""
 
     def __init__(self, most: int, make: Callable[[str], bytes]):
         super().__init__()
-        self.most, self.make = most, make
+        self.most, self.make, self.bytes = most, make, 0
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
@@ -238,10 +244,12 @@ class _Kept(dict):
         if ids is None:
             ids = self.make(text)
         if len(text) <= KEPT_CHARS:
-            if len(self) >= self.most:
+            if len(self) >= self.most or self.bytes >= KEPT_BYTES:
                 self.older = dict(self)
                 self.clear()
+                self.bytes = 0
             self[text] = ids
+            self.bytes += getsizeof(text) + getsizeof(ids)
         return ids
 
 
@@ -257,6 +265,32 @@ def _shared(spark, path: str, pattern: str):
         return spark.sparkContext.broadcast((file.read(), pattern, stand_ins(pattern)))
 
 
+def in_runs(batches: Iterator[pa.Array], make: Callable[[str | bytes], bytes], none: str | bytes) -> Iterator[list[bytes]]:
+    """What ``make`` gives for each value, sent on at ``SENT_BYTES``, not held for a whole batch.
+
+    A worker so holds one batch of Spark's, a run of results and one value's own. ``none`` stands for
+    null; lengths of values count too, as what is decoded from a run is as long as its texts.
+    """
+    for some in batches:
+        run, size = [], 0
+        for value in some:
+            value = value.as_py() or none
+            run.append(made := make(value))
+            size += len(value) + len(made)
+            if size >= SENT_BYTES:
+                yield run
+                run, size = [], 0
+        if run:
+            yield run
+
+
+def _struct(ids: list[bytes], **others: list[bytes]) -> pa.StructArray:
+    """The number of ids, the ids and other columns of a run."""
+    columns = [pa.array(column, pa.binary()) for column in (ids, *others.values())]
+    sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
+    return pa.StructArray.from_arrays([sizes, *columns], ["n_tokens", "ids", *others])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "encoded") -> DataFrame:
     """All rows and columns, and ``into``: struct of n_tokens and ids (packed little-endian uint32).
 
@@ -271,10 +305,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
     @F.arrow_udf(_ENCODED)
     def coded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = vocabulary(*shared.value)
-        for some in texts:
-            ids = [own.encode(text.as_py() or "") for text in some]
-            sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.StructArray.from_arrays([sizes, pa.array(ids, pa.binary())], ["n_tokens", "ids"])
+        for ids in in_runs(texts, own.encode, ""):
+            yield _struct(ids)
 
     return docs.withColumn(into, coded(F.col(text)))
 
@@ -289,18 +321,35 @@ def decode(coded: DataFrame, path: str, pattern: str, ids: str = "encoded.ids",
     @F.arrow_udf("binary")
     def spelt(packed: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = vocabulary(*shared.value)
-        for some in packed:
-            yield pa.array([own.decode(x.as_py() or b"") for x in some], pa.binary())
+        for spelled in in_runs(packed, own.decode, b""):
+            yield pa.array(spelled, pa.binary())
 
     return coded.withColumn(into, spelt(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "coded") -> DataFrame:
+    """As :func:`encode`, and in the same struct ``decoded``: the bytes that the ids stand for.
+
+    :func:`decode` after :func:`encode` takes a second worker per task, with a vocabulary of its own,
+    and the ids of whole batches back and forth; here a run of ids is decoded where it was made, run by
+    run, as turns between the two for each text cost the processor's caches.
+    """
+    shared = _shared(docs.sparkSession, path, pattern)
+
+    @F.arrow_udf(_BOTH)
+    def coded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = vocabulary(*shared.value)
+        for ids in in_runs(texts, own.encode, ""):
+            yield _struct(ids, decoded=list(map(own.decode, ids)))
+
+    return docs.withColumn(into, coded(F.col(text)))
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Every text encoded and decoded again: number of ids, SHA-256 of the ids and of the bytes."""
-    coded = encode(docs.select("doc_id", "text"), path, pattern).drop("text")
-    return decode(coded, path, pattern).select(
+    return round_trip(docs.select("doc_id", "text"), path, pattern).select(
         "doc_id",
-        F.col("encoded.n_tokens").alias("n_tokens"),
-        F.sha2("encoded.ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("coded.n_tokens").alias("n_tokens"),
+        F.sha2("coded.ids", 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
