@@ -169,6 +169,23 @@ def test_updates_that_come_late_are_judged_in_order(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
 
 
+def test_no_update_is_given_up_however_many_wait(spark, tmp_path):
+    from traceloom.operators import health
+
+    log = spark.range(12_000).select(
+        F.lit("j").alias("job_id"), F.col("id").alias("update"),
+        F.when((F.col("id") < 5) | (F.col("id") % 997 < 40), 0.9).otherwise(0.1).alias("kl_divergence"),
+        (F.col("id") % 1000 > 975).cast("double").alias("zero_variance_group"),
+        F.lit(0.8).alias("completion_diversity"), F.lit(0.0).alias("hard_limit_fraction"))
+    for part in ("update > 0", "update = 0"):  # all others wait for the first
+        log.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    arrivals = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    got = sorted(map(tuple, jobs.drained(jobs.health_stream(arrivals), str(tmp_path / "out")).collect()))
+    want = health.health_abort(log, None).filter("abort_reason is not null").select("job_id", "update", "abort_reason")
+    assert got == sorted(map(tuple, want.collect()))
+    assert [row[1] for row in got[:3]] == [2, 3, 4] and len({row[2] for row in got}) == 2
+
+
 def test_redaction_edges(spark):
     texts = ["mail a.b@c.org", "Authorization: Bearer abcdefghijklmnop", "api_key='s3cret'", "x" * 40, "sk-" + "a" * 14]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
