@@ -16,9 +16,12 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from traceloom.llm import audit, bpe, charpoly, whitening
+from traceloom.llm import audit, bpe, charpoly, common, jaccard, whitening
+from traceloom.llm.common import may_hold
 from traceloom.llm.queries import AUDIT_SQL
 
+from test_methods import brute_components  # noqa: I001
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 NAN, INF = float("nan"), float("inf")
@@ -337,3 +340,52 @@ def test_audit_sql_says_the_same():
     names = [d[0] for d in con.execute(AUDIT_SQL).description]
     assert names[3:] == ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
     assert {r[:3]: list(r[3:]) for r in con.fetchall()} == plain_audit(DOCS, LABELS)
+
+
+def test_lines_that_many_texts_hold_chain_no_large_group(spark, monkeypatch):
+    """Texts of two fifths common lines are no near copies, and are not all held against each other."""
+    pick = random.Random(4)
+    lines = [" ".join(f"c{line}x{i}" for i in range(24)) for line in range(20)]
+    rows = []
+    for doc in range(500):
+        own = " ".join(f"d{doc}y{i}" for i in range(70))
+        rows.append((doc, " ".join([own, *pick.sample(lines, 2)])))
+    rows += [(1000 + doc, rows[doc][1] + " end") for doc in range(0, 40)]
+    placed, tiles = [], jaccard._tiles
+    monkeypatch.setattr(jaccard, "_tiles", lambda members, percent: (
+        placed.append(members.groupBy("comp").count().agg({"count": "max"}).first()[0]), tiles(members, percent))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs, 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80)
+    assert len(set(c for _, c in got.values())) == 500
+    assert placed[0] < 100, placed  # one group of over 200 before
+
+
+def test_near_copies_without_a_broadcast_of_rows(spark, monkeypatch):
+    """Beyond the limit of a broadcast, only texts that may be copies are moved, and nothing else changes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.union(docs.filter("doc_id % 9 = 0")).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    want = sorted(map(str, jaccard.one_per_group(docs, 5, 80).collect()))
+    parts = sorted(map(str, jaccard.components(docs).collect()))
+    filtered = []
+
+    def spy(df, *args, how="left_semi"):
+        out = common.may_hold(df, *args, how=how)
+        filtered.append((how, df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "may_hold", spy)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, jaccard.one_per_group(docs, 5, 80).collect())) == want
+    assert sorted(map(str, jaccard.components(docs).collect())) == parts
+    assert {how for how, _, _ in filtered} == {"left_semi", "left_anti"}
+    assert all(out < rows for _, rows, out in filtered)
+
+
+def test_a_bitmap_passes_every_key_and_few_others(spark):
+    table = spark.range(0, 3000, 3).withColumn("b", F.when(F.col("id") % 2 == 0, F.col("id")))
+    rows = spark.range(3000).withColumn("b", F.when(F.col("id") % 2 == 0, F.col("id")))
+    held = {r[0] for r in may_hold(rows, table, "id", "b").collect()}
+    assert held >= set(range(0, 3000, 3)) and len(held) < 1010
+    assert {r[0] for r in may_hold(rows, table, "id", "b", how="left_anti").collect()} == set(range(3000)) - held
+    assert may_hold(rows, table.limit(0), "id").count() == 0

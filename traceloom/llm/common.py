@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from traceloom.session import durable
 
-__all__ = ["attach", "durable", "free_name", "pieces", "unit_interval"]
+__all__ = ["attach", "durable", "free_name", "may_hold", "pieces", "unit_interval"]
 
 #: Rows up to which a per-key table may be broadcast; larger ones are joined by a salted shuffle.
 BROADCAST_ROWS = 100_000
 _SALTS = 32
+#: Bits of the whole bitmap of :func:`may_hold` (8 MB) and of one of its rows, as powers of two.
+_MAP_BITS, _CELL_BITS = 26, 15
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -52,3 +54,18 @@ def attach(df: DataFrame, table: DataFrame, key: str, limit: int = BROADCAST_ROW
     many = table.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     on = salted[key].eqNullSafe(many[key]) & (F.col("__salt") == F.col("__of"))
     return salted.join(many, on, "left").drop(many[key]).drop("__salt", "__of")
+
+
+def may_hold(df: DataFrame, table: DataFrame, *keys: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose keys ``table`` may hold, or with ``left_anti`` those it surely does not.
+
+    The hashed keys of ``table`` are broadcast as a bitmap of fixed size, however many they are, so
+    ``df`` is not moved. Rows that share their bit with another key pass too.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << _MAP_BITS))
+    cell = F.shiftright(place, _CELL_BITS)
+    bit = place.bitwiseAND(F.lit((1 << _CELL_BITS) - 1))
+    maps = table.groupBy(cell.alias("__cell")).agg(F.bitmap_construct_agg(bit).alias("__map"))
+    byte = F.hex(F.substring("__map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1)))
+    held = F.getbit(F.conv(byte, 16, 10).cast("long"), F.pmod(bit, F.lit(8)).cast("int")) == 1
+    return df.join(F.broadcast(maps), (F.col("__cell") == cell) & held, how)

@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm import words as wd
-from traceloom.llm.common import BROADCAST_ROWS, durable, pieces
+from traceloom.llm.common import BROADCAST_ROWS, durable, may_hold, pieces
 from traceloom.llm.components import connected
 
 SIZE = 4
 PERCENT = 85
 #: Shingles whose hash has this many zero bits in front are counted over the whole corpus.
 _RARE_BITS = 2
+#: The same for the sets that are left by then: half of their shingles are counted.
+_LEFT_BITS = 1
 _SAME_TEXT = "xxhash64(text)"
 #: Work of one tile: shingles plus a share per set.
 _TILE = 1 << 18
@@ -72,9 +74,10 @@ def set_table(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return durable(docs.select("doc_id", F.expr(_SAME_TEXT).alias("same"), "text").mapInArrow(run, kind))
 
 
-def _entries(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _entries(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     """hash, key, packed sizes: the counted shingles of every distinct set, and a few more where
     they don't fill its prefix. A set is written once per task."""
+    most = np.uint64((1 << (64 - bits)) - 1)
 
     def run(batches):
         seen: set[int] = set()
@@ -84,7 +87,7 @@ def _entries(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if not len(own) or (key := _set_key(own)) in seen:
                     continue
                 seen.add(key)
-                counted = int(np.searchsorted(own, np.uint64(1 << (64 - _RARE_BITS))))
+                counted = int(np.searchsorted(own, most, side="right"))
                 own_n, keep = len(own), max(counted, min(len(own), _prefix(len(own), percent)))
                 hashes.append(own[:keep])
                 keys.append(np.full(keep, key, dtype=np.int64))
@@ -99,22 +102,23 @@ def _entries(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "hash long, key long, packed long")
 
 
-def _tile_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _tile_keys(docs: DataFrame, size: int, percent: int, bits: int = _RARE_BITS) -> DataFrame:
     """hash, key, n: prefix shingles that at least two distinct sets hold.
 
-    Order of shingles: counted ones by the number of sets, then by hash, then all others by hash.
-    A set whose prefix is all its own has no similar set and drops out here.
+    Counted are shingles whose hash has ``bits`` zero bits in front. Order of shingles: counted ones by
+    the number of sets, then by hash, then all others by hash. A set whose prefix is all its own has no
+    similar set and drops out here.
     """
     same = Window.partitionBy("hash")
     shared = (
-        _entries(docs, size, percent)
+        _entries(docs, size, percent, bits)
         .withColumns({"low": F.min("key").over(same), "high": F.max("key").over(same),
                       "held": F.count(F.lit(1)).over(same)})
         .filter("low < high")
         .select("hash", "key", "packed", "held")
     )
     # As signed numbers, the counted hashes lie between 0 and 2**(64 - bits).
-    other = ~F.col("hash").between(0, (1 << (64 - _RARE_BITS)) - 1)
+    other = ~F.col("hash").between(0, (1 << (64 - bits)) - 1) if bits else F.lit(False)
     listed = shared.groupBy("key", "packed").agg(
         F.array_sort(F.collect_set(F.struct(
             other.alias("other"), F.when(other, 0).otherwise(F.col("held")).alias("held"), "hash",
@@ -232,16 +236,26 @@ def _links(held: list, pair, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """same, text of the wanted texts, not moved. Where they are many, a few others come with them."""
+    texts = docs.select(F.expr(_SAME_TEXT).alias("same"), "text")
+    if wanted.count() <= BROADCAST_ROWS:
+        return texts.join(F.broadcast(wanted), "same", "left_semi")
+    return may_hold(texts, wanted, "same")
+
+
 def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(a, b) between set keys, with the components of all links of at least ``percent``."""
-    keys = durable(_tile_keys(docs, size, percent))
-    groups = connected(_candidates(keys, percent)).select(
-        F.col("node").alias("key"), F.col("root").alias("comp"))
+    # A set is rare enough to drop out where its own shingles fill the prefix. Lines that many texts hold
+    # leave some sets a few short of it, and those would chain all their like into one group; counted once
+    # more, among the sets that are left, nearly all of them drop out.
+    chained = _candidates(_tile_keys(docs, size, percent), percent)
+    left = chained.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     first = sets.filter("n > 0").groupBy("key").agg(F.min("same").alias("same"), F.first("n").alias("n"))
+    some = _texts(docs, durable(left.join(first, "key").select("same")))
+    groups = connected(_candidates(_tile_keys(some, size, percent, _LEFT_BITS), percent)).select(
+        F.col("node").alias("key"), F.col("root").alias("comp"))
     members = durable(groups.join(first, "key"))
-    wanted = members.select("same")
-    if members.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
 
     def run(batches):
         seen: set[int] = set()
@@ -254,8 +268,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PER
                  pa.array([o.tobytes() for o in own], pa.binary())], names=["key", "own"])
 
     # Copies of a text are read once per task; the comparison drops what comes from several tasks.
-    texts = docs.select(F.expr(_SAME_TEXT).alias("same"), "text").join(wanted, "same", "left_semi")
-    arrays = texts.mapInArrow(run, "key long, own binary")
+    arrays = _texts(docs, members.select("same")).mapInArrow(run, "key long, own binary")
     tiles = _tiles(members.drop("same"), percent)
     met = tiles.join(arrays, "key").select("comp", "low", "high", "tile", "key", "own")
     pairs = met.repartition("comp", "low", "high").sortWithinPartitions("comp", "low", "high")
@@ -296,22 +309,34 @@ def one_per_group(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "same")
     first = found.groupBy("group").agg(F.min(order).alias("first"))
     marked = found.join(first, "group").withColumn("kept", order == F.col("first"))
-    gone = _checked(marked.filter(~F.col("kept")).select("doc_id", "same").distinct())
-    again = _checked(
+    gone = durable(marked.filter(~F.col("kept")).select("doc_id", "same").distinct())
+    again = durable(
         marked.filter("kept").groupBy("doc_id", "same").count().filter("count > 1").select("doc_id", "same"))
     whole = docs.select(F.struct("*").alias("__doc"), F.col("doc_id"), F.expr(_SAME_TEXT).alias("same"))
 
-    def match(other):
-        return whole["doc_id"].eqNullSafe(other["doc_id"]) & (whole["same"] == other["same"])
-
-    left = whole.join(gone, match(gone), "left_anti")
-    if not again.limit(1).count():
+    left = _without(whole, gone)
+    if again.isEmpty():
         return left.select("__doc.*")
-    once = left.join(again, match(again), "left_semi").groupBy("doc_id", "same").agg(F.first("__doc").alias("__doc"))
-    return left.join(again, match(again), "left_anti").select("__doc.*").union(once.select("__doc.*"))
+    once = _match(_maybe(left, again), again, "left_semi").groupBy("doc_id", "same").agg(
+        F.first("__doc").alias("__doc"))
+    return _without(left, again).select("__doc.*").union(once.select("__doc.*"))
+
+
+def _few(rows: DataFrame) -> bool:
+    return rows.count() <= BROADCAST_ROWS
+
+
+def _maybe(whole: DataFrame, rows: DataFrame) -> DataFrame:
+    return whole if _few(rows) else may_hold(whole, rows, "doc_id", "same")
+
+
+def _match(whole: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Join on document and text; few rows are broadcast."""
+    rows = F.broadcast(rows) if _few(rows) else rows
+    return whole.join(rows, whole["doc_id"].eqNullSafe(rows["doc_id"]) & (whole["same"] == rows["same"]), how)
 
 
-def _checked(rows: DataFrame) -> DataFrame:
-    """Written once, and broadcast where it has few enough rows."""
-    rows = durable(rows)
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def _without(whole: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents that are not among the rows. Where those are many, only what may be one is shuffled."""
+    left = _match(_maybe(whole, rows), rows, "left_anti")
+    return left if _few(rows) else left.union(may_hold(whole, rows, "doc_id", "same", how="left_anti"))
