@@ -323,6 +323,24 @@ def test_audit_takes_back_what_smaller_ids_undo(spark, tmp_path, monkeypatch, sa
     assert audited(audit.audit(stream, labels)) == plain_audit(DOCS, LABELS)
 
 
+def test_many_labels_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Labels of a small file were repeated 32 times and then all sent to the driver to be broadcast."""
+    labels = [(i, i % 2, i % 3) for i in range(3000)]
+    docs = [*DOCS, *[(11, f"text {i % 40}", "en") for i in range(60)], *[(None, f"text {i}", "en") for i in range(60)]]
+    monkeypatch.setattr(audit, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(audit, "_HOT_ROWS", 50)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    stream = files_in_turn(spark, tmp_path, [docs[::2], docs[1::2]])
+    assert audited(audit.audit(stream, table)) == plain_audit(docs, labels)
+    table.coalesce(1).write.parquet(f"{tmp_path}/labels")
+    named = audit.label_bits(spark.read.parquet(f"{tmp_path}/labels"))
+    rows = spark.read.parquet(f"{tmp_path}/docs")
+    for joined in (audit.facts(rows, named, few=False), common.attach(rows, named, "doc_id", limit=0)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        # Only ids of very many rows are broadcast, here one.
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 2 * ("hot" in plan), plan
+
+
 def test_audit_of_one_file_and_of_nothing(spark, tmp_path):
     labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
     stream = files_in_turn(spark, tmp_path, [DOCS])

@@ -30,6 +30,8 @@ SIGNS = "[#$%&*|]"
 BATCHES = 4
 _COPY = 1 << FILTERS.index("E")
 _SALTS = 32
+#: Rows of one id in a micro-batch beyond which they are spread over salts.
+_HOT_ROWS = 10_000
 _STATE = "key binary, part string, mask int, good boolean, toxic boolean, low long, n_low long, n long"
 _CHANGE = "part string, mask int, good boolean, toxic boolean, n long"
 
@@ -62,7 +64,9 @@ def facts(docs: DataFrame, named: DataFrame, few: bool) -> DataFrame:
     """One narrow row per document: text digest, part, mask, label bits and doc_id.
 
     Null texts are empty ones and null languages the empty part. ``few`` labelled ids are broadcast;
-    more meet the documents by (id, salt of the text), so an id or null that many rows carry is spread.
+    more are shuffled once, by id. Only an id or null that many rows carry is spread by (id, salt of the
+    text), and only such ids are repeated for it. Spark estimates the labels from their file and would
+    send them all to the driver to broadcast them, hence the hint.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -75,10 +79,17 @@ def facts(docs: DataFrame, named: DataFrame, few: bool) -> DataFrame:
     if few:
         joined = rows.join(F.broadcast(named), "doc_id", "left")
     else:
+        hot = F.broadcast(durable(
+            docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
+            .filter((F.col("count") > _HOT_ROWS) & F.col("doc_id").isNotNull())
+            .select("doc_id", F.lit(True).alias("hot"))
+        ))
         salt = F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")
-        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-        joined = rows.withColumn("salt", salt).join(
-            named.withColumn("salt", salts), ["doc_id", "salt"], "left"
+        spread = F.when(F.col("hot") | F.col("doc_id").isNull(), salt).otherwise(0)
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+        salted = named.join(hot, "doc_id", "left").withColumn("salt", F.explode(salts)).drop("hot")
+        joined = rows.join(hot, "doc_id", "left").withColumn("salt", spread).join(
+            salted.hint("merge"), ["doc_id", "salt"], "left"
         )
     return joined.select(
         "key", "part", "mask", F.coalesce("good", F.lit(False)).alias("good"),

@@ -45,7 +45,8 @@ def attach(df: DataFrame, table: DataFrame, key: str, limit: int = BROADCAST_ROW
 
     ``table`` is counted: up to ``limit`` rows it is broadcast and ``df`` is not moved. Beyond that
     both sides are shuffled on (key, salt) and the small side is repeated once per salt, so that
-    the rows of a hot key are spread over many tasks.
+    the rows of a hot key are spread over many tasks. Spark takes the repeated side for as small as the
+    file it comes from, hence the hint that it is not to be broadcast.
     """
     match = df[key].eqNullSafe(table[key])
     if table.count() <= limit:
@@ -53,7 +54,7 @@ def attach(df: DataFrame, table: DataFrame, key: str, limit: int = BROADCAST_ROW
     salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))
     many = table.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     on = salted[key].eqNullSafe(many[key]) & (F.col("__salt") == F.col("__of"))
-    return salted.join(many, on, "left").drop(many[key]).drop("__salt", "__of")
+    return salted.join(many.hint("merge"), on, "left").drop(many[key]).drop("__salt", "__of")
 
 
 def may_hold(df: DataFrame, table: DataFrame, *keys: str, how: str = "left_semi") -> DataFrame:
