@@ -243,3 +243,23 @@ def test_rows_stay_where_they_are_while_repeats_are_few(spark):
         spark.conf.set(size, before)
     twice = base.subtasks(spark, SF).union(base.subtasks(spark, SF).limit(5))
     assert rt.mark_repeats(twice).filter("problem = 'duplicate subtask_id'").count() >= 10
+
+
+def test_tokens_of_one_set_are_not_filed_and_rare_ones_come_first(spark, monkeypatch):
+    """60,000 tokens, more than hashed counts of a few thousand cells tell apart: each set has 30 of its
+    own, 30 that a third of the sets hold and a copy but for two tokens in every twentieth case."""
+    import random
+
+    from traceloom.operators import pairs
+
+    pick, sets = random.Random(2), []
+    for i in range(2000):
+        sets.append((i, [i * 30 + k for k in range(30)] + [10**6 + k for k in pick.sample(range(90), 30)]))
+    sets += [(10_000 + i, [*sets[i][1][2:], 10**7 + i]) for i in range(0, 2000, 20)]
+    rows = spark.createDataFrame(sets, "id long, t array<bigint>").select(
+        "id", F.lit(0).alias("kind"), F.array().cast("array<boolean>").alias("flags"), "t")
+    filed, tiled = [], pairs._tiled
+    monkeypatch.setattr(pairs, "_tiled", lambda keyed, *rest: (filed.append(keyed.count()), tiled(keyed, *rest))[1])
+    found = pairs.overlap_candidates(rows, "t", 0.76, False, 512)
+    assert {tuple(r) for r in found.collect()} == {(i, 10_000 + i) for i in range(0, 2000, 20)}
+    assert filed[0] < 2 * 100 * 40, filed  # only the copies and what they copy; 63,000 before
