@@ -297,3 +297,12 @@ def test_ranking_metrics_read_the_rows_once(spark):
     assert abs(got["ece"] - calibration.binned_error(outcomes, []).first()["ece"]) < 1e-12
     none = rt.ranking_metrics(rows.limit(0)).first()
     assert none["rows"] == 0 and none["ece"] == 0 and none["option_accuracy"] is None
+
+
+def test_labelled_rows_are_made_once(spark):
+    """The split reads the groups, then the rows; neither makes the option lists again."""
+    from traceloom.plans import learning
+
+    rows = learning.labelled_rows(spark, SF)
+    assert "candidates" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() > 0 and {r[0] for r in rows.select("split").distinct().collect()} == {"train", "eval"}

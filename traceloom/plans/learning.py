@@ -22,12 +22,13 @@ def labelled_rows(spark, sf_dir):
     rows = ranking(spark, sf_dir).filter("problem is null")
     signals = F.create_map(*[x for s in ("security", "migration") for x in (F.lit(s), F.col(f"signals.{s}"))])
     family = F.element_at(F.create_map(*[F.lit(x) for p in FAMILIES.items() for x in p]), F.col("chosen_model_id"))
-    rows = rows.select(
+    # Stored before the split, which reads the groups first and would make every ranking row twice.
+    rows = durable(rows.select(
         F.concat_ws("/", "task_id", "subtask_id").alias("row_id"), "catalog_hash", "task_group", "risk", "verification_floor", "estimated_input_tokens", "dependency_count",
         F.lit(1).alias("subtask_count"), "eligible_option_count", "required_capabilities", "boundary_states",
         signals.alias("signals"), "chosen_option_id", "chosen_model_id", "chosen_effort",
         family.alias("family"), F.col("chosen_effort").alias("effort"),
-        ml.exact_label(F.col("chosen_model_id"), F.col("chosen_effort")).alias("label"))
+        ml.exact_label(F.col("chosen_model_id"), F.col("chosen_effort")).alias("label")))
     features = ml.feature_columns(rows).drop("verification_floor", "boundary_states", "signals")
     return rt.group_split(features, rows.select("task_group"))
 
