@@ -306,3 +306,12 @@ def test_labelled_rows_are_made_once(spark):
     rows = learning.labelled_rows(spark, SF)
     assert "candidates" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert rows.count() > 0 and {r[0] for r in rows.select("split").distinct().collect()} == {"train", "eval"}
+
+
+def test_sound_and_refused_outcomes_are_counted_in_one_reading(spark):
+    raw = base.raw_outcomes(spark, SF)
+    job = oc.outcome_job(raw.union(raw.limit(3)))
+    counts = {r["part"]: r["n"] for r in job["counts"].collect()}
+    assert counts == {name: job[name].count() for name in ("outcomes", "problems")} and counts["problems"] > 3
+    plan = job["counts"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1

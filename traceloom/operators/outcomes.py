@@ -552,15 +552,20 @@ def leakage_audit(rows: DataFrame) -> DataFrame:
 
 
 def outcome_job(raw: DataFrame, epochs: int = 0, current_stage: str = "shadow") -> dict[str, DataFrame]:
-    """Problems, sound outcomes, cells, targets and rollout of the same raw rows.
+    """Problems, sound outcomes, their counts, cells, targets and rollout of the same raw rows.
 
     Outcome rows are wide, so they are not stored: each table normalises again what it reads of them.
+    ``counts`` (part, n) are both counts from one reading.
     """
     checked = normalize_outcomes(raw)
     sound = checked.filter(F.col("problem").isNull())
     cells = durable(cell_report(sound))
     totals = cell_totals(cells)
+    broken = F.col("problem").isNotNull()
+    counts = checked.agg(F.count_if(~broken).alias("outcomes"), F.count_if(broken).alias("problems"))
     return {
+        "counts": counts.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("part"), F.col(name).alias("n")) for name in counts.columns]))),
         "problems": checked.filter(F.col("problem").isNotNull()),
         "outcomes": sound,
         "cells": cells,
